@@ -12,6 +12,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplemark.llm import pii
+
+    return pii.digests(pii.find(_table(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
+def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplemark.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplemark.llm import packing
+
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplemark.llm import bpe
+
+    return bpe.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ripplemark.llm import quality
 
@@ -26,6 +51,10 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_disclosure_pii": op1_disclosure_pii,
+    "op2_ftrl_toxicity": op2_ftrl_toxicity,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_pair_index_bpe": op7_pair_index_bpe,
     "op8_host_quality": op8_host_quality,
     "op9_byte_shards": op9_byte_shards,
 }
