@@ -50,6 +50,12 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), 40)
 
 
+def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplemark.llm import minhash
+
+    return minhash.classes(_table(spark, sf_dir, "documents"), width=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_disclosure_pii": op1_disclosure_pii,
     "op2_ftrl_toxicity": op2_ftrl_toxicity,
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pair_index_bpe": op7_pair_index_bpe,
     "op8_host_quality": op8_host_quality,
     "op9_byte_shards": op9_byte_shards,
+    "op10_tensored_minhash": op10_tensored_minhash,
 }
 
 #: Rows and metrics of the quality rules; ``{docs}`` is a relation with doc_id, text and source.
