@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: How GPT-2 style byte-level tokenizers cut a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text that are tokenized at once, and words that a task remembers.
-CHUNK_BYTES = 16 << 20
-MEMORY_WORDS = 1_500_000
+CHUNK_BYTES = 4 << 20
+MEMORY_WORDS = 600_000
 _NONE = np.int64(1) << 40
 
 
@@ -68,7 +68,10 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     """The slices ``pool[s : s + n]``, one after the other."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return pool[np.repeat(starts - ends + lengths, lengths) + np.arange(total)]
+    kind = np.int32 if max(total, len(pool)) < 1 << 30 else np.int64
+    at = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return pool[at]
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
