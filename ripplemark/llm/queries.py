@@ -25,6 +25,12 @@ def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplemark.llm import suffix
+
+    return suffix.digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ripplemark.llm import packing
 
@@ -59,6 +65,7 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_disclosure_pii": op1_disclosure_pii,
     "op2_ftrl_toxicity": op2_ftrl_toxicity,
+    "op3_suffix_repeats": op3_suffix_repeats,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_pair_index_bpe": op7_pair_index_bpe,
     "op8_host_quality": op8_host_quality,
