@@ -31,6 +31,12 @@ def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplemark.llm import ppm
+
+    return ppm.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_pivot_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ripplemark.llm import pivots
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_disclosure_pii": op1_disclosure_pii,
     "op2_ftrl_toxicity": op2_ftrl_toxicity,
     "op3_suffix_repeats": op3_suffix_repeats,
+    "op4_ppm_scores": op4_ppm_scores,
     "op5_pivot_vectors": op5_pivot_vectors,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_pair_index_bpe": op7_pair_index_bpe,

@@ -1,8 +1,15 @@
-"""Slices of one array, gathered."""
+"""Slices: of one array, gathered; of batches, by bytes of text."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of text that a task works on at once.
+CHUNK_BYTES = 4 << 20
 
 
 def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -13,3 +20,15 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     at = np.repeat((starts - ends + lengths).astype(kind), lengths)
     at += np.arange(total, dtype=kind)
     return pool[at]
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with at most about ``most`` bytes of text (one text may be longer), and their texts (null: empty)."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+            part = batch.slice(at, upto - at)
+            yield part, [t or "" for t in part.column(column).to_pylist()]
+            at = upto
