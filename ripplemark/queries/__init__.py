@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ripplemark.queries import graph
+from ripplemark.queries import graph, resolve
 
 QUERIES = {}
 ORACLE_SQL = {}
-for _module in (graph,):
+for _module in (graph, resolve):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -71,7 +71,7 @@ def trace_found(spark, sf_dir):
 
 def trace_miss_furthest(spark, sf_dir):
     e = edges(spark, sf_dir)
-    _, last = walk.trace(e, seeds(spark, "App.Models.N1").select("node"), seeds(spark, CONTROLLER).select("node"))
+    _, last = walk.trace(e, seeds(spark, "App.Models.N1").select("node"), seeds(spark, "App.Services.P7").select("node"))
     return last.select(F.col("depth").cast("long").alias("depth"))
 
 
@@ -174,7 +174,7 @@ ORACLE_SQL = {
     "caller_tree_depths": _walk(_one(MODEL), f"select depth, count(*) n from ({_DEPTHS}) group by depth"),
     "caller_paths": _walk(_one(MODEL), f"select node target, depth as length, '{MODEL}' seed, '' last_via from ({_DEPTHS}) where node like 'route::%'"),
     "trace_found": _walk(_one(MODEL), f"select depth as length, '{MODEL}' target, node source from ({_DEPTHS}) where node like 'route::%' order by depth, node limit 1"),
-    "trace_miss_furthest": _walk(_one(CONTROLLER), f"select max(depth) depth from ({_DEPTHS})"),
+    "trace_miss_furthest": _walk(_one("App.Services.P7"), f"select max(depth) depth from ({_DEPTHS})"),
     "impact_summary": f"""with recursive {E_SQL}, {walk_cte('u', _one(MODEL))}, {walk_cte('c', _one(MODEL), exclude=ASSOCIATION)}, {walk_cte('r', _one(MODEL), exclude=REGISTRY)}, {walk_cte('d', _one(MODEL), up=False)},
 ty as (select node, list(distinct via) types from ({met_sql('u')} union {met_sql('d', False)}) where node <> '{MODEL}' group by node)
 select (select count(distinct node) from u where depth > 0) callers, (select count(distinct node) from d where depth > 0) dependencies,
