@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ripplemark.queries import graph, resolve
+from ripplemark.queries import changes, graph, hazards, resolve
 
 QUERIES = {}
 ORACLE_SQL = {}
-for _module in (graph, resolve):
+for _module in (graph, resolve, changes, hazards):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
