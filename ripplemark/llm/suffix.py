@@ -42,6 +42,10 @@ BYTES_PER_RANGE = 24 << 20
 SAMPLE_ROWS = 2_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15
+#: Stands for a null id, which no shared anchor has.
+NO_ID = -(1 << 63)
+#: An entry: whose it is, where its first string starts, how far in its anchor lies, how many bytes it has.
+HEAD = np.dtype([("id", "<i8"), ("twin", "<i4"), ("low", "<i4"), ("offset", "u1"), ("size", "u1")])
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -159,38 +163,41 @@ def splitters(docs: DataFrame, rows: int, ranges: int) -> list[bytes]:
     return sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
 
 
-def entries(joined: DataFrame, cuts: list[bytes]) -> DataFrame:
-    """Packed entries by range, from documents (doc_id, twin, text) with their shared ``hashes``."""
+def entries(joined: DataFrame, text: str, cuts: list[bytes]) -> DataFrame:
+    """Packed entries by range, from documents (__id, __twin and the text) with their shared ``hashes``."""
     keys = np.array(cuts, f"S{K}")
 
     def run(batches):
         for b in batches:
-            buffers, heads, grams, begun = [], [], [], 0
-            for i, twin, text, hashes in zip(b.column("doc_id").to_pylist(), b.column("twin").to_pylist(), b.column("text"), b.column("hashes").to_pylist(), strict=True):
-                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+            buffers, heads, starts, grams, begun = [], [], [], [], 0
+            for i, twin, t, hashes in zip(b.column("__id").to_pylist(), b.column("__twin").to_pylist(), b.column(text), b.column("hashes").to_pylist(), strict=True):
+                data = np.frombuffer((t.as_py() or "").encode(), np.uint8)
                 at, h, index = anchors(data)
                 own = np.flatnonzero(np.isin(h, np.frombuffer(b"".join(hashes), np.uint64)))
                 if not len(own):
                     continue
                 low, high = np.searchsorted(index, own), np.searchsorted(index, own, "right") - 1
-                heads.append(np.stack((np.full(len(own), i), np.full(len(own), twin), low, at[own] - low, high + LENGTH - low, low + begun), 1))
+                head = np.empty(len(own), HEAD)
+                head["id"], head["twin"], head["low"], head["offset"], head["size"] = i, twin, low, at[own] - low, high + LENGTH - low
+                heads.append(head)
+                starts.append(low + begun)
                 grams.append(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, K)[at[own]]).view(f"S{K}").ravel())
                 buffers.append(data)
                 begun += len(data)
             if not heads:
                 continue
-            head, data = np.concatenate(heads), np.concatenate(buffers)
+            head, start, data = np.concatenate(heads), np.concatenate(starts), np.concatenate(buffers)
             # A zero byte at a gram's end is no character to numpy, alike on both sides.
             place = np.searchsorted(keys, np.concatenate(grams), "right")
             order = np.argsort(place, kind="stable")
-            head, place = head[order], place[order]
+            head, start, place = head[order], start[order], place[order]
             edges = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
             ends = np.append(edges[1:], len(place))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(place[edges].astype(np.int32)),
-                    pa.array([np.ascontiguousarray(head[x:z, :5]).tobytes() for x, z in zip(edges, ends, strict=True)], pa.binary()),
-                    pa.array([gather(data, head[x:z, 5], head[x:z, 4]).tobytes() for x, z in zip(edges, ends, strict=True)], pa.binary()),
+                    pa.array([head[x:z].tobytes() for x, z in zip(edges, ends, strict=True)], pa.binary()),
+                    pa.array([gather(data, start[x:z], head["size"][x:z].astype(np.int64)).tobytes() for x, z in zip(edges, ends, strict=True)], pa.binary()),
                 ],
                 ["range", "heads", "bytes"],
             )
@@ -256,7 +263,7 @@ def _runs(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
 
 def removals(heads: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_id, twin, start) of the strings of one range that a smaller id has too."""
-    ids, twin, low, offset, size = heads.T
+    ids, twin, low, offset, size = (heads[k].astype(np.int64) for k in HEAD.names)
     starts = np.cumsum(size) - size
     words = _words(data)
     right_at, right_size = starts + offset, size - offset
@@ -291,7 +298,7 @@ def repeated(packed: DataFrame) -> DataFrame:
     """doc_id, twin, starts (packed) from the entries."""
 
     def run(table):
-        heads = np.frombuffer(b"".join(table.column("heads").to_pylist()), np.int64).reshape(-1, 5)
+        heads = np.frombuffer(b"".join(table.column("heads").to_pylist()), HEAD)
         ids, twin, start = removals(heads, np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8))
         order = np.lexsort((start, twin, ids))
         ids, twin, start = ids[order], twin[order], start[order]
@@ -304,22 +311,23 @@ def repeated(packed: DataFrame) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
-    """``carry`` (prefixed columns aside) with ``__text`` and ``__spans``, the packed intervals to remove, of every row."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("doc_id").alias("__id"), F.xxhash64("doc_id", text).alias("__twin"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    """``carry``, the text and ``__spans``, the packed intervals to remove, of every row."""
+    columns = list(dict.fromkeys([*carry, text]))
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.hash("doc_id", F.col(f"`{text}`")).alias("__twin"))
     total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).head()
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     plain = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
     buckets = max(1, total[1] // 16 // ANCHORS_PER_BUCKET + 1, min(parts, total[1] // (1 << 20) + 1))
     ranges = max(1, total[1] // BYTES_PER_RANGE + 1, min(parts, total[1] // (1 << 20) + 1))
     shared = shared_anchors(plain, buckets).groupBy(F.col("doc_id").alias("__sharing")).agg(F.collect_list("hashes").alias("hashes"))
     cuts = splitters(plain, total[0], ranges)
-    # One exchange of the texts serves both joins.
+    # One exchange of the texts serves both joins: both read the same columns of it, and as
+    # its key is never null, neither filters first.
     dealt = rows.repartition(parts, "__id")
-    joined = dealt.join(shared.hint("shuffle_hash"), F.col("__id") == F.col("__sharing")).select(F.col("__id").alias("doc_id"), F.col("__twin").alias("twin"), F.col("__text").alias("text"), "hashes")
-    found = repeated(entries(joined, cuts)).groupBy(F.col("doc_id").alias("__owner")).agg(F.collect_list(F.struct("twin", "spans")).alias("__found"))
+    joined = dealt.join(shared.hint("shuffle_hash"), F.col("__id") == F.col("__sharing"))
+    found = repeated(entries(joined, text, cuts)).groupBy(F.col("doc_id").alias("__owner")).agg(F.collect_list(F.struct("twin", "spans")).alias("__found"))
     own = F.transform(F.filter("__found", lambda x: x["twin"] == F.col("__twin")), lambda x: x["spans"])
-    return dealt.join(found.hint("shuffle_hash"), F.col("__id") == F.col("__owner"), "left").select(*[F.col(f"`{c}`") for c in carry], "__text", own.alias("__spans"))
+    return dealt.join(found.hint("shuffle_hash"), F.col("__id") == F.col("__owner"), "left").select(*[F.col(f"`{c}`") for c in columns], own.alias("__spans"))
 
 
 def cut_out(data: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:
@@ -341,7 +349,7 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for t, spans in zip(b.column("__text"), b.column("__spans").to_pylist(), strict=True):
+            for t, spans in zip(b.column("text"), b.column("__spans").to_pylist(), strict=True):
                 data = (t.as_py() or "").encode()
                 kept, gone, runs = cut_out(data, spans)
                 rows.append((len(data), gone, runs, hashlib.sha256(kept).hexdigest()))
@@ -358,8 +366,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text") -> DataFrame:
     def run(batches):
         for b in batches:
             texts = []
-            for own, t, spans in zip(b.column(text), b.column("__text"), b.column("__spans").to_pylist(), strict=True):
-                texts.append(cut_out((t.as_py() or "").encode(), spans)[0].decode("utf-8", "ignore") if spans else own.as_py())
+            for own, spans in zip(b.column(text), b.column("__spans").to_pylist(), strict=True):
+                texts.append(cut_out((own.as_py() or "").encode(), spans)[0].decode("utf-8", "ignore") if spans else own.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else b.column(c) for c in names], names)
 
     return with_spans(docs, names, text).mapInArrow(run, docs.schema)
