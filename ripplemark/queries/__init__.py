@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ripplemark.queries import changes, graph, hazards, resolve
+from ripplemark.queries import changes, graph, hazards, resolve, risk, scan
 
 QUERIES = {}
 ORACLE_SQL = {}
-for _module in (graph, resolve, changes, hazards):
+for _module in (graph, resolve, changes, hazards, scan, risk):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
