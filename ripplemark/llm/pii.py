@@ -114,22 +114,22 @@ _FOUND = "spans array<struct<a:int,b:int,k:string>>, near array<struct<e:string,
 
 
 def _find(docs: DataFrame, text: str, carry: list[str], window: int) -> DataFrame:
-    """The columns of ``carry``, ``__row``, ``__spans`` and ``__near`` of every row, written once."""
-    df = docs.select(*[F.col(f"`{c}`") for c in carry], F.monotonically_increasing_id().alias("__row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    keep = [c for c in df.columns if c != "__text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "__text") + ", " + _FOUND.replace("spans ", "__spans ").replace("near ", "__near ")
+    """The columns of ``carry``, ``__pii_row``, ``__pii_spans`` and ``__pii_near`` of every row, written once."""
+    df = docs.select(*[F.col(f"`{c}`") for c in carry], F.monotonically_increasing_id().alias("__pii_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__pii_text"))
+    keep = [c for c in df.columns if c != "__pii_text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "__pii_text") + ", " + _FOUND.replace("spans ", "__pii_spans ").replace("near ", "__pii_near ")
     spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("k", pa.string())]))
     near_type = pa.list_(pa.struct([("e", pa.string()), ("t", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
 
     def run(batches):
         for batch in batches:
             spans, near = [], []
-            for t in batch.column("__text"):
+            for t in batch.column("__pii_text"):
                 t = t.as_py()
                 own = base_spans(t)
                 spans.append([{"a": a, "b": b, "k": k} for a, b, k in own])
                 near.append([{"e": e, "t": w, "a": a, "b": b} for e, w, a, b in candidates(t, own, window)] if own else [])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(spans, spans_type), pa.array(near, near_type)], [*keep, "__spans", "__near"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(spans, spans_type), pa.array(near, near_type)], [*keep, "__pii_spans", "__pii_near"])
 
     return write_table(df.mapInArrow(run, schema), "pii-found")
 
@@ -163,12 +163,12 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 def disclosures(docs: DataFrame, found: DataFrame, text: str, min_support: int, disclosure: float) -> DataFrame:
     """entity, term, d_te, d_e, d_t and ratio of the pairs that reach the thresholds."""
     n = found.count()
-    near = found.select("__row", F.explode("__near").alias("x")).select("__row", F.col("x.e").alias("entity"), F.col("x.t").alias("term"))
+    near = found.select("__pii_row", F.explode("__pii_near").alias("x")).select("__pii_row", F.col("x.e").alias("entity"), F.col("x.t").alias("term"))
     # A row's pairs are in one task, so distinct needs no key but its own.
-    pairs = near.groupBy("__row", "entity", "term").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("d_te")).where(F.col("d_te") >= min_support)
+    pairs = near.groupBy("__pii_row", "entity", "term").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("d_te")).where(F.col("d_te") >= min_support)
     pairs = write_table(pairs, "pii-pairs")
     entities = (
-        found.select("__row", F.explode(F.array_distinct(F.transform("__near", lambda x: x["e"]))).alias("entity"))
+        found.select("__pii_row", F.explode(F.array_distinct(F.transform("__pii_near", lambda x: x["e"]))).alias("entity"))
         .groupBy("entity").agg(F.count(F.lit(1)).alias("d_e"))
     )
     terms = pairs.select("term").distinct()
@@ -183,16 +183,16 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str, min_support: int,
 
 
 def find(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None, window: int = WINDOW, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """The columns ``carry`` (all, if None), ``__spans`` (base) and ``__terms`` (added; null if none)."""
+    """The columns ``carry`` (all, if None), ``__pii_spans`` (base) and ``__pii_terms`` (added; null if none)."""
     carry = docs.columns if carry is None else carry
     found = _find(docs, text, carry, window)
     flagged = disclosures(docs, found, text, min_support, disclosure).select("entity", "term")
-    near = found.select("__row", F.explode("__near").alias("x")).select("__row", F.col("x.e").alias("entity"), F.col("x.t").alias("term"), F.col("x.a").alias("a"), F.col("x.b").alias("b"))
-    terms = near.join(flagged, ["entity", "term"]).groupBy("__row").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("__terms"))
+    near = found.select("__pii_row", F.explode("__pii_near").alias("x")).select("__pii_row", F.col("x.e").alias("entity"), F.col("x.t").alias("term"), F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    terms = near.join(flagged, ["entity", "term"]).groupBy("__pii_row").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("__pii_terms"))
     terms = write_table(terms, "pii-terms")
     if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         terms = F.broadcast(terms)
-    return found.drop("__near").join(terms, "__row", "left").drop("__row")
+    return found.drop("__pii_near").join(terms, "__pii_row", "left").drop("__pii_row")
 
 
 def all_spans(base: list[Span], terms: list[tuple[int, int]]) -> list[Span]:
@@ -206,7 +206,7 @@ def digests(found: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for base, terms in zip(batch.column("__spans").to_pylist(), batch.column("__terms").to_pylist(), strict=True):
+            for base, terms in zip(batch.column("__pii_spans").to_pylist(), batch.column("__pii_terms").to_pylist(), strict=True):
                 own = [(s["a"], s["b"], s["k"]) for s in base]
                 both = all_spans(own, [(s["a"], s["b"]) for s in terms or []])
                 kinds = Counter(s[2] for s in own)
@@ -214,7 +214,7 @@ def digests(found: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:4]], *[pa.array(c, pa.string()) for c in columns[4:]]], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
-    return found.select("doc_id", "__spans", "__terms").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.select("doc_id", "__pii_spans", "__pii_terms").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def rewrite(text: str, spans: list[Span]) -> str:
@@ -237,9 +237,9 @@ def sanitise(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = []
-            for t, base, terms in zip(batch.column(text).to_pylist(), batch.column("__spans").to_pylist(), batch.column("__terms").to_pylist(), strict=True):
+            for t, base, terms in zip(batch.column(text).to_pylist(), batch.column("__pii_spans").to_pylist(), batch.column("__pii_terms").to_pylist(), strict=True):
                 spans = all_spans([(s["a"], s["b"], s["k"]) for s in base], [(s["a"], s["b"]) for s in terms or []])
                 texts.append(rewrite(t, spans) if spans else t)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names)
 
-    return found.select(*[F.col(f"`{c}`") for c in names], "__spans", "__terms").mapInArrow(run, docs.schema)
+    return found.select(*[F.col(f"`{c}`") for c in names], "__pii_spans", "__pii_terms").mapInArrow(run, docs.schema)

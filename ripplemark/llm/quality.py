@@ -132,17 +132,17 @@ def host_rates(metrics: DataFrame, host: str, prefix: str = "") -> DataFrame:
 def judge(docs: DataFrame, *, host: str = "source", text: str = "text", carry: list[str] | None = None, host_threshold: float = HOST_THRESHOLD, prefix: str = "__q_") -> DataFrame:
     """The columns ``carry`` of ``docs`` (all, if None), METRICS, ``base_failed`` and ``kept``, names prefixed."""
     carry = docs.columns if carry is None else carry
-    source = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{host}`").alias("__host"), F.col(f"`{text}`").alias("__text"))
-    measured = write_table(with_metrics(source, "__text", prefix).drop("__text"), "quality-metrics")
-    rates = host_rates(measured, "__host", prefix)
-    rejected = write_table(rates.where(reduce(Column.__or__, [F.col(f"{k}_rate") > host_threshold for k in RULES])).select("__host"), "quality-hosts")
-    rejected = rejected.withColumn("__bad", F.lit(True))
+    source = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{host}`").alias("__q_host"), F.col(f"`{text}`").alias("__q_text_in"))
+    measured = write_table(with_metrics(source, "__q_text_in", prefix).drop("__q_text_in"), "quality-metrics")
+    rates = host_rates(measured, "__q_host", prefix)
+    rejected = write_table(rates.where(reduce(Column.__or__, [F.col(f"{k}_rate") > host_threshold for k in RULES])).select("__q_host"), "quality-hosts")
+    rejected = rejected.withColumn("__q_bad", F.lit(True))
     if rejected.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         rejected = F.broadcast(rejected)
     failed = base_failed(prefix)
-    return measured.join(rejected, "__host", "left").select(
+    return measured.join(rejected, "__q_host", "left").select(
         *[F.col(f"`{c}`") for c in carry], *[F.col(prefix + k) for k in METRICS],
-        failed.alias(prefix + "base_failed"), (~failed & F.col("__bad").isNull()).alias(prefix + "kept"),
+        failed.alias(prefix + "base_failed"), (~failed & F.col("__q_bad").isNull()).alias(prefix + "kept"),
     )
 
 

@@ -125,11 +125,11 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 ends = np.append(cuts[1:], len(h))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(place[cuts].astype(np.int32)), pa.array([h[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary()), pa.array([i[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary())],
-                    ["bucket", "hashes", "ids"],
+                    ["bucket", "__sx_hashes", "ids"],
                 )
 
     def meet(table):
-        h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
+        h = np.frombuffer(b"".join(table.column("__sx_hashes").to_pylist()), np.uint64)
         ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
         order = np.argsort(h)
         h, ids = h[order], ids[order]
@@ -141,10 +141,10 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         h, ids = h[order], ids[order]
         cuts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
         ends = np.append(cuts[1:], len(ids)).astype(np.int64)
-        return pa.table({"doc_id": pa.array(ids[cuts], pa.int64()), "hashes": pa.array([h[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary())})
+        return pa.table({"doc_id": pa.array(ids[cuts], pa.int64()), "__sx_hashes": pa.array([h[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary())})
 
-    dealt = docs.mapInArrow(deal, "bucket int, hashes binary, ids binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "doc_id long, hashes binary")
+    dealt = docs.mapInArrow(deal, "bucket int, __sx_hashes binary, ids binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "doc_id long, __sx_hashes binary")
 
 
 def splitters(docs: DataFrame, rows: int, ranges: int) -> list[bytes]:
@@ -164,13 +164,13 @@ def splitters(docs: DataFrame, rows: int, ranges: int) -> list[bytes]:
 
 
 def entries(joined: DataFrame, text: str, cuts: list[bytes]) -> DataFrame:
-    """Packed entries by range, from documents (__id, __twin and the text) with their shared ``hashes``."""
+    """Packed entries by range, from documents (__sx_id, __sx_twin and the text) with their shared ``__sx_hashes``."""
     keys = np.array(cuts, f"S{K}")
 
     def run(batches):
         for b in batches:
             buffers, heads, starts, grams, begun = [], [], [], [], 0
-            for i, twin, t, hashes in zip(b.column("__id").to_pylist(), b.column("__twin").to_pylist(), b.column(text), b.column("hashes").to_pylist(), strict=True):
+            for i, twin, t, hashes in zip(b.column("__sx_id").to_pylist(), b.column("__sx_twin").to_pylist(), b.column(text), b.column("__sx_hashes").to_pylist(), strict=True):
                 data = np.frombuffer((t.as_py() or "").encode(), np.uint8)
                 at, h, index = anchors(data)
                 own = np.flatnonzero(np.isin(h, np.frombuffer(b"".join(hashes), np.uint64)))
@@ -311,23 +311,23 @@ def repeated(packed: DataFrame) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
-    """``carry``, the text and ``__spans``, the packed intervals to remove, of every row."""
+    """``carry``, the text and ``__sx_spans``, the packed intervals to remove, of every row."""
     columns = list(dict.fromkeys([*carry, text]))
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.hash("doc_id", F.col(f"`{text}`")).alias("__twin"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce("doc_id", F.lit(NO_ID)).alias("__sx_id"), F.hash("doc_id", F.col(f"`{text}`")).alias("__sx_twin"))
     total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).head()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     plain = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
     buckets = max(1, total[1] // 16 // ANCHORS_PER_BUCKET + 1, min(parts, total[1] // (1 << 20) + 1))
     ranges = max(1, total[1] // BYTES_PER_RANGE + 1, min(parts, total[1] // (1 << 20) + 1))
-    shared = shared_anchors(plain, buckets).groupBy(F.col("doc_id").alias("__sharing")).agg(F.collect_list("hashes").alias("hashes"))
+    shared = shared_anchors(plain, buckets).groupBy(F.col("doc_id").alias("__sx_sharing")).agg(F.collect_list("__sx_hashes").alias("__sx_hashes"))
     cuts = splitters(plain, total[0], ranges)
     # One exchange of the texts serves both joins: both read the same columns of it, and as
     # its key is never null, neither filters first.
-    dealt = rows.repartition(parts, "__id")
-    joined = dealt.join(shared.hint("shuffle_hash"), F.col("__id") == F.col("__sharing"))
-    found = repeated(entries(joined, text, cuts)).groupBy(F.col("doc_id").alias("__owner")).agg(F.collect_list(F.struct("twin", "spans")).alias("__found"))
-    own = F.transform(F.filter("__found", lambda x: x["twin"] == F.col("__twin")), lambda x: x["spans"])
-    return dealt.join(found.hint("shuffle_hash"), F.col("__id") == F.col("__owner"), "left").select(*[F.col(f"`{c}`") for c in columns], own.alias("__spans"))
+    dealt = rows.repartition(parts, "__sx_id")
+    joined = dealt.join(shared.hint("shuffle_hash"), F.col("__sx_id") == F.col("__sx_sharing"))
+    found = repeated(entries(joined, text, cuts)).groupBy(F.col("doc_id").alias("__sx_owner")).agg(F.collect_list(F.struct("twin", "spans")).alias("__sx_found"))
+    own = F.transform(F.filter("__sx_found", lambda x: x["twin"] == F.col("__sx_twin")), lambda x: x["spans"])
+    return dealt.join(found.hint("shuffle_hash"), F.col("__sx_id") == F.col("__sx_owner"), "left").select(*[F.col(f"`{c}`") for c in columns], own.alias("__sx_spans"))
 
 
 def cut_out(data: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:
@@ -349,7 +349,7 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for t, spans in zip(b.column("text"), b.column("__spans").to_pylist(), strict=True):
+            for t, spans in zip(b.column("text"), b.column("__sx_spans").to_pylist(), strict=True):
                 data = (t.as_py() or "").encode()
                 kept, gone, runs = cut_out(data, spans)
                 rows.append((len(data), gone, runs, hashlib.sha256(kept).hexdigest()))
@@ -366,7 +366,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text") -> DataFrame:
     def run(batches):
         for b in batches:
             texts = []
-            for own, spans in zip(b.column(text), b.column("__spans").to_pylist(), strict=True):
+            for own, spans in zip(b.column(text), b.column("__sx_spans").to_pylist(), strict=True):
                 texts.append(cut_out((own.as_py() or "").encode(), spans)[0].decode("utf-8", "ignore") if spans else own.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else b.column(c) for c in names], names)
 
