@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ripplemark.queries import changes, graph, hazards, resolve, risk, scan
+from ripplemark.queries import changes, graph, hazards, resolve, risk, scan, source
 
 QUERIES = {}
 ORACLE_SQL = {}
-for _module in (graph, resolve, changes, hazards, scan, risk):
+for _module in (graph, resolve, changes, hazards, scan, risk, source):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
