@@ -17,8 +17,8 @@ select s_suppkey as id, concat('diff --git a/app/S', cast(s_suppkey as string),
 from {supplier}
 """
 SPANS = "select distinct concat('app/F', cast(o_custkey % 50 as string), '.php') as path, 'method' as kind, concat('m', cast(o_orderkey % 40 as string)) as name, cast((o_orderkey % 40) * 10 as int) as start, cast((o_orderkey % 40) * 10 + 6 as int) as end from {orders} where case when {side} = 1 then o_orderkey % 40 % 7 <> 0 or o_custkey % 50 % 3 = 0 else o_orderkey % 40 % 9 <> 0 end"
-LINES = "select distinct concat('app/F', cast(l_suppkey % 50 as string), '.php') as path, case when l_linenumber % 2 = 0 then 'removed' else 'added' end as side, cast(l_partkey % 430 as int) as line, case when l_suppkey % 3 = 0 then case when l_linenumber % 2 = 0 then 'x = 1;' else ' x  =  1; ' end when l_partkey % 6 = 0 then concat('// ', l_returnflag) else concat(' ', l_returnflag, ' ; ') end as text from {lineitem} where l_suppkey % 5 <> 0 and l_orderkey % 40 = 0"
-CHANGES = "select concat('app/Services/P', cast(p_partkey as string), '.php') as file, concat('App.Services.P', cast(p_partkey as string)) as fqcn, p_partkey % 10 = 0 as is_new, p_size % 3 = 0 as additive, p_size % 4 <> 0 as resolvable, concat('m', cast(p_size as string)) as name from {part} where p_partkey % 5 = 0"
+LINES = "select distinct concat('app/F', cast(l_suppkey % 50 as string), '.php') as path, case when l_linenumber % 2 = 0 then 'removed' else 'added' end as side, cast(l_partkey % 430 as int) as line, case when l_suppkey % 3 = 0 then case when l_linenumber % 2 = 0 then 'x = 1;' else ' x  =  1; ' end when l_partkey % 6 = 0 then concat('// ', l_returnflag) else concat(' ', l_returnflag, ' ; ') end as text from {lineitem}"
+CHANGES = "select concat('app/Services/P', cast(p_partkey as string), '.php') as file, concat('App.Services.P', cast(p_partkey as string)) as fqcn, p_partkey % 10 = 0 as is_new, p_size % 3 = 0 as additive, p_size % 4 <> 0 as resolvable, concat('m', cast(p_size as string)) as name from {part}"
 PATHS = """select concat(case n_nationkey % 8 when 0 then 'tests/A' when 1 then 'database/migrations/2020_' when 2 then 'routes/' when 3 then 'resources/views/x/' when 4 then 'app/Models/' when 5 then 'resources/js/' when 6 then 'resources/js/types/' else 'README' end, n_name,
 case n_nationkey % 8 when 3 then '.blade.php' when 5 then '.vue' when 6 then '.d.ts' when 7 then '.md' else '.php' end) as path from {nation}"""
 

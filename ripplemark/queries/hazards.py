@@ -8,8 +8,8 @@ from ripplemark.operators import hazards
 from ripplemark.sources.adapters import GUARDS, MEMBERS, ROUTES, SETTINGS, duck, relation
 
 BODIES = "select concat('App.Policies.P', cast(p_partkey as string), '::view') as member, case when {side} = 1 and p_size % 6 = 0 then ' return  true; ' when p_size % 11 = 0 then 'return true;' else concat('return $u->', p_brand, ';') end as body from {part}"
-RULES = "select concat('App.Requests.R', cast(l_suppkey as string)) as request, concat('f', cast(l_linenumber as string)) as field, case l_partkey % 5 when 0 then 'required' when 1 then concat('max:', cast(l_partkey % 9 as string)) when 2 then 'nullable' when 3 then 'exists:t,id' else 'email' end as rule from {lineitem} where case when {side} = 1 then l_orderkey % 31 = l_suppkey % 31 else l_orderkey % 31 in (l_suppkey % 31, (l_suppkey + 1) % 31) end group by l_suppkey, l_linenumber, l_partkey % 5, l_partkey % 9"
-LIMITS = "select concat('App.Http.C', cast(c_custkey as string)) as member, case when c_custkey % 13 = 0 then 'throttle:api' when {side} = 1 and c_custkey % 4 = 0 then concat('throttle:', cast(c_custkey % 90 + 20 as string), case when c_custkey % 5 = 0 then ',2' else '' end) else concat('throttle:', cast(c_custkey % 90 + 10 as string), ',1') end as token from {customer} union all select concat('App.Http.C', cast(c_custkey as string)), 'throttle:99,1' from {customer} where c_custkey % 3 = 0"
+RULES = "select concat('App.Requests.R', cast(l_suppkey as string)) as request, concat('f', cast(l_linenumber as string)) as field, case l_partkey % 5 when 0 then 'required' when 1 then concat('max:', cast(l_partkey % 9 as string)) when 2 then 'nullable' when 3 then 'exists:t,id' else 'email' end as rule from {lineitem} group by l_suppkey, l_linenumber, l_partkey % 5, l_partkey % 9 having max(l_quantity) > 30 + 15 * {side}"
+LIMITS = "select concat('App.Http.C', cast(c_custkey as string)) as member, case when c_custkey % 13 = 0 then 'throttle:api' when {side} = 1 and c_custkey % 4 = 0 then concat('throttle:', cast(c_custkey % 90 + 20 as string), case when c_custkey % 5 = 0 then ',2' else '' end) else concat('throttle:', cast(c_custkey % 90 + 10 as string), ',1') end as token from {customer} union all select concat('App.Http.C', cast(c_custkey as string)), 'throttle:99,1' from {customer} where c_acctbal > 5000"
 GROUPS = "select concat('g', cast(c_nationkey as string)) as grp, concat(lower(c_mktsegment), cast(c_custkey % 6 as string)) as token, case when c_custkey % 10 = {side} * 3 then 'removed' else 'running' end as state from {customer} where case when {side} = 1 then c_custkey % 4 <> 0 else c_custkey % 5 <> 0 end"
 OPS = "select concat('database/migrations/m', cast(p_partkey % 60 as string), '.php') as file, case p_size % 3 when 0 then 'dropColumn' when 1 then 'renameColumn' else 'drop' end as op, concat('t', cast(p_partkey % 7 as string)) as tbl, p_brand as col from {part} where case when {side} = 1 then p_partkey % 8 <> 1 else p_partkey % 9 <> 1 end"
 MODELS = "select concat(case when p_partkey % 5 = 0 then 'App.Old.' else 'App.Models.' end, case p_size % 6 when 0 then 'OrderItem' when 1 then 'Company' when 2 then 'Box' when 3 then 'Day' when 4 then 'Part' else 'UserStatus' end, case when p_partkey % 3 = 0 then 'X' else '' end) as cls, case when p_partkey % 50 = 7 then 'custom' end as explicit from {part}"

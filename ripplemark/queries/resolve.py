@@ -16,7 +16,7 @@ union all select concat('App.R', cast(r_regionkey as string)), m, 'public', fals
 """
 CALLS = "select concat('App.C', cast(o_custkey as string), '::m', cast(o_orderkey % 6 as string)) as target, concat('App.Http.A', cast(o_orderkey % 100 as string)) as source, case when o_orderkey % 3 = 0 then 'instance-call' else 'static-call' end as type from {orders} group by o_custkey, o_orderkey % 6, o_orderkey % 100, o_orderkey % 3"
 RELATIONS = """
-select concat('App.C', cast(c_custkey as string)) as owner, concat('r', cast(c_custkey % 4 as string)) as method, concat('App.C', cast((c_custkey * 7) % 1000 + 1 as string)) as related, c_custkey % 5 = 0 as to_many from {customer} where c_custkey % 2 = 0
+select concat('App.C', cast(c_custkey as string)) as owner, concat('r', cast(c_custkey % 4 as string)) as method, concat('App.C', cast((c_custkey * 7) % 1000 + 1 as string)) as related, c_custkey % 5 = 0 as to_many from {customer} where c_acctbal > 3000
 union all select concat('App.N', cast(n_nationkey as string)), r, concat('App.N', cast((n_nationkey + 1) % 25 as string)), r = 'r3' from {nation} cross join (select 'r0' as r union all select 'r1' union all select 'r2' union all select 'r3') t
 """
 KEYS = "select concat('key', cast(s_suppkey % 45 as string)) as key, concat('App.S.S', cast((s_suppkey % 45) % 30 + case when s_suppkey > 80 then 1 else 0 end as string)) as concrete from {supplier}"
@@ -26,7 +26,7 @@ SERVICE_METHODS = "select concat('App.S.S', cast(s_suppkey % 60 as string)) as c
 SHORT = "select concat('route::GET::/s/', cast(s_suppkey as string)) as source, case when s_suppkey % 3 = 0 then concat('App.Kept', cast(s_suppkey as string)) else concat('controller::K', cast(s_suppkey % 20 as string), '@m', cast(s_suppkey % 4 as string)) end as target, 'route-to-controller' as type from {supplier}"
 KLASSES = "select concat(case when n_nationkey % 4 = 0 then 'App.A.K' else 'App.B.K' end, cast(n_nationkey % 12 as string)) as cls, concat('m', cast(n_nationkey % 4 as string)) as method from {nation} group by n_nationkey % 4, n_nationkey % 12"
 MIDDLEWARE = "select concat('route::GET::/m/', cast(c_custkey as string)) as source, case c_custkey % 3 when 0 then concat('middleware::a', cast(c_nationkey as string)) when 1 then concat('middleware::a', cast(c_nationkey as string), ':x,y') else 'App.Http.Kernel' end as target, 'route-to-middleware' as type from {customer}"
-ALIASES = "select concat('a', cast(n_nationkey as string)) as alias, concat('App.Mw.', n_name) as cls, 1 as precedence from {nation} where n_nationkey % 2 = 0 union all select concat('a', cast(n_nationkey as string)), concat('App.Boot.', n_name), 0 from {nation} where n_nationkey % 3 = 0"
+ALIASES = "select concat('a', cast(n_nationkey as string)) as alias, concat('App.Mw.', n_name) as cls, 1 as precedence from {nation} where n_regionkey < 3 union all select concat('a', cast(n_nationkey as string)), concat('App.Boot.', n_name), 0 from {nation} where n_regionkey > 1"
 READS = "select concat('App.Http.C', cast(o_custkey as string)) as reader, concat('cfg', cast(o_orderkey % 9 as string)) as file, case when o_orderkey % 4 = 0 then cast(null as string) else concat('k', cast(o_orderkey % 30 as string)) end as key_path from {orders}"
 ENTRIES = "select concat('cfg', cast(p_partkey % 9 as string)) as file, concat('k', cast(p_size as string)) as key_path, concat('App.Calc.', replace(p_brand, '#', '')) as cls from {part}"
 CHAINS = "select c_custkey as id, concat('App.C', cast(c_custkey as string)) as root, concat('r', cast(c_custkey % 4 as string), '.r', cast(c_nationkey % 4 as string), '.r1') as path from {customer}"
@@ -117,7 +117,7 @@ def metadata_merge(spark, sf_dir):
 
 def fallback_file(spark, sf_dir):
     meta = relation(spark, sf_dir, META).select("node", F.when(F.col("line") % 3 != 0, F.col("file")).alias("file"))
-    files = relation(spark, sf_dir, "select concat('app/Http/C', cast(c_custkey as string), '.php') as path from {customer} where c_custkey % 2 = 0")
+    files = relation(spark, sf_dir, "select concat('app/Http/C', cast(c_custkey as string), '.php') as path from {customer} where c_acctbal > 0")
     return resolve.fallback_files(meta, files)
 
 
@@ -141,7 +141,7 @@ def model_label_collapse(spark, sf_dir):
 
 def schedule_commands(spark, sf_dir):
     schedules = relation(spark, sf_dir, "select concat('schedule::', cast(c_custkey as string)) as schedule from {customer}")
-    runs = relation(spark, sf_dir, "select concat('schedule::', cast(o_custkey as string)) as source, concat('command::', cast(o_orderkey % 50 as string)) as target, 'runs' as type from {orders} where o_orderkey % 3 = 0")
+    runs = relation(spark, sf_dir, "select concat('schedule::', cast(o_custkey as string)) as source, concat('command::', cast(o_orderkey % 50 as string)) as target, 'runs' as type from {orders}")
     commands = relation(spark, sf_dir, "select concat('command::', cast(n_nationkey as string)) as command, case when n_nationkey % 3 = 0 then true when n_nationkey % 3 = 1 then false end as referenced from {nation}")
     return resolve.schedule_references(schedules, runs, commands)
 
@@ -179,10 +179,10 @@ select id, cast(pos as bigint) pos, source, target from h""",
     "alias_rewrite": f"with a as (select alias, arg_min(cls, precedence) cls from ({duck(ALIASES)}) group by alias) select source, coalesce(cls, target) target, type from ({duck(MIDDLEWARE)}) e left join a on e.target = 'middleware::' || alias or e.target like 'middleware::' || alias || ':%'",
     "canonical_ids": f"with u as (select concat('controller::K', n_nationkey, '@m', n_nationkey % 4) id, case when n_nationkey % 2 = 0 then concat('App.K', n_nationkey, case when n_nationkey % 3 = 0 then '' else '::go' end) end \"full\" from nation) select source, coalesce(\"full\", target) target, type from ({duck(SHORT)}) left join u on u.id = target",
     "metadata_merge": "select concat('P', l_partkey) node, first(l_returnflag order by l_orderkey * 10 + l_linenumber, l_returnflag) filter (l_linenumber % 2 = 0) file, first(cast(l_quantity as int) order by l_orderkey * 10 + l_linenumber, cast(l_quantity as int)) filter (l_quantity > 25) line from lineitem group by l_partkey",
-    "fallback_file": f"select node, case when line % 3 <> 0 then file when node like 'App.Http.C%' and line % 2 = 0 then concat('app/Http/C', line, '.php') end file from ({duck(META)})",
+    "fallback_file": f"select node, case when line % 3 <> 0 then file when node like 'App.Http.C%' and node in (select concat('App.Http.C', c_custkey) from customer where c_acctbal > 0) then concat('app/Http/C', line, '.php') end file from ({duck(META)})",
     "second_hop_candidates": f"with c as ({_C}), o as (select distinct target node from c where type = 'static-call' and target not in (select source from c)) select node from o union select split_part(node, '::', 1) from o",
     "config_registry_edges": f"with r as ({duck(READS)}), n as ({duck(ENTRIES)}) select reader source, cls target, 'config-registry' type from r join n using (file, key_path) union select reader, cls, 'config-registry-fanout' from r join n using (file) where r.key_path is null",
     "reference_edges": f"with {E_SQL} select distinct source, target, case when target like 'App.Models.S1%' then 'special' when target like 'App.Models.%' then 'model' else 'references' end type from e where target like 'App.Models.%' or target like 'App.Services.%'",
     "model_label_collapse": "with l as (select concat('App.Models.M', s_suppkey % 30) label from supplier union select concat('App.Old.M', s_suppkey % 11) from supplier union select concat('M', s_suppkey % 40) from supplier) select label from l where label like '%.%' or (select count(*) from l f where f.label like '%.%' and split_part(f.label, '.', 3) = l.label) <> 1",
-    "schedule_commands": "with r as (select concat('schedule::', o_custkey) schedule, o_orderkey % 50 k from orders where o_orderkey % 3 = 0), s as (select concat('schedule::', c_custkey) schedule from customer) select schedule, case when bool_or(k is not null and k < 25 and k % 3 = 0) then true when bool_or(k is null or k >= 25 or k % 3 = 2) then null else false end referenced from s left join r using (schedule) group by schedule",
+    "schedule_commands": "with r as (select concat('schedule::', o_custkey) schedule, o_orderkey % 50 k from orders), s as (select concat('schedule::', c_custkey) schedule from customer) select schedule, case when bool_or(k is not null and k < 25 and k % 3 = 0) then true when bool_or(k is null or k >= 25 or k % 3 = 2) then null else false end referenced from s left join r using (schedule) group by schedule",
 }

@@ -11,13 +11,13 @@ from ripplemark.queries.graph import E_SQL, MODEL, met_sql, quoted, seeds, walk_
 from ripplemark.sources.adapters import INPUTS, META, duck, edges, relation
 
 POINTS = "select concat('route::GET::/orders/', replace(lower(p), ' ', '-')) as node, case n % 3 when 0 then 'public' when 1 then 'authed' else 'admin' end as exposure, n % 2 = 0 as public_write, n % 5 = 0 as contradicted from (select o_orderpriority p, count(*) n from {orders} group by o_orderpriority) t"
-HAZARDS = "select s_suppkey % 9 as id, cast(s_suppkey as int) as position, case when s_suppkey % 2 = 0 then 'auth' else 'contract' end as lane, s_suppkey % 3 + 1 as tier, case when s_suppkey % 5 = 0 then concat('App.Gone.X', cast(s_suppkey as string), '::m') else concat('App.Models.S', cast(s_suppkey as string)) end as member from {supplier} where s_suppkey % 4 = 1 and s_suppkey <= 60"
+HAZARDS = "select n_nationkey % 9 as id, cast(n_nationkey as int) as position, case when n_nationkey % 2 = 0 then 'auth' else 'contract' end as lane, n_nationkey % 3 + 1 as tier, case when n_nationkey % 5 = 0 then concat('App.Gone.X', cast(n_nationkey as string), '::m') else concat('App.Models.S', cast(n_nationkey as string)) end as member from {nation}"
 CHANGES = "select n_nationkey % 12 as id, concat('app/N', cast(n_nationkey as string), '.php') as file, case when n_nationkey % 6 = 5 then null when n_nationkey % 4 = 0 then concat('App.Models.S', cast(n_nationkey + 1 as string)) when n_nationkey % 4 = 1 then concat('App.Services.P', cast(n_nationkey as string)) else concat('App.Http.C', cast(n_nationkey * 10 as string)) end as node from {nation}"
-REFERENCES = "select concat('route::GET::/orders/', p) as node, concat('tests/A', p, case when p = '2-high' then 'Support.php' else 'Test.php' end) as file from (select '1-urgent' as p union all select '2-high' union all select '3-medium' union all select '5-low') t union all select concat('App.Http.C', cast(c_custkey as string)), concat('tests/C', cast(c_custkey as string), 'Test.php') from {customer} where c_custkey % 3 = 0"
-CHECKABLE = "select concat('route::GET::/orders/', p) as node from (select '1-urgent' as p union all select '2-high' union all select '4-not-specified') t union all select concat('App.Http.C', cast(c_custkey as string)) from {customer} where c_custkey % 4 <> 0"
-ROUTE_EDGES = "select concat('route::GET::/x/', cast(c_custkey as string)) as source, concat('App.Act.A', cast(c_custkey % 90 as string), '::go') as target, 'route-to-controller' as type from {customer} union all select concat('App.Act.A', cast(n_nationkey * 3 as string), '::go'), concat('App.Policies.P', cast(n_nationkey as string)), case when n_nationkey % 2 = 0 then 'authorizes' else 'static-call' end from {nation} union all select concat('route::GET::/x/', cast(c_custkey as string)), concat('App.Mw.M', cast(c_nationkey as string)), 'route-to-middleware' from {customer} where c_custkey % 7 = 0"
-AUTH = "select concat('App.Mw.M', cast(n_nationkey as string)) as cls from {nation} where n_nationkey % 4 = 0"
-CALLS = "select concat('app/U', cast(user_id as string), '.php') as file, cast(event_id % 500 as int) as line, concat('flag-', event_type) as flag from {events} where event_id % 3 = 0"
+REFERENCES = "select concat('route::GET::/orders/', p) as node, concat('tests/A', p, case when p = '2-high' then 'Support.php' else 'Test.php' end) as file from (select '1-urgent' as p union all select '2-high' union all select '3-medium' union all select '5-low') t union all select concat('App.Http.C', cast(c_custkey as string)), concat('tests/C', cast(c_custkey as string), 'Test.php') from {customer} where c_mktsegment = 'BUILDING'"
+CHECKABLE = "select concat('route::GET::/orders/', p) as node from (select '1-urgent' as p union all select '2-high' union all select '4-not-specified') t union all select concat('App.Http.C', cast(c_custkey as string)) from {customer} where c_mktsegment <> 'MACHINERY'"
+ROUTE_EDGES = "select concat('route::GET::/x/', cast(c_custkey as string)) as source, concat('App.Act.A', cast(c_custkey % 90 as string), '::go') as target, 'route-to-controller' as type from {customer} union all select concat('App.Act.A', cast(n_nationkey * 3 as string), '::go'), concat('App.Policies.P', cast(n_nationkey as string)), case when n_nationkey % 2 = 0 then 'authorizes' else 'static-call' end from {nation} union all select concat('route::GET::/x/', cast(c_custkey as string)), concat('App.Mw.M', cast(c_nationkey as string)), 'route-to-middleware' from {customer} where c_acctbal < 0"
+AUTH = "select concat('App.Mw.M', cast(n_nationkey as string)) as cls from {nation} where n_regionkey = 0"
+CALLS = "select concat('app/U', cast(user_id as string), '.php') as file, cast(event_id % 500 as int) as line, concat('flag-', event_type) as flag from {events} where event_type = 'click'"
 RANGES = "select concat('app/U', cast(user_id as string), '.php') as file, cast(min(event_id) % 400 as int) as start, cast(min(event_id) % 400 + 60 as int) as end from {events} group by user_id"
 
 
@@ -148,7 +148,7 @@ def scoped_rebuild_decision(spark, sf_dir):
 
 def replay_evaluation(spark, sf_dir):
     cases = relation(spark, sf_dir, "select concat('c', cast(n_nationkey as string)) as key, n_nationkey % 2 = 0 as expect_signal, case n_nationkey % 3 when 0 then 'LOW' when 1 then 'MEDIUM' end as max_risk, case when n_nationkey % 4 = 0 then 2 end as max_tier, case when n_nationkey % 5 = 0 then 'f1' end as expect_finding from {nation}")
-    results = relation(spark, sf_dir, "select concat('c', cast(s_suppkey as string)) as key, case s_suppkey % 3 when 0 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end as level, s_suppkey % 4 as tier, s_suppkey % 6 as points, s_suppkey % 7 - 5 as u, s_suppkey % 3 as analyzed, s_suppkey % 5 as seeds, array('f0', concat('f', cast(s_suppkey % 3 as string))) as findings from {supplier} where s_suppkey <= 22")
+    results = relation(spark, sf_dir, "select concat('c', cast(s_suppkey as string)) as key, case s_suppkey % 3 when 0 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end as level, s_suppkey % 4 as tier, s_suppkey % 6 as points, s_suppkey % 7 - 5 as u, s_suppkey % 3 as analyzed, s_suppkey % 5 as seeds, array('f0', concat('f', cast(s_suppkey % 3 as string))) as findings from {supplier}")
     return cache.replay(cases, results.withColumn("unresolved", F.greatest("u", F.lit(0))))
 
 
@@ -212,7 +212,7 @@ ORACLE_SQL = {
     "scoped_rebuild_decision": f"""with a as {_in(0)}, b as {_in(1)}, j as (select coalesce(a.path, b.path) path, a.hash o, b.hash n from a full join b on a.path = b.path), f as (select count(*) filter (o is null or n is null) s, count(*) filter (o <> n) c, count(*) filter (o <> n and path not like '%click%') u from j),
 g as (select count(*) filter (o <> n and path not like '%view%') c from j)
 select 'whole' as name, case when s > 0 then 'file-set-changed' when c = 0 then 'no-change' else 'scoped' end decision, c::bigint changed from f union all select 'none', 'no-change', 0 union all select 'unknown', case when s > 0 then 'file-set-changed' when c = 0 then 'no-change' when u > 0 then 'not-in-provenance' else 'scoped' end, c from f union all select 'no base', 'no-merge-base', c from f union all select 'gone', 'file-set-changed', c from g""",
-    "replay_evaluation": """with c as (select concat('c', n_nationkey) key, n_nationkey k from nation), r as (select s_suppkey k, ['HIGH', 'MEDIUM', 'LOW'][s_suppkey % 3 + 1] as level, [2, 1, 0][s_suppkey % 3 + 1] rk, s_suppkey % 4 tier, s_suppkey % 6 points, greatest(s_suppkey % 7 - 5, 0) unresolved, s_suppkey % 3 analyzed, s_suppkey % 5 seeds, ['f0', concat('f', s_suppkey % 3)] findings from supplier where s_suppkey <= 22)
+    "replay_evaluation": """with c as (select concat('c', n_nationkey) key, n_nationkey k from nation), r as (select s_suppkey k, ['HIGH', 'MEDIUM', 'LOW'][s_suppkey % 3 + 1] as level, [2, 1, 0][s_suppkey % 3 + 1] rk, s_suppkey % 4 tier, s_suppkey % 6 points, greatest(s_suppkey % 7 - 5, 0) unresolved, s_suppkey % 3 analyzed, s_suppkey % 5 seeds, ['f0', concat('f', s_suppkey % 3)] findings from supplier)
 select key, failure from c left join r using (k), lateral (values ('no result', level is null), ('unresolved file', k % 2 = 0 and unresolved > 0), ('no entry point', k % 2 = 0 and points = 0), ('drifted', k % 2 = 1 and analyzed + unresolved > 0 and analyzed = 0 and seeds = 0), ('risk above the cap', case k % 3 when 0 then rk > 0 when 1 then rk > 1 end), ('tier above the cap', k % 4 = 0 and tier > 2), ('finding missing', k % 5 = 0 and not list_contains(findings, 'f1'))) v(failure, bad) where bad""",
     "detect_changes": f"""with recursive {E_SQL}, {_REACHED}, {_REF}, ch as ({duck(CHANGES)}), y(origin, node, so, depth) as (
   select distinct id, node, false, 0 from ch where node in (select node from nd) union

@@ -80,12 +80,12 @@ def affected_tests(spark, sf_dir):
 def determinability(spark, sf_dir):
     refs = entry_point_references(spark, sf_dir)
     empty = refs.select(F.col("node").alias("file")).limit(0)
-    low = relation(spark, sf_dir, "select concat('app/S', cast(s_suppkey as string), '.php') as file from {supplier} where s_suppkey % 10 = 0")
+    low = relation(spark, sf_dir, "select concat('app/S', cast(s_suppkey as string), '.php') as file from {supplier} where s_acctbal < 0")
     return selection.determinability(empty, low, True, refs.select("node").limit(0), test_reference_state(spark, sf_dir), selection.support_only(refs.where("file rlike 'T[0-9]*[05](Test|Support)'")))
 
 
 def capped_sites(spark, sf_dir):
-    return selection.capped(relation(spark, sf_dir, "select o_orderstatus as status, concat('app/O', cast(o_custkey % 40 as string), '.php') as file from {orders} where o_orderkey % 9 = 0"), "status", "file")
+    return selection.capped(relation(spark, sf_dir, "select o_orderstatus as status, concat('app/O', cast(o_custkey % 40 as string), '.php') as file from {orders}"), "status", "file")
 
 
 QUERIES = {f.__name__: f for f in (script_slices, uri_literals, script_uri_literals, url_strip_query, view_edges, page_checks, route_template_match, test_refs, weak_assertions, entry_point_references, test_reference_state, weakly_tested, affected_tests, determinability, capped_sites)}
@@ -116,6 +116,6 @@ ORACLE_SQL = {
     "test_reference_state": _ALL + " select * from st",
     "weakly_tested": _ALL + " select node, bool_and(weak) weak from er join wk using (file) group by node",
     "affected_tests": _ALL + " select file from ts where regexp_matches(file, 'T[0-9]*7Test') union select file from er where node like '%urgent%' and file like '%Test.php' union select file from rf where kind = 'class' and key in ('App.Http.C3', 'App.Livewire.A.BC2') and file like '%Test.php'",
-    "determinability": _ALL + " select 'low confidence' reason, concat('app/S', s_suppkey, '.php') subject from supplier where s_suppkey % 10 = 0 union all select 'entry point not checkable', node from st where referenced is null union all select 'named by support files alone', node from er where regexp_matches(file, 'T[0-9]*[05](Test|Support)') group by node having not bool_or(file like '%Test.php') union all select 'unparseable files', ''",
-    "capped_sites": "with s as (select o_orderstatus status, list_sort(list(distinct concat('app/O', o_custkey % 40, '.php'))) f from orders where o_orderkey % 9 = 0 group by 1) select status, array_to_string(f[1:15], ', ') shown, greatest(len(f) - 15, 0) more from s",
+    "determinability": _ALL + " select 'low confidence' reason, concat('app/S', s_suppkey, '.php') subject from supplier where s_acctbal < 0 union all select 'entry point not checkable', node from st where referenced is null union all select 'named by support files alone', node from er where regexp_matches(file, 'T[0-9]*[05](Test|Support)') group by node having not bool_or(file like '%Test.php') union all select 'unparseable files', ''",
+    "capped_sites": "with s as (select o_orderstatus status, list_sort(list(distinct concat('app/O', o_custkey % 40, '.php'))) f from orders group by 1) select status, array_to_string(f[1:15], ', ') shown, greatest(len(f) - 15, 0) more from s",
 }
