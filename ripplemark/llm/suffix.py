@@ -17,6 +17,11 @@ equal offsets, so nothing is lost, and about one byte in sixteen is an anchor.
    anchor which entries share it; the least id of them keeps it.
 5. The removed intervals of each document are merged and cut from its bytes.
 
+Equal things meet before they are shuffled: an anchor that several documents of a batch
+share is known to be shared, and of equal entries in a batch only the least id's goes on,
+for the rest lose all of it.  So a passage or a copy in a third of all documents reaches
+one task once a batch, not once a document.
+
 Defined results: a null text is empty; ids that are null are compared with nothing and
 lose nothing; rows that share an id are never compared with each other, and each loses
 what a smaller id has; an empty table gives an empty result.
@@ -118,7 +123,18 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                     ids.append(np.full(len(own), i, np.int64))
             if hashes:
                 h, i = np.concatenate(hashes), np.concatenate(ids)
-                place = (h >> np.uint64(20)) % np.uint64(buckets)
+                order = np.lexsort((i, h))
+                h, i = h[order], i[order]
+                first = np.append(True, h[1:] != h[:-1])
+                last = np.append(first[1:], True)
+                start = np.flatnonzero(first)
+                several = np.repeat(i[start] < i[last], np.diff(np.append(start, len(h))))
+                # What two documents of the batch share is known: all of these go on at once
+                # (to a negative bucket), and only the least and the largest id to the bucket.
+                known, sent = np.flatnonzero(several), np.flatnonzero(~several | first | last)
+                place = (h >> np.uint64(20)).astype(np.int64) % buckets
+                place = np.concatenate((np.full(len(known), -1 - int(i[0]) % buckets), place[sent]))
+                h, i = np.concatenate((h[known], h[sent])), np.concatenate((i[known], i[sent]))
                 order = np.argsort(place, kind="stable")
                 h, i, place = h[order], i[order], place[order]
                 cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
@@ -131,12 +147,13 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     def meet(table):
         h = np.frombuffer(b"".join(table.column("__sx_hashes").to_pylist()), np.uint64)
         ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
-        order = np.argsort(h)
-        h, ids = h[order], ids[order]
-        start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        several = np.minimum.reduceat(ids, start) < np.maximum.reduceat(ids, start) if len(h) else start
-        keep = np.repeat(several, np.diff(np.append(start, len(h))))
-        h, ids = h[keep], ids[keep]
+        if table.column("bucket")[0].as_py() >= 0:
+            order = np.argsort(h)
+            h, ids = h[order], ids[order]
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            several = np.minimum.reduceat(ids, start) < np.maximum.reduceat(ids, start) if len(h) else start
+            keep = np.repeat(several, np.diff(np.append(start, len(h))))
+            h, ids = h[keep], ids[keep]
         order = np.argsort(ids, kind="stable")
         h, ids = h[order], ids[order]
         cuts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
@@ -189,15 +206,22 @@ def entries(joined: DataFrame, text: str, cuts: list[bytes]) -> DataFrame:
             head, start, data = np.concatenate(heads), np.concatenate(starts), np.concatenate(buffers)
             # A zero byte at a gram's end is no character to numpy, alike on both sides.
             place = np.searchsorted(keys, np.concatenate(grams), "right")
+            # Of entries that are equal the least id's goes on; all that it holds goes from the
+            # larger ids, so these are settled (and dealt to a negative range).
+            by_id = np.argsort(head["id"], kind="stable")
+            raw, least, settled = data.tobytes(), {}, np.zeros(len(head), bool)
+            for k, at, size, offset, i in zip(by_id.tolist(), start[by_id].tolist(), head["size"][by_id].tolist(), head["offset"][by_id].tolist(), head["id"][by_id].tolist(), strict=True):
+                settled[k] = least.setdefault((offset, raw[at : at + size]), i) < i
+            place[settled] = -1 - int(head["id"][0]) % (len(keys) + 1)
             order = np.argsort(place, kind="stable")
-            head, start, place = head[order], start[order], place[order]
+            head, start, place, settled = head[order], start[order], place[order], settled[order]
             edges = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
             ends = np.append(edges[1:], len(place))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(place[edges].astype(np.int32)),
                     pa.array([head[x:z].tobytes() for x, z in zip(edges, ends, strict=True)], pa.binary()),
-                    pa.array([gather(data, start[x:z], head["size"][x:z].astype(np.int64)).tobytes() for x, z in zip(edges, ends, strict=True)], pa.binary()),
+                    pa.array([b"" if settled[x] else gather(data, start[x:z], head["size"][x:z].astype(np.int64)).tobytes() for x, z in zip(edges, ends, strict=True)], pa.binary()),
                 ],
                 ["range", "heads", "bytes"],
             )
@@ -287,11 +311,11 @@ def removals(heads: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
 
 
-def _merged(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The intervals that strings of LENGTH bytes at ``starts`` cover."""
-    starts = np.unique(starts)
-    cuts = np.flatnonzero(np.append(True, starts[1:] > starts[:-1] + LENGTH)) if len(starts) else np.zeros(0, np.int64)
-    return starts[cuts], starts[np.append(cuts[1:], len(starts)).astype(np.int64) - 1] + LENGTH if len(starts) else starts
+def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals in order of their beginning, those that meet joined."""
+    reach = np.maximum.accumulate(end)
+    cuts = np.flatnonzero(np.append(True, begin[1:] > reach[:-1]))
+    return begin[cuts], reach[np.append(cuts[1:], len(begin)) - 1]
 
 
 def repeated(packed: DataFrame) -> DataFrame:
@@ -299,12 +323,17 @@ def repeated(packed: DataFrame) -> DataFrame:
 
     def run(table):
         heads = np.frombuffer(b"".join(table.column("heads").to_pylist()), HEAD)
-        ids, twin, start = removals(heads, np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8))
+        if table.column("range")[0].as_py() < 0:
+            ids, twin, start = (heads[k].astype(np.int64) for k in ("id", "twin", "low"))
+            stop = start + heads["size"]
+        else:
+            ids, twin, start = removals(heads, np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8))
+            stop = start + LENGTH
         order = np.lexsort((start, twin, ids))
-        ids, twin, start = ids[order], twin[order], start[order]
+        ids, twin, start, stop = ids[order], twin[order], start[order], stop[order]
         cuts = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (twin[1:] != twin[:-1]))) if len(ids) else np.zeros(0, np.int64)
         ends = np.append(cuts[1:], len(ids)).astype(np.int64)
-        packed = [np.ascontiguousarray(np.stack(_merged(start[a:z]), 1)).tobytes() for a, z in zip(cuts, ends, strict=True)]
+        packed = [np.ascontiguousarray(np.stack(_merged(start[a:z], stop[a:z]), 1)).tobytes() for a, z in zip(cuts, ends, strict=True)]
         return pa.table({"doc_id": pa.array(ids[cuts], pa.int64()), "twin": pa.array(twin[cuts], pa.int64()), "spans": pa.array(packed, pa.binary())})
 
     return packed.groupBy("range").applyInArrow(run, "doc_id long, twin long, spans binary")
@@ -336,9 +365,7 @@ def cut_out(data: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:
         return data, 0, 0
     both = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)
     both = both[np.lexsort((both[:, 1], both[:, 0]))]
-    reach = np.maximum.accumulate(both[:, 1])
-    cuts = np.flatnonzero(np.append(True, both[1:, 0] > reach[:-1]))
-    begin, end = both[cuts, 0], reach[np.append(cuts[1:], len(both)) - 1]
+    begin, end = _merged(both[:, 0], both[:, 1])
     kept = [data[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(data)], strict=True)]
     return b"".join(kept), int((end - begin).sum()), len(begin)
 
