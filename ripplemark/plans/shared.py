@@ -8,11 +8,15 @@ share that folder, so a lost executor costs no intermediate result.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder, as in tests on one machine.
 FALLBACK = "/tmp/checkpoints/ripplemark"
+_scopes: list[str] = []
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,4 +35,34 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for scope in _scopes:
+        _written.setdefault(scope, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Remembers the tables written inside, for :func:`drop_scope`."""
+    _scopes.append(name)
+    try:
+        yield
+    finally:
+        _scopes.remove(name)
+
+
+def drop_scope(spark: SparkSession, name: str) -> None:
+    """Deletes the tables of a scope; whatever reads them must have been written by then."""
+    for path in _written.pop(name, []):
+        _delete(spark, path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Deletes the files of a table that :func:`write_table` gave."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
