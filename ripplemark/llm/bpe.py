@@ -19,17 +19,17 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ripplemark.llm.ragged import gather, text_chunks
+
 #: How GPT-2 style byte-level tokenizers cut a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes of text that are tokenized at once, and words that a task remembers.
-CHUNK_BYTES = 4 << 20
+#: Words that a task remembers.
 MEMORY_WORDS = 600_000
 _NONE = np.int64(1) << 40
 
@@ -64,16 +64,6 @@ def load(path: str) -> dict:
     }
 
 
-def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The slices ``pool[s : s + n]``, one after the other."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    kind = np.int32 if max(total, len(pool)) < 1 << 30 else np.int64
-    at = np.repeat((starts - ends + lengths).astype(kind), lengths)
-    at += np.arange(total, dtype=kind)
-    return pool[at]
-
-
 def _distinct(x: np.ndarray) -> np.ndarray:
     x = np.sort(x)
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
@@ -261,20 +251,6 @@ def decoder(vocabulary: dict) -> Table:
     return Table(vocabulary["bytes"])
 
 
-def chunks(rows: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with at most about ``most`` bytes of text (one text may be longer)."""
-    for batch in rows:
-        texts = batch.column(column)
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < batch.num_rows:
-            done = sizes[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(sizes, done + most, "right")))
-            part = batch.slice(at, upto - at)
-            yield part, [t or "" for t in part.column(column).to_pylist()]
-            at = upto
-
-
 def _vocabulary(spark: SparkSession, path: str | None):
     return spark.sparkContext.broadcast(load(path or default_path()))
 
@@ -285,7 +261,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         coder = Encoder(shared.value)
-        for part, texts in chunks(batches, "text"):
+        for part, texts in text_chunks(batches, "text"):
             ids, counts = coder.encode(texts)
             stops = np.append(0, np.cumsum(counts)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(stops), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
@@ -314,7 +290,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         coder, back, decimal = Encoder(shared.value), decoder(shared.value), Table([b"%d," % i for i in range(len(shared.value["bytes"]))])
-        for part, texts in chunks(batches, "text"):
+        for part, texts in text_chunks(batches, "text"):
             ids, counts = coder.encode(texts)
             shown = [hashlib.sha256(x[:-1]).hexdigest() for x in decimal.join(ids, counts)]
             decoded = [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in back.join(ids, counts)]

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.plans.shared import write_table
+from ripplemark.plans.shared import drop_table, write_table
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -38,6 +38,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
     seen, now = None, sign(edges)
     while now != seen and now[0]:
-        edges = write_table(_small(_large(edges)), name)
+        before, edges = edges, write_table(_small(_large(edges)), name)
+        drop_table(before)
         seen, now = now, sign(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
