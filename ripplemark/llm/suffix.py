@@ -6,6 +6,7 @@ over, so suffixes are taken at anchors.  In each string of LENGTH bytes the left
 its K-grams with the least hash is its anchor: equal strings have equal anchors at
 equal offsets, so nothing is lost, and about one byte in sixteen is an anchor.
 
+0. A document whose whole text a smaller id has goes whole, and takes no further part.
 1. Anchor hashes are dealt over buckets, packed; those in one document only are dropped.
 2. Documents with shared anchors are read again.  Each shared anchor gives one entry:
    its suffix, as far as strings of that anchor reach, and the bytes before it.
@@ -36,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.llm.ragged import gather
+from ripplemark.llm.ragged import gather, text_chunks
+from ripplemark.plans.shared import write_table
 
 LENGTH = 50
 K = 20
@@ -45,6 +47,8 @@ ANCHORS_PER_BUCKET = 1_500_000
 BYTES_PER_RANGE = 24 << 20
 #: Splitters come from the documents whose hashed id falls in a share with about so many.
 SAMPLE_ROWS = 2_000
+#: Bytes of text whose anchors and entries a task makes at once.
+CHUNK_BYTES = 8 << 20
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15
 #: Stands for a null id, which no shared anchor has.
@@ -105,18 +109,17 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _batches(batches, column: str):
-    for b in batches:
-        for i, t in zip(b.column("doc_id").to_pylist(), b.column(column), strict=True):
-            yield i, np.frombuffer((t.as_py() or "").encode(), np.uint8)
+    for b, texts in text_chunks(batches, column, CHUNK_BYTES):
+        yield list(zip(b.column("doc_id").to_pylist(), [np.frombuffer(t.encode(), np.uint8) for t in texts], strict=True))
 
 
-def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, hashes (packed): the anchors of each document that another document has too."""
+def shared_anchors(docs: DataFrame, text: str, buckets: int) -> DataFrame:
+    """doc_id, hashes (packed): the anchors of each document that another document has too; rows of a null doc_id take no part."""
 
     def deal(batches):
-        for b in batches:
+        for rows in _batches(batches, text):
             hashes, ids = [], []
-            for i, data in _batches([b], "text"):
+            for i, data in rows:
                 if i is not None and len(data) >= LENGTH:
                     own = np.unique(anchors(data)[1])
                     hashes.append(own)
@@ -135,7 +138,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 place = (h >> np.uint64(20)).astype(np.int64) % buckets
                 place = np.concatenate((np.full(len(known), -1 - int(i[0]) % buckets), place[sent]))
                 h, i = np.concatenate((h[known], h[sent])), np.concatenate((i[known], i[sent]))
-                order = np.argsort(place, kind="stable")
+                order = np.lexsort((i, place))  # runs of one id take little room
                 h, i, place = h[order], i[order], place[order]
                 cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
                 ends = np.append(cuts[1:], len(h))
@@ -170,7 +173,7 @@ def splitters(docs: DataFrame, rows: int, ranges: int) -> list[bytes]:
 
     def run(batches):
         found = []
-        for _, data in _batches(batches, "text"):
+        for _, data in (row for rows in _batches(batches, "text") for row in rows):
             text = data.tobytes()
             found += [text[p : p + K] for p in anchors(data)[0][:: 1 + len(text) // 2_000].tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["gram"])
@@ -185,10 +188,10 @@ def entries(joined: DataFrame, text: str, cuts: list[bytes]) -> DataFrame:
     keys = np.array(cuts, f"S{K}")
 
     def run(batches):
-        for b in batches:
+        for b, texts in text_chunks(batches, text, CHUNK_BYTES):
             buffers, heads, starts, grams, begun = [], [], [], [], 0
-            for i, twin, t, hashes in zip(b.column("__sx_id").to_pylist(), b.column("__sx_twin").to_pylist(), b.column(text), b.column("__sx_hashes").to_pylist(), strict=True):
-                data = np.frombuffer((t.as_py() or "").encode(), np.uint8)
+            for i, twin, t, hashes in zip(b.column("__sx_id").to_pylist(), b.column("__sx_twin").to_pylist(), texts, b.column("__sx_hashes").to_pylist(), strict=True):
+                data = np.frombuffer(t.encode(), np.uint8)
                 at, h, index = anchors(data)
                 own = np.flatnonzero(np.isin(h, np.frombuffer(b"".join(hashes), np.uint64)))
                 if not len(own):
@@ -339,28 +342,44 @@ def repeated(packed: DataFrame) -> DataFrame:
     return packed.groupBy("range").applyInArrow(run, "doc_id long, twin long, spans binary")
 
 
+def copies(docs: DataFrame, text: str) -> DataFrame:
+    """__sx_copy_id: documents whose whole text a smaller id has; ids that stand for several rows are left out."""
+    digest = docs.where(F.octet_length(F.col(f"`{text}`")) >= LENGTH).select("doc_id", F.sha2(F.col(f"`{text}`").cast("binary"), 256).alias("digest")).where("doc_id is not null")
+    least = digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least")
+    single = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("doc_id")
+    found = digest.join(least, "digest").where("doc_id > least").select("doc_id").join(single, "doc_id", "left_semi")
+    return write_table(found.select(F.col("doc_id").alias("__sx_copy_id")), "suffix-copies")
+
+
 def with_spans(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
-    """``carry``, the text and ``__sx_spans``, the packed intervals to remove, of every row."""
+    """``carry``, the text, ``__sx_spans`` (the packed intervals to remove) and ``__sx_copy`` (all goes) of every row."""
     columns = list(dict.fromkeys([*carry, text]))
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce("doc_id", F.lit(NO_ID)).alias("__sx_id"), F.hash("doc_id", F.col(f"`{text}`")).alias("__sx_twin"))
     total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).head()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    plain = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
     buckets = max(1, total[1] // 16 // ANCHORS_PER_BUCKET + 1, min(parts, total[1] // (1 << 20) + 1))
     ranges = max(1, total[1] // BYTES_PER_RANGE + 1, min(parts, total[1] // (1 << 20) + 1))
-    shared = shared_anchors(plain, buckets).groupBy(F.col("doc_id").alias("__sx_sharing")).agg(F.collect_list("__sx_hashes").alias("__sx_hashes"))
-    cuts = splitters(plain, total[0], ranges)
-    # One exchange of the texts serves both joins: both read the same columns of it, and as
-    # its key is never null, neither filters first.
+    cuts = splitters(docs.select("doc_id", F.col(f"`{text}`").alias("text")), total[0], ranges)
+    whole = copies(docs, text)
+    # One exchange of the texts serves all joins: they read the same columns of it, and as
+    # its key is never null, none filters first.
     dealt = rows.repartition(parts, "__sx_id")
+    plain = dealt.join(whole.hint("shuffle_hash"), F.col("__sx_id") == F.col("__sx_copy_id"), "left").withColumn("doc_id", F.when(F.col("__sx_copy_id").isNull() & (F.col("__sx_id") != NO_ID), F.col("__sx_id")))
+    shared = shared_anchors(plain, text, buckets).groupBy(F.col("doc_id").alias("__sx_sharing")).agg(F.collect_list("__sx_hashes").alias("__sx_hashes"))
     joined = dealt.join(shared.hint("shuffle_hash"), F.col("__sx_id") == F.col("__sx_sharing"))
     found = repeated(entries(joined, text, cuts)).groupBy(F.col("doc_id").alias("__sx_owner")).agg(F.collect_list(F.struct("twin", "spans")).alias("__sx_found"))
     own = F.transform(F.filter("__sx_found", lambda x: x["twin"] == F.col("__sx_twin")), lambda x: x["spans"])
-    return dealt.join(found.hint("shuffle_hash"), F.col("__sx_id") == F.col("__sx_owner"), "left").select(*[F.col(f"`{c}`") for c in columns], own.alias("__sx_spans"))
+    return (
+        dealt.join(found.hint("shuffle_hash"), F.col("__sx_id") == F.col("__sx_owner"), "left")
+        .join(whole.hint("shuffle_hash"), F.col("__sx_id") == F.col("__sx_copy_id"), "left")
+        .select(*[F.col(f"`{c}`") for c in columns], own.alias("__sx_spans"), F.col("__sx_copy_id").isNotNull().alias("__sx_copy"))
+    )
 
 
-def cut_out(data: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:
+def cut_out(data: bytes, spans: list[bytes] | None, copy: bool) -> tuple[bytes, int, int]:
     """The bytes that stay, how many go, and in how many maximal runs."""
+    if copy:
+        return b"", len(data), 1
     if not spans:
         return data, 0, 0
     both = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)
@@ -376,9 +395,9 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for t, spans in zip(b.column("text"), b.column("__sx_spans").to_pylist(), strict=True):
+            for t, spans, copy in zip(b.column("text"), b.column("__sx_spans").to_pylist(), b.column("__sx_copy").to_pylist(), strict=True):
                 data = (t.as_py() or "").encode()
-                kept, gone, runs = cut_out(data, spans)
+                kept, gone, runs = cut_out(data, spans, copy)
                 rows.append((len(data), gone, runs, hashlib.sha256(kept).hexdigest()))
             c = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x, pa.int64()) for x in c[:3]], pa.array(c[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -393,8 +412,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text") -> DataFrame:
     def run(batches):
         for b in batches:
             texts = []
-            for own, spans in zip(b.column(text), b.column("__sx_spans").to_pylist(), strict=True):
-                texts.append(cut_out((own.as_py() or "").encode(), spans)[0].decode("utf-8", "ignore") if spans else own.as_py())
+            for own, spans, copy in zip(b.column(text), b.column("__sx_spans").to_pylist(), b.column("__sx_copy").to_pylist(), strict=True):
+                texts.append(cut_out((own.as_py() or "").encode(), spans, copy)[0].decode("utf-8", "ignore") if spans or copy else own.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else b.column(c) for c in names], names)
 
     return with_spans(docs, names, text).mapInArrow(run, docs.schema)
