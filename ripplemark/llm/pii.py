@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -100,13 +101,26 @@ def shown(spans: list[Span]) -> str:
 def candidates(text: str, spans: list[Span], window: int = WINDOW) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) for the words near each base span that lie outside all of them."""
     out = []
+    begin: list[int] = []
+    end: list[int] = []
+    for a, b, _ in spans:  # joined where they overlap, so that one look decides
+        if end and a <= end[-1]:
+            end[-1] = max(end[-1], b)
+        else:
+            begin.append(a)
+            end.append(b)
+
+    def apart(m: re.Match) -> bool:
+        k = bisect_left(begin, m.end()) - 1
+        return k < 0 or end[k] <= m.start()
+
     for a, b, kind in spans:
         # So many characters hold the window's words unless these are very long.
         low, high = max(0, a - 40 * window), min(len(text), b + 40 * window)
         before = [m for m in TERM.finditer(text, low, a) if low == 0 or m.start() > low][-window:]
         after = [m for m in TERM.finditer(text, b, high) if high == len(text) or m.end() < high][:window]
         entity = kind + ":" + re.sub(r"[^0-9a-z@.]", "", text[a:b].lower())
-        out += [(entity, m[0].lower(), m.start(), m.end()) for m in before + after if not any(s < m.end() and m.start() < e for s, e, _ in spans)]
+        out += [(entity, m[0].lower(), m.start(), m.end()) for m in before + after if apart(m)]
     return out
 
 
