@@ -108,16 +108,16 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, h[at], index
 
 
-def _batches(batches, column: str):
+def _batches(batches, key: str, column: str):
     for b, texts in text_chunks(batches, column, CHUNK_BYTES):
-        yield list(zip(b.column("doc_id").to_pylist(), [np.frombuffer(t.encode(), np.uint8) for t in texts], strict=True))
+        yield list(zip(b.column(key).to_pylist(), [np.frombuffer(t.encode(), np.uint8) for t in texts], strict=True))
 
 
 def shared_anchors(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """doc_id, hashes (packed): the anchors of each document that another document has too; rows of a null doc_id take no part."""
+    """doc_id, hashes (packed): the anchors of each document that another document has too; ``__sx_taking`` is the id, null for rows that take no part."""
 
     def deal(batches):
-        for rows in _batches(batches, text):
+        for rows in _batches(batches, "__sx_taking", text):
             hashes, ids = [], []
             for i, data in rows:
                 if i is not None and len(data) >= LENGTH:
@@ -173,7 +173,7 @@ def splitters(docs: DataFrame, rows: int, ranges: int) -> list[bytes]:
 
     def run(batches):
         found = []
-        for _, data in (row for rows in _batches(batches, "text") for row in rows):
+        for _, data in (row for rows in _batches(batches, "doc_id", "text") for row in rows):
             text = data.tobytes()
             found += [text[p : p + K] for p in anchors(data)[0][:: 1 + len(text) // 2_000].tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["gram"])
@@ -364,7 +364,7 @@ def with_spans(docs: DataFrame, carry: list[str], text: str = "text") -> DataFra
     # One exchange of the texts serves all joins: they read the same columns of it, and as
     # its key is never null, none filters first.
     dealt = rows.repartition(parts, "__sx_id")
-    plain = dealt.join(whole.hint("shuffle_hash"), F.col("__sx_id") == F.col("__sx_copy_id"), "left").withColumn("doc_id", F.when(F.col("__sx_copy_id").isNull() & (F.col("__sx_id") != NO_ID), F.col("__sx_id")))
+    plain = dealt.join(whole.hint("shuffle_hash"), F.col("__sx_id") == F.col("__sx_copy_id"), "left").withColumn("__sx_taking", F.when(F.col("__sx_copy_id").isNull() & (F.col("__sx_id") != NO_ID), F.col("__sx_id")))
     shared = shared_anchors(plain, text, buckets).groupBy(F.col("doc_id").alias("__sx_sharing")).agg(F.collect_list("__sx_hashes").alias("__sx_hashes"))
     joined = dealt.join(shared.hint("shuffle_hash"), F.col("__sx_id") == F.col("__sx_sharing"))
     found = repeated(entries(joined, text, cuts)).groupBy(F.col("doc_id").alias("__sx_owner")).agg(F.collect_list(F.struct("twin", "spans")).alias("__sx_found"))
