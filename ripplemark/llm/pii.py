@@ -8,23 +8,26 @@ term says about an entity.  With N documents, an entity in ``d_e`` of them, a te
     PMI(t; e) = log2(d_te N / (d_t d_e)),   IC(e) = log2(N / d_e)
 
 A term whose ``PMI / IC`` reaches ``disclosure`` in at least ``min_support`` documents
-gives the entity away, and its occurrences beside that entity become ``term`` spans.
+gives the entity away, and each of its occurrences outside base spans, in any document,
+becomes a ``term`` span.
 :func:`sanitise` puts a general word for base spans and for terms with digits or a
 capital, and removes other terms.
 
 The work is linear: each mention makes at most 2 WINDOW candidates; counts are combined
 before each shuffle, so one entity in a third of all documents is one row a task.  No
-text is shuffled.  Document frequencies are counted only for terms with support.
+text is shuffled, unless more than BROADCAST_ROWS terms are flagged.  Document
+frequencies are counted only for terms with support.
 
 Defined results: a null text is empty and has no spans; repeated rows count as often
-as they occur; documents without a base span never change; an empty table gives none.
+as they occur; documents without a base span or a flagged term never change; an empty
+table gives none.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -110,42 +113,91 @@ def candidates(text: str, spans: list[Span], window: int = WINDOW) -> list[tuple
             begin.append(a)
             end.append(b)
 
-    def apart(m: re.Match) -> bool:
-        k = bisect_left(begin, m.end()) - 1
-        return k < 0 or end[k] <= m.start()
+    def apart(x: int, y: int) -> bool:
+        k = bisect_left(begin, y) - 1
+        return k < 0 or end[k] <= x
 
+    first, last = [], []
+    for m in TERM.finditer(text) if spans else ():
+        first.append(m.start())
+        last.append(m.end())
     for a, b, kind in spans:
-        # So many characters hold the window's words unless these are very long.
-        low, high = max(0, a - 40 * window), min(len(text), b + 40 * window)
-        before = [m for m in TERM.finditer(text, low, a) if low == 0 or m.start() > low][-window:]
-        after = [m for m in TERM.finditer(text, b, high) if high == len(text) or m.end() < high][:window]
         entity = kind + ":" + re.sub(r"[^0-9a-z@.]", "", text[a:b].lower())
-        out += [(entity, m[0].lower(), m.start(), m.end()) for m in before + after if apart(m)]
+        i, j = bisect_right(last, a), bisect_left(first, b)
+        before = list(zip(first[max(0, i - window) : i], last[max(0, i - window) : i], strict=True))
+        after = list(zip(first[j : j + window], last[j : j + window], strict=True))
+        # Of a word across the span's edge, the part outside counts.
+        if i < len(first) and a - first[i] >= 3:
+            before = [*before, (first[i], a)][-window:]
+        if j and last[j - 1] - b >= 3:
+            after = [(b, last[j - 1]), *after][:window]
+        out += [(entity, text[x:y].lower(), x, y) for x, y in before + after if apart(x, y)]
     return out
 
 
-_FOUND = "spans array<struct<a:int,b:int,k:string>>, near array<struct<e:string,t:string,a:int,b:int>>"
+def words(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of all words outside the base spans."""
+    done = 0
+    for a, b, _ in (*spans, (len(text), len(text), "")):
+        for m in TERM.finditer(text, done, a) if a > done else ():
+            yield m[0].lower(), m.start(), m.end()
+        done = max(done, b)
+
+
+def _near(docs: DataFrame, text: str, window: int) -> DataFrame:
+    """``__pii_row`` and ``__pii_near`` (the candidates, as entity and term) of every row, written once."""
+    df = docs.select(F.monotonically_increasing_id().alias("__pii_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__pii_text"))
+    near_type = pa.list_(pa.struct([("e", pa.string()), ("t", pa.string())]))
+
+    def run(batches):
+        for batch in batches:
+            near = []
+            for t in batch.column("__pii_text"):
+                t = t.as_py()
+                near.append([{"e": e, "t": w} for e, w, _, _ in candidates(t, base_spans(t), window)])
+            yield pa.RecordBatch.from_arrays([batch.column("__pii_row"), pa.array(near, near_type)], ["__pii_row", "__pii_near"])
 
+    return write_table(df.mapInArrow(run, "__pii_row long, __pii_near array<struct<e:string,t:string>>"), "pii-near")
 
-def _find(docs: DataFrame, text: str, carry: list[str], window: int) -> DataFrame:
-    """The columns of ``carry``, ``__pii_row``, ``__pii_spans`` and ``__pii_near`` of every row, written once."""
-    df = docs.select(*[F.col(f"`{c}`") for c in carry], F.monotonically_increasing_id().alias("__pii_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__pii_text"))
-    keep = [c for c in df.columns if c != "__pii_text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "__pii_text") + ", " + _FOUND.replace("spans ", "__pii_spans ").replace("near ", "__pii_near ")
+
+def _marked(docs: DataFrame, text: str, carry: list[str], flagged: set[str]) -> DataFrame:
+    """The columns of ``carry``, ``__pii_spans`` and ``__pii_terms``: every occurrence of the ``flagged`` terms."""
+    df = docs.select(*[F.col(f"`{c}`") for c in carry], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__pii_text"))
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema[:-1]], "__pii_spans array<struct<a:int,b:int,k:string>>", "__pii_terms array<struct<a:int,b:int>>"])
     spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("k", pa.string())]))
-    near_type = pa.list_(pa.struct([("e", pa.string()), ("t", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
+    terms_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    known = docs.sparkSession.sparkContext.broadcast(flagged)
 
     def run(batches):
         for batch in batches:
-            spans, near = [], []
+            spans, terms = [], []
             for t in batch.column("__pii_text"):
                 t = t.as_py()
                 own = base_spans(t)
                 spans.append([{"a": a, "b": b, "k": k} for a, b, k in own])
-                near.append([{"e": e, "t": w, "a": a, "b": b} for e, w, a, b in candidates(t, own, window)] if own else [])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(spans, spans_type), pa.array(near, near_type)], [*keep, "__pii_spans", "__pii_near"])
+                hits = words(t, own) if known.value else ()
+                terms.append([{"a": a, "b": b} for w, a, b in hits if w in known.value] or None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, spans_type), pa.array(terms, terms_type)], [*carry, "__pii_spans", "__pii_terms"])
+
+    return df.mapInArrow(run, schema)
 
-    return write_table(df.mapInArrow(run, schema), "pii-found")
+
+def _joined(docs: DataFrame, text: str, carry: list[str], flagged: DataFrame) -> DataFrame:
+    """As :func:`_marked`, for more terms than a broadcast holds: all words are joined with ``flagged``."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.monotonically_increasing_id().alias("__pii_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__pii_text"))
+    rows = write_table(rows, "pii-rows")  # so that a row keeps its number
+
+    def run(batches):
+        for batch in batches:
+            for row, t in zip(batch.column("__pii_row"), batch.column("__pii_text"), strict=True):
+                t = t.as_py()
+                found = list(words(t, base_spans(t)))
+                term, a, b = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(found), pa.int64()), pa.array(term, pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["__pii_row", "term", "a", "b"])
+
+    every = rows.select("__pii_row", "__pii_text").mapInArrow(run, "__pii_row long, term string, a int, b int")
+    terms = every.join(flagged, "term", "left_semi").groupBy("__pii_row").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("__pii_terms"))
+    return _marked(rows, "__pii_text", [*carry, "__pii_row"], set()).drop("__pii_terms").join(terms, "__pii_row", "left").drop("__pii_row")
 
 
 def _frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
@@ -199,14 +251,11 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str, min_support: int,
 def find(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None, window: int = WINDOW, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """The columns ``carry`` (all, if None), ``__pii_spans`` (base) and ``__pii_terms`` (added; null if none)."""
     carry = docs.columns if carry is None else carry
-    found = _find(docs, text, carry, window)
-    flagged = disclosures(docs, found, text, min_support, disclosure).select("entity", "term")
-    near = found.select("__pii_row", F.explode("__pii_near").alias("x")).select("__pii_row", F.col("x.e").alias("entity"), F.col("x.t").alias("term"), F.col("x.a").alias("a"), F.col("x.b").alias("b"))
-    terms = near.join(flagged, ["entity", "term"]).groupBy("__pii_row").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("__pii_terms"))
-    terms = write_table(terms, "pii-terms")
-    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        terms = F.broadcast(terms)
-    return found.drop("__pii_near").join(terms, "__pii_row", "left").drop("__pii_row")
+    flagged = disclosures(docs, _near(docs, text, window), text, min_support, disclosure).select("term").distinct()
+    flagged = write_table(flagged, "pii-flagged")
+    if flagged.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return _joined(docs, text, carry, flagged)
+    return _marked(docs, text, carry, {r[0] for r in flagged.collect()})
 
 
 def all_spans(base: list[Span], terms: list[tuple[int, int]]) -> list[Span]:

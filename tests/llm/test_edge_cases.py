@@ -91,6 +91,30 @@ def test_pii_terms(spark):
     assert all(found[i] == "term:16:23,email:24:34" for i in range(6)) and not any(found[10 + i] for i in range(200))
 
 
+@pytest.mark.parametrize("most", [pii.BROADCAST_ROWS, 0])
+def test_pii_terms_everywhere(spark, monkeypatch, most):
+    """A flagged term is a span wherever it stands: far from the address, and in documents without one."""
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", most)
+    texts = ["the report from Zorblax jane@x.org " + " ".join(f"filler{k}" for k in range(30)) + " Then Zorblax left"] * 6 + ["nobody but Zorblax, zorblax too"]
+    texts += [None] + ["the report from nobody " + " ".join(f"filler{k}" for k in range(30)) + " Then somebody left"] * 200
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.spans for r in pii.digests(pii.find(df, carry=["doc_id"])).collect()}
+    far = texts[0].rindex("Zorblax")
+    assert all(found[i] == f"term:16:23,email:24:34,term:{far}:{far + 7}" for i in range(6))
+    assert found[6] == "term:11:18,term:20:27" and len(found) == len(texts) and not any(found[i] for i in range(7, len(texts)))
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert not any("orblax" in (t or "") for t in clean.values()) and all(clean[i] == texts[i] for i in range(7, len(texts)))
+
+
+def test_pii_window_in_words():
+    """The window is so many words, however long they are; parts of words beside a span count."""
+    long = [c * 200 for c in "abcdefghijklmnopqrst"]
+    text = " ".join([*long[:10], "jane@x.org", *long[10:]])
+    assert [w for _, w, _, _ in pii.candidates(text, pii.base_spans(text))] == long[2:18]
+    text = "one\u00e4\u00f6\u00fcjoe@x.org two"
+    assert [(w, a, b) for _, w, a, b in pii.candidates(text, [(6, 15, "email")])] == [("one\u00e4\u00f6\u00fc", 0, 6), ("two", 16, 19)]
+
+
 def test_toxicity(spark, docs, nothing):
     labels = spark.createDataFrame([(i, int(i == 16)) for i in range(17)] + [(None, 1), (3, None), (5, 0)], "doc_id long, toxic int")
     weights = toxicity.train(docs, labels)
