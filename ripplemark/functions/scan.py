@@ -40,7 +40,7 @@ def view_node(path: Column) -> Column:
 
 def studly(name: Column) -> Column:
     """``a.b-c`` as ``A.BC``: each part of a dotted name with its words joined by capitals."""
-    word = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))
+    word = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))
     return F.array_join(F.transform(F.split(name, r"\."), lambda p: F.array_join(F.transform(F.split(p, "[-_]"), word), "")), ".")
 
 

@@ -42,7 +42,7 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
     rows = rows.withColumn("at", last(F.when(F.col("head"), F.col("n"))))
     inside = (F.col("n") > F.col("at")) & (F.col("n") <= F.col("at") + last("old_n") + last("new_n") + F.lit(0))
     rows = rows.withColumn("inside", F.coalesce(inside, F.lit(False)) & ~F.col("head"))
-    outside = lambda prefix: F.when(~F.col("inside") & F.col("raw").startswith(prefix), F.substring(F.col("raw"), len(prefix) + 1, 10_000))
+    outside = lambda prefix: F.when(~F.col("inside") & F.col("raw").startswith(prefix), F.substr(F.col("raw"), F.lit(len(prefix) + 1)))
     start = F.when(~F.col("inside") & F.col("raw").startswith("diff --git "), F.col("n"))
     rows = rows.withColumn("file", last(start)).withColumn("minus", outside("--- ")).withColumn("plus", outside("+++ ")).withColumn("from_name", outside("rename from ")).withColumn("to_name", outside("rename to "))
     whole = Window.partitionBy("id", "file")
@@ -56,7 +56,7 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("id", "at", "side").orderBy("n")) - 1
     return rows.select(
         "id", F.coalesce("new_path", "old_path").alias("path"), "old_path", "is_new", "side",
-        (F.when(F.col("side") == "removed", F.col("first_old")).otherwise(F.col("first_new")) + nth).alias("line"), F.substring("raw", 2, 10_000).alias("text"),
+        (F.when(F.col("side") == "removed", F.col("first_old")).otherwise(F.col("first_new")) + nth).alias("line"), F.substr(F.col("raw"), F.lit(2)).alias("text"),
     )
 
 

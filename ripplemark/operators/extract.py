@@ -104,14 +104,14 @@ def local_jobs(facts: DataFrame, sites: DataFrame) -> DataFrame:
     """The sites that dispatch a variable, with the class (name) that its only write, before the site, makes."""
     n = F.count(F.lit(1)).over(Window.partitionBy("path", "cls", "method", "name"))
     once = _in(facts, "write").withColumn("n", n).where("n = 1 and arg is not null and not nested").select("path", "cls", "method", F.col("name").alias("var"), F.col("arg").alias("made"), F.col("pos").alias("written"))
-    asked = sites.where(F.col("extra").startswith("var:")).withColumn("var", F.substring(F.col("extra"), 5, 10_000))
+    asked = sites.where(F.col("extra").startswith("var:")).withColumn("var", F.substr(F.col("extra"), F.lit(5)))
     return asked.join(once, ["path", "cls", "method", "var"]).where(F.col("written") < F.col("pos")).select(*sites.columns, F.col("made").alias("name"))
 
 
 def dispatch_edges(facts: DataFrame, helpers: tuple[str, ...] = ()) -> DataFrame:
     """To the ``handle`` of each dispatched class, and of each class that a dispatching method makes and that is a target."""
     sites = dispatches(facts, helpers)
-    named = sites.where(F.col("extra").startswith("new:")).select("cls", "method", F.substring(F.col("extra"), 5, 10_000).alias("name"))
+    named = sites.where(F.col("extra").startswith("new:")).select("cls", "method", F.substr(F.col("extra"), F.lit(5)).alias("name"))
     made = _in(facts, "new").where("name is not null").select("cls", "method", "name").join(sites.select("cls", "method").distinct(), ["cls", "method"], "left_semi")
     both = named.unionByName(local_jobs(facts, sites).select("cls", "method", "name")).unionByName(made).where("name <> cls").distinct().join(dispatch_targets(facts), "name", "left").where(F.coalesce("target", F.lit(True)))
     return _edge(both, member(), F.concat(F.col("name"), F.lit("::handle")), "action-to-job")

@@ -114,7 +114,7 @@ def instance_call_keep(edges: DataFrame, closure: DataFrame, declared: DataFrame
 
 def short_id_rewrite(edges: DataFrame, classes: DataFrame, methods: DataFrame, prefix: str = "controller::") -> DataFrame:
     """Targets such as ``controller::Name@method`` become the one class of that base name that has the method."""
-    short = F.split(F.substring(F.col("target"), len(prefix) + 1, 10_000), "@")
+    short = F.split(F.substr(F.col("target"), F.lit(len(prefix) + 1)), "@")
     asked = edges.where(F.col("target").startswith(prefix)).select("target", short[0].alias("name"), short[1].alias("method")).distinct()
     known = classes.select("cls", base_name(F.col("cls")).alias("name")).join(methods.select("cls", "method"), "cls")
     answer = asked.join(known, ["name", "method"]).groupBy("target").agg(F.min("cls").alias("cls"), F.max("cls").alias("most"), F.first("method").alias("method")).where("cls = most")
@@ -146,7 +146,7 @@ def merge_metadata(meta: DataFrame, key: str, ordinal: str, columns: list[str])
 
 def fallback_files(meta: DataFrame, files: DataFrame, root: str = "App.") -> DataFrame:
     """node, file: a class without a file gets the path that its name gives, if there is such a file."""
-    guess = F.concat(F.lit("app/"), F.replace(F.substring(class_of(F.col("node")), len(root) + 1, 10_000), F.lit("."), F.lit("/")), F.lit(".php"))
+    guess = F.concat(F.lit("app/"), F.replace(F.substr(class_of(F.col("node")), F.lit(len(root) + 1)), F.lit("."), F.lit("/")), F.lit(".php"))
     guess = F.when(F.col("file").isNull() & F.col("node").startswith(root), guess)
     return meta.withColumn("guess", guess).join(files.select(F.col("path").alias("guess"), F.lit(True).alias("there")), "guess", "left").select("node", F.coalesce("file", F.when(F.col("there"), F.col("guess"))).alias("file"))
 
