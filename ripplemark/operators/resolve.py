@@ -90,18 +90,24 @@ def relation_edges(relations: DataFrame) -> DataFrame:
     return relations.select(F.concat_ws("::", "owner", "method").alias("source"), F.col("related").alias("target"), F.lit("relation-to-model").alias("type")).distinct()
 
 
-def relation_chains(chains: DataFrame, relations: DataFrame, closure: DataFrame, longest: int = 8) -> DataFrame:
-    """id, pos, source, target of dotted chains (id, root, path), hop by hop; a to-many hop is the last, an unknown one draws nothing."""
+def relation_chains(chains: DataFrame, relations: DataFrame, closure: DataFrame, stop_at_many: bool = False) -> DataFrame:
+    """id, pos, source, target of dotted chains (id, root, path), hop by hop; an unknown hop draws nothing and ends its path.
+
+    With ``stop_at_many``, as for the traversal of relations in a body, a to-many hop is the
+    last.  After the first segment, columns (``comments:id,body``) aren't part of the name.
+    """
     parts = chains.select("id", F.col("root").alias("cls"), F.split("path", r"\.").alias("path"))
-    found = []
-    for pos in range(longest):
-        now = parts.where(F.size("path") > pos).withColumn("method", F.col("path")[pos])
+    found: list[DataFrame] = []
+    while True:  # to the end of the longest path that resolves
+        pos = len(found)
+        segment = F.get("path", F.lit(pos))
+        now = parts.where(F.size("path") > pos).withColumn("method", F.substring_index(segment, ":", 1) if pos else segment)
         hop = now.join(relation_lookup(now.select("cls", "method").distinct(), relations, closure), ["cls", "method"])
         hop = write_table(hop, "relation-chains")
         if hop.isEmpty():
             break
         found.append(hop.select("id", F.lit(pos).alias("pos"), F.concat_ws("::", "owner", "method").alias("source"), F.col("related").alias("target")))
-        parts = hop.where(~F.col("to_many")).select("id", F.col("related").alias("cls"), "path")
+        parts = (hop.where(~F.col("to_many")) if stop_at_many else hop).select("id", F.col("related").alias("cls"), "path")
     return reduce(DataFrame.unionByName, found) if found else chains.select("id", F.lit(0).alias("pos"), F.col("root").alias("source"), F.col("path").alias("target")).limit(0)
 
 

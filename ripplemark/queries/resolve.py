@@ -89,7 +89,8 @@ def relation_to_model(spark, sf_dir):
 
 
 def relation_tail(spark, sf_dir):
-    return resolve.relation_chains(relation(spark, sf_dir, CHAINS), relation(spark, sf_dir, RELATIONS), _closure(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long"))
+    # The SQL ends a path at its first to-many hop.
+    return resolve.relation_chains(relation(spark, sf_dir, CHAINS), relation(spark, sf_dir, RELATIONS), _closure(spark, sf_dir), stop_at_many=True).withColumn("pos", F.col("pos").cast("long"))
 
 
 def instance_call_keep(spark, sf_dir):
