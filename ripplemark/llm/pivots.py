@@ -1,6 +1,7 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Each vector is described by its PREFIX nearest pivots, in order.  The inverted list of a
+Each vector is described by its nearest pivots, in order: PREFIX of up to PIVOTS_LEAST
+pivots and one more for each doubling, so that recall holds.  The inverted list of a
 pivot, within one label, holds the vectors that have it in their description.  Two
 vectors of a list are candidates if they share at least SHARED pivots; candidates are
 verified by their cosine in double precision.  A pair is looked at only in the list of
@@ -14,7 +15,7 @@ links only, never all pairs.  Recall is measured against brute force in the test
 
 Defined results: a null vector, one with null or non-finite components, and a zero vector
 link with nothing, as do rows with a null label; vectors of different lengths aren't
-compared; of rows that share an id one takes part, the one with the least hash; a null
+compared; of the usable rows that share an id one takes part, the one with the least hash; a null
 id takes no part and is kept; an empty table gives an empty result.
 """
 
@@ -43,7 +44,17 @@ def usable(vectors: DataFrame) -> DataFrame:
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector")).where("vec_id is not null and label is not null and vector is not null and size(vector) > 0")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     one = Window.partitionBy("vec_id").orderBy(F.xxhash64("vector", "label"))
-    return rows.withColumn("nth", F.row_number().over(one)).where(F.col("nth") == 1).where(fine).select("vec_id", "label", F.size(v).alias("dims"), "vector")
+    return rows.where(fine).withColumn("nth", F.row_number().over(one)).where(F.col("nth") == 1).select("vec_id", "label", F.size(v).alias("dims"), "vector")
+
+
+def prefix_of(pivots: int, prefix: int = PREFIX) -> int:
+    """How many of so many pivots describe a vector."""
+    return prefix + max(0, math.ceil(math.log2(pivots / PIVOTS_LEAST)))
+
+
+def nearest(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
+    """The description of each unit vector: its nearest pivots, in order."""
+    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, : prefix_of(len(pivots), prefix)]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -66,7 +77,7 @@ def described(rows: DataFrame, pivots: dict[int, np.ndarray], prefix: int) -> Da
                 part = b.filter(pa.array(dims == d))
                 x = unit(_matrix(part.column("vector")))
                 known = shared.value.get(int(d))
-                near = np.argsort(-(x @ known.T), axis=1, kind="stable")[:, :prefix] if known is not None else np.zeros((len(x), 1), np.int64)
+                near = nearest(x, known, prefix) if known is not None else np.zeros((len(x), 1), np.int64)
                 stops = np.arange(len(x) + 1, dtype=np.int32) * near.shape[1]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("vec_id"), part.column("label"), part.column("dims"), pa.ListArray.from_arrays(pa.array(stops), pa.array(near.ravel().astype(np.int32))), pa.array([r.tobytes() for r in x], pa.binary())],

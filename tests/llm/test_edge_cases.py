@@ -197,6 +197,25 @@ def test_pivots(spark):
     assert not pivots.classes(df.limit(0)).count()
 
 
+@pytest.mark.parametrize("most", [64, 1_024, 4_096])
+def test_pivots_recall(most):
+    """Pairs at the least cosine share enough pivots, however many there are."""
+    rng = np.random.default_rng(7)
+    known = pivots.unit(rng.normal(size=(most, 16)))
+    a, r = pivots.unit(rng.normal(size=(2_000, 16))), rng.normal(size=(2_000, 16))
+    r = pivots.unit(r - (r * a).sum(1, keepdims=True) * a)
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * r
+    x, y = pivots.nearest(a, known), pivots.nearest(b, known)
+    assert ((x[:, :, None] == y[:, None, :]).sum((1, 2)) >= pivots.SHARED).mean() >= 0.99
+
+
+def test_pivots_repeated_ids(spark):
+    """A row that can't take part doesn't keep out another of its id."""
+    rows = [(i, v, 1) for i in range(8) for v in ([1.0, 2.0, 3.0 + i], [0.0] * 3, [float("nan")] * 3, [None, 1.0, 1.0])]
+    found = pivots.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id, r.vector) for r in found) == [(i, [1.0, 2.0, 3.0 + i]) for i in range(8)]
+
+
 def test_packing(docs, nothing):
     found = packing.pack_documents(docs, lengths=(64, 128, 256), rows_per_block=7).collect()
     assert not packing.pack_documents(nothing).count()
