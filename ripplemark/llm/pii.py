@@ -1,26 +1,31 @@
 """Information-theoretic sanitisation of personal data.
 
-Base spans are e-mail, IP, card and phone numbers, found by fixed patterns.  Each
-found value is a protected entity.  Corpus co-occurrence then estimates how much a
-term says about an entity.  With N documents, an entity in ``d_e`` of them, a term in
-``d_t`` and both, the term within WINDOW words of the entity, in ``d_te``:
+Base spans are e-mail, IP, card and phone numbers, found by fixed patterns.  Each found
+value stands for protected entities at two or three levels, so that an entity recurs even
+where its exact value doesn't (:func:`levels`): the value itself, the name in an address, its domain,
+the network of an IP number, the block of a phone number, the issuer of a card.  Corpus
+co-occurrence then estimates how much a term says about an entity.  With N documents, an
+entity in ``d_e`` of them, a term in ``d_t`` and both, the term within WINDOW words of the
+entity, in ``d_te``:
 
     PMI(t; e) = log2(d_te N / (d_t d_e)),   IC(e) = log2(N / d_e)
 
 A term whose ``PMI / IC`` reaches ``disclosure`` in at least ``min_support`` documents
 gives the entity away, and each of its occurrences outside base spans, in any document,
-becomes a ``term`` span.
+becomes a ``term`` span.  An entity of less than MIN_CONTENT bits stands in so large a
+part of all documents that it names no one, and isn't protected.
 :func:`sanitise` puts a general word for base spans and for terms with digits or a
 capital, and removes other terms.
 
-The work is linear: each mention makes at most 2 WINDOW candidates; counts are combined
+The work is linear: each mention makes at most 6 WINDOW candidates; counts are combined
 before each shuffle, so one entity in a third of all documents is one row a task.  No
 text is shuffled, unless more than BROADCAST_ROWS terms are flagged.  Document
 frequencies are counted only for terms with support.
 
-Defined results: a null text is empty and has no spans; repeated rows count as often
-as they occur; documents without a base span or a flagged term never change; an empty
-table gives none.
+Defined results: a null text is empty and has no spans; very long texts and words are taken
+whole; repeated rows count as often as they occur; documents without a base span or a flagged
+term never change; spans that start alike are shown in the order of their kinds; names that
+begin with ``__pii_`` are reserved, and a table with such a column is refused; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -41,6 +46,9 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW = 8
 MIN_SUPPORT = 3
 DISCLOSURE = 0.8
+MIN_CONTENT = 5.0
+#: Letters that the name in an address has at least.
+SHORTEST_NAME = 4
 #: Broadcasts hold at most so many rows; beyond that the rows are shuffled.
 BROADCAST_ROWS = 100_000
 #: The characters of an e-mail's two sides and the other patterns.
@@ -101,6 +109,27 @@ def shown(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
+def value_of(text: str, kind: str) -> str:
+    """A base span as an entity, however it was written."""
+    return kind + ":" + re.sub(r"[^0-9a-z@.]", "", text.lower())
+
+
+def levels(value: str) -> list[str]:
+    """The entities that a value stands for: itself, and what several values have in common."""
+    kind, _, text = value.partition(":")
+    if kind == "email":
+        local, _, domain = text.partition("@")
+        name = re.sub("[^a-z.]", "", local).strip(".")
+        return [value, *(["name:" + name] if len(name) >= SHORTEST_NAME else []), "domain:" + domain]
+    if kind == "ip":
+        return [value, "net:" + text.rpartition(".")[0]]
+    return [value, "area:" + text[:-4]] if kind == "phone" else [value, "issuer:" + text[:6]]
+
+
+def entities(text: str, kind: str) -> list[str]:
+    return levels(value_of(text, kind))
+
+
 def candidates(text: str, spans: list[Span], window: int = WINDOW) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) for the words near each base span that lie outside all of them."""
     out = []
@@ -122,7 +151,7 @@ def candidates(text: str, spans: list[Span], window: int = WINDOW) -> list[tuple
         first.append(m.start())
         last.append(m.end())
     for a, b, kind in spans:
-        entity = kind + ":" + re.sub(r"[^0-9a-z@.]", "", text[a:b].lower())
+        entity = value_of(text[a:b], kind)
         i, j = bisect_right(last, a), bisect_left(first, b)
         before = list(zip(first[max(0, i - window) : i], last[max(0, i - window) : i], strict=True))
         after = list(zip(first[j : j + window], last[j : j + window], strict=True))
@@ -154,7 +183,10 @@ def _near(docs: DataFrame, text: str, window: int) -> DataFrame:
             near = []
             for t in batch.column("__pii_text"):
                 t = t.as_py()
-                near.append([{"e": e, "t": w} for e, w, _, _ in candidates(t, base_spans(t), window)])
+                spans = base_spans(t)
+                # An entity without a word beside it counts, too: with an empty term.
+                alone = [{"e": e, "t": ""} for e in sorted({e for a, b, k in spans for e in entities(t[a:b], k)})]
+                near.append(alone + [{"e": e, "t": w} for v, w, _, _ in candidates(t, spans, window) for e in levels(v)])
             yield pa.RecordBatch.from_arrays([batch.column("__pii_row"), pa.array(near, near_type)], ["__pii_row", "__pii_near"])
 
     return write_table(df.mapInArrow(run, "__pii_row long, __pii_near array<struct<e:string,t:string>>"), "pii-near")
@@ -231,7 +263,7 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str, min_support: int,
     n = found.count()
     near = found.select("__pii_row", F.explode("__pii_near").alias("x")).select("__pii_row", F.col("x.e").alias("entity"), F.col("x.t").alias("term"))
     # A row's pairs are in one task, so distinct needs no key but its own.
-    pairs = near.groupBy("__pii_row", "entity", "term").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("d_te")).where(F.col("d_te") >= min_support)
+    pairs = near.where("term <> ''").groupBy("__pii_row", "entity", "term").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("d_te")).where(F.col("d_te") >= min_support)
     pairs = write_table(pairs, "pii-pairs")
     entities = (
         found.select("__pii_row", F.explode(F.array_distinct(F.transform("__pii_near", lambda x: x["e"]))).alias("entity"))
@@ -244,12 +276,14 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str, min_support: int,
         frequencies = _frequencies(docs, text, terms)
     scored = pairs.join(entities, "entity").join(frequencies, "term")
     content = F.log2(F.lit(float(max(n, 1))) / F.col("d_e"))
-    ratio = F.when(content > 0, F.log2(F.col("d_te") * F.lit(float(max(n, 1))) / (F.col("d_t") * F.col("d_e"))) / content).otherwise(F.lit(0.0))
+    ratio = F.when(content >= MIN_CONTENT, F.log2(F.col("d_te") * F.lit(float(max(n, 1))) / (F.col("d_t") * F.col("d_e"))) / content).otherwise(F.lit(0.0))
     return scored.withColumn("ratio", ratio).where(F.col("ratio") >= disclosure)
 
 
 def find(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None, window: int = WINDOW, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """The columns ``carry`` (all, if None), ``__pii_spans`` (base) and ``__pii_terms`` (added; null if none)."""
+    if clash := [c for c in docs.columns if c.startswith("__pii_")]:
+        raise ValueError(f"reserved column names: {clash}")
     carry = docs.columns if carry is None else carry
     flagged = disclosures(docs, _near(docs, text, window), text, min_support, disclosure).select("term").distinct()
     flagged = write_table(flagged, "pii-flagged")

@@ -13,12 +13,16 @@ what they read, Spark sums the counts.  The most frequent words and grams (a fix
 are broadcast with their prices; occurrences of all others are shuffled as (row, key,
 times), joined with counts or prices, and summed.  A frequent key is thus never shuffled
 by document, and a rare one never held by all.  Grams are priced in groups by the last
-two context bytes, which all contexts of one chain share; shorter contexts are at most
-65,536 entries and broadcast.
+two context bytes, which all contexts of one chain share; a group of more than SPLIT_GRAMS
+is dealt by the third last byte as well, so it has 65,536 grams at most, and the counts of
+its two-byte context are broadcast, as are those of shorter ones (65,536 entries at most).
 
 Defined results: a null text is empty (one end token); texts of a null id count as
 training and aren't held out; repeated rows count as often as they occur; without
-training rows c, N and V are 0; an empty table gives an empty result.
+training rows c, N and V are 0; very long texts are read whole, one at a time; of words or
+grams that are equally frequent the lesser are broadcast, which changes no result beyond
+rounding; columns other than doc_id and text aren't read, so their names can't clash;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ HELD_OUT_OF, HELD_OUT_IS = 7, 2
 HOT_WORDS, HOT_GRAMS = 200_000, 500_000
 #: Distinct words or grams that a task gathers before it hands them on.
 GATHERED = 500_000
+#: Distinct grams that are priced in one group.
+SPLIT_GRAMS = 200_000
 #: Bytes that UTF-8 never has, for the place before a text and its end.
 START, END = 0xFE, 0xFF
 WORD, GRAM, STOP = 0, 1, 2
@@ -97,11 +103,13 @@ def training_counts(docs: DataFrame) -> DataFrame:
     return write_table(found.groupBy("kind", "key", "gram").agg(F.sum("c").alias("c")), "lm-counts")
 
 
-def price(trie: np.ndarray, counts: np.ndarray, wanted: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def price(trie: np.ndarray, counts: np.ndarray, wanted: np.ndarray, pairs: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
     """log10 of the probability of each wanted gram.
 
     ``trie`` has all training grams whose contexts end as the wanted ones do, ascending;
-    ``pairs[b, s]`` counts symbol s after byte b over the whole corpus.
+    ``pairs[b, s]`` counts symbol s after byte b over the whole corpus.  Where ``trie`` has
+    only those with the third last byte of the wanted ones, ``second[s]`` counts symbol s
+    after the last two bytes.
     """
     out = np.zeros(len(wanted))
     by_context = np.argsort(wanted, kind="stable")
@@ -114,7 +122,9 @@ def price(trie: np.ndarray, counts: np.ndarray, wanted: np.ndarray, pairs: np.nd
         symbol = wanted[queries] & 0xFF
         out_of, open_, sums = np.zeros((len(row_of), 256), bool), np.ones(len(queries), bool), np.zeros(len(queries))
         for order in range(ORDER, -1, -1):
-            if order >= 2:
+            if order == 2 and second is not None:
+                table = np.broadcast_to(second, (len(row_of), 256))
+            elif order >= 2:
                 mask = (1 << 8 * order) - 1
                 own, back = np.unique(row_of & mask, return_inverse=True)
                 place = np.searchsorted(own, trie >> 8 & mask)
@@ -191,16 +201,25 @@ def priced(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     pairs = np.zeros((256, 256))
     for r in short:
         pairs[r["pair"] >> 8, r["pair"] & 0xFF] = r["c"]
-    sent = counts.sparkSession.sparkContext.broadcast(pairs)
-
-    def run(trie, wanted):
+    large = [r["tail"] for r in trie.groupBy("tail").count().where(F.col("count") > SPLIT_GRAMS).collect()]  # at most 65,536
+    second: dict[int, np.ndarray] = {}
+    if large:
+        known = trie.where(F.col("tail").isin(large)).groupBy("tail", F.col("gram").bitwiseAND(0xFF).alias("s")).agg(F.sum("c").alias("c"))
+        for r in known.collect():  # at most 256 a large tail
+            second.setdefault(r["tail"], np.zeros(256))[r["s"]] = r["c"]
+    sent = counts.sparkSession.sparkContext.broadcast((pairs, second))
+
+    def run(key, trie, wanted):
         keys, c = trie.column("gram").to_numpy(), trie.column("c").to_numpy()
         order = np.argsort(keys)
         asked = wanted.column("gram").to_numpy()
-        return pa.table({"gram": pa.array(asked, pa.int64()), "price": pa.array(price(keys[order], c[order], asked, sent.value), pa.float64())})
+        pairs, second = sent.value
+        prices = price(keys[order], c[order], asked, pairs, second.get(key[0].as_py()))
+        return pa.table({"gram": pa.array(asked, pa.int64()), "price": pa.array(prices, pa.float64())})
 
-    asked = wanted.select("gram").distinct().withColumn("tail", F.shiftright("gram", 8).bitwiseAND(0xFFFF))
-    return trie.groupBy("tail").cogroup(asked.groupBy("tail")).applyInArrow(run, "gram long, price double")
+    third = F.when(F.col("tail").isin(large), F.shiftright("gram", 24).bitwiseAND(0xFF)).otherwise(F.lit(-1)) if large else F.lit(-1)
+    asked = wanted.select("gram").distinct().withColumn("tail", F.shiftright("gram", 8).bitwiseAND(0xFFFF)).withColumn("third", third.cast("long"))
+    return trie.withColumn("third", third.cast("long")).groupBy("tail", "third").cogroup(asked.groupBy("tail", "third")).applyInArrow(run, "gram long, price double")
 
 
 def score(docs: DataFrame) -> DataFrame:

@@ -6,12 +6,19 @@ a bounded sample of labelled rows in hash order, with one learning rate a coordi
 and an L1 term that leaves most weights exactly 0; the rest are broadcast, at most
 2**BITS numbers.
 
-At most TRAIN_ROWS labelled rows are used: those whose hashed id is smallest.  Their
-features are made in parallel; one task then fits the model.  Scoring reads each whole
-text once and shuffles nothing.
+At most TRAIN_ROWS labelled documents are used: those whose hashed id is smallest.  Of the
+rows that share such an id one counts, the one whose text has the least hash, so the bound
+is one of rows.  Their features are made in parallel; one task then fits the model.
+Scoring reads each whole text once and shuffles nothing.
+
+The settings were chosen by :func:`validate`, which fits on folds of the same sample:
+rows that are held out (remainder 0) are never read for it.
 
 Defined results: a null or blank text has the bias alone; without labelled rows every
-score is 0.5; ids and labels are never features; an empty table gives an empty result.
+score is 0.5; ids and labels are never features; very long texts are read whole, and their memory
+is that of their words; ties of the order are broken by label, then by the features' hash; columns of
+``docs`` other than doc_id and text aren't read, so their names can't clash; rows of a null id
+are scored and not held out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +35,9 @@ BITS = 20
 STEMS = (4, 5)
 TRAIN_ROWS = 10_000
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 HELD_OUT_OF = 5
+FOLDS = 4
 _SHIFT = np.uint64(64 - BITS)
 
 
@@ -77,33 +85,72 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % of
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> DataFrame:
-    """place, weight: the weights that aren't 0, from rows whose remainder isn't 0."""
+def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """doc_id, o (the order), y, f (packed places) of at most ``rows`` labelled documents whose remainder isn't 0."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder(F.col("doc_id"), HELD_OUT_OF) != 0))
     # A repeated id keeps its largest label; the sample is the same for any partitioning.
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     sample = known.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most ``rows`` rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most ``rows`` ids
 
     def describe(batches):
         for b in batches:
             found = [features(t.as_py()).astype(np.int32).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("o"), b.column("y"), pa.array(found, pa.binary())], ["o", "y", "f"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "o", "y")], pa.array(found, pa.binary())], ["doc_id", "o", "y", "f"])
+
+    # One row of an id: combined before the shuffle, so an id on very many rows is one row a task.
+    one = texts.groupBy("doc_id", "o", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("doc_id", "o", "y", F.col("t.text").alias("text")).mapInArrow(describe, "doc_id long, o long, y int, f binary")
+
+
+def _rows(batches) -> list[tuple[np.ndarray, int]]:
+    return [(np.frombuffer(f, np.int32), y) for b in batches for y, f in zip(b.column("y").to_pylist(), b.column("f").to_pylist(), strict=True)]
+
+
+def fitted(seen: list[tuple[np.ndarray, int]], epochs: int, **settings) -> Ftrl:
+    model = Ftrl(**settings)
+    for _ in range(epochs):
+        for at, y in seen:
+            model.learn(at, y)
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = TRAIN_ROWS, epochs: int = EPOCHS, **settings) -> DataFrame:
+    """place, weight: the weights that aren't 0, from rows whose remainder isn't 0; ``settings`` are those of :class:`Ftrl`."""
 
     def fit(batches):
-        model = Ftrl()
-        seen = [(np.frombuffer(f, np.int32), y) for b in batches for y, f in zip(b.column("y").to_pylist(), b.column("f").to_pylist(), strict=True)]
-        for _ in range(epochs):
-            for at, y in seen:
-                model.learn(at, y)
+        model = fitted(_rows(batches), epochs, **settings)
         w = model.weights(np.arange(len(model.z)))
         there = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(w[there], pa.float64())], ["place", "weight"])
 
-    described = texts.mapInArrow(describe, "o long, y int, f binary")
+    described = sampled(docs, labels, label, rows).drop("doc_id")
     return described.repartition(1).sortWithinPartitions("o", "y", F.xxhash64("f")).mapInArrow(fit, "place int, weight double")
 
 
+def validate(docs: DataFrame, labels: DataFrame, settings: list[dict], *, label: str = "toxic", rows: int = TRAIN_ROWS, epochs: int = EPOCHS, folds: int = FOLDS) -> DataFrame:
+    """setting, fold, n, right, loss: each of ``settings`` fitted without a fold and judged on it.
+
+    The folds are a hash of the id, among rows whose remainder isn't 0.  Every setting and
+    fold is a task of its own; each reads the bounded sample.
+    """
+    sample = sampled(docs, labels, label, rows).withColumn("part", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(folds)).cast("int"))
+    tries = docs.sparkSession.createDataFrame([(s, f) for s in range(len(settings)) for f in range(folds)], "setting int, fold int")
+    dealt = sample.join(F.broadcast(tries))  # a fixed, small number of tries
+
+    def run(key, table):
+        setting, fold = key[0].as_py(), key[1].as_py()
+        table = table.sort_by([("o", "ascending"), ("doc_id", "ascending")])
+        seen, part = _rows([table]), table.column("part").to_numpy()
+        model = fitted([x for x, p in zip(seen, part, strict=True) if p != fold], epochs, **settings[setting])
+        own = [(model.weights(at).sum(), y) for (at, y), p in zip(seen, part, strict=True) if p == fold]
+        z, y = np.clip([x[0] for x in own], -35, 35), np.array([x[1] for x in own], float)
+        loss, right = float(np.sum(np.log1p(np.exp(-z)) + (1 - y) * z)), int(np.sum((z >= 0) == (y == 1)))
+        return pa.table({"setting": pa.array([setting], pa.int32()), "fold": pa.array([fold], pa.int32()), "n": pa.array([len(own)], pa.int64()), "right": pa.array([right], pa.int64()), "loss": pa.array([loss], pa.float64())})
+
+    return dealt.groupBy("setting", "fold").applyInArrow(run, "setting int, fold int, n long, right long, loss double")
+
+
 def score(docs: DataFrame, weights: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     table = np.zeros(1 << BITS, np.float32)
