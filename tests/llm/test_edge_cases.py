@@ -197,7 +197,7 @@ def test_pivots(spark):
     assert not pivots.classes(df.limit(0)).count()
 
 
-@pytest.mark.parametrize("most", [64, 1_024, 4_096])
+@pytest.mark.parametrize("most", [64, 226, 1_024, 4_096, 16_384])
 def test_pivots_recall(most):
     """Pairs at the least cosine share enough pivots, however many there are."""
     rng = np.random.default_rng(7)
@@ -206,7 +206,7 @@ def test_pivots_recall(most):
     r = pivots.unit(r - (r * a).sum(1, keepdims=True) * a)
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * r
     x, y = pivots.nearest(a, known), pivots.nearest(b, known)
-    assert ((x[:, :, None] == y[:, None, :]).sum((1, 2)) >= pivots.SHARED).mean() >= 0.99
+    assert ((x[:, :, None] == y[:, None, :]).sum((1, 2)) >= pivots.shared_of(most)).mean() >= 0.99
 
 
 def test_pivots_repeated_ids(spark):
