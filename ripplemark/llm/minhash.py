@@ -3,21 +3,26 @@
 Two small collections of COLLECTION keys each are made from ROWS minhashes a key.  A
 table key is a pair of one key of each collection, so COLLECTION**2 tables of 2 * ROWS
 minhashes cost only 2 * COLLECTION * ROWS minhash computations.  Two texts meet in a
-table if they share some key of the first and some key of the second collection; at a
-similarity of 0.8, all of them miss with a probability of 4 in 10,000.
+table if they share some key of the first and some key of the second collection:
+at a similarity of 0.8 all but 7 in 10,000 pairs do, at 0.5 one in five, at 0.3 one in 500.
 
 1. Texts with equal shingle sets are one representative (the least id).
 2. Keys that only one representative has are dropped; the rest are combined into table
-   keys.  Each table links its members to the least one: a star, never all pairs.
-3. The components of these unverified stars are candidate groups.  Each group's full
-   sets are compared exactly, all against all, in blocks: a group larger than a block
-   is dealt over the pairs of its blocks, so no task holds more than two blocks.
-4. The components of the verified links, handed back over the representatives.
-
-A group is a superset of all its tables' candidates, so grouping loses no link.
+   keys.  Each representative is compared, on the full sets, with the least member of the
+   tables that it is in: one comparison each.  Only verified links are closed into components.
+3. A table whose members are all of one component is settled.  The members of all others are
+   joined into groups, and each group's full sets compared all against all, in blocks: a
+   group larger than a block is dealt over the pairs of its blocks, so no task holds more
+   than two blocks, which are bounded by rows and by shingles.
+4. The components of all verified links, handed back over the representatives.
+
+A group is a superset of all its open tables' candidates, so grouping loses no link.  What
+meets without being similar is compared once and never joined: links are closed
+only when verified.
 
 Defined results: an empty set (null or blank text) links with nothing; rows that share
-a doc_id are one document; rows with a null id take no part and are kept; an empty
+a doc_id are one document; rows with a null id take no part and are kept; very long texts
+are whole sets; a column other than doc_id and text is carried or ignored, whatever its name; an empty
 table gives an empty result.
 """
 
@@ -32,10 +37,13 @@ from pyspark.sql import functions as F
 from ripplemark.llm.components import connected_components
 from ripplemark.plans.shared import write_table
 
-COLLECTION, ROWS = 12, 3
-BLOCK = 256
-#: Representatives whose full sets one task compares, over its small groups.
-GROUP_ROWS = 1_500
+COLLECTION, ROWS = 20, 5
+#: Sets, and shingles, of a block.
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+#: Shingles of the full sets that one task compares, over its small groups.
+UNIT_SHINGLES = 1_000_000
+#: Members that are compared with one hub in one place.
+HUB_ROWS = 1_000
 BROADCAST_ROWS = 200_000
 #: Shingles are compared in runs of so many columns.
 COLUMNS = 8_192
@@ -116,8 +124,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, keys array<long>")
 
 
-def candidate_stars(representatives: DataFrame) -> DataFrame:
-    """u, v: each member of a table with the table's least member."""
+def tables_of(representatives: DataFrame) -> DataFrame:
+    """rep, table: the tables of each representative that shares a key of either collection."""
     keys = representatives.select("rep", F.posexplode("keys").alias("pos", "key"))
     shared = keys.groupBy("pos", "key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("pos", "key")
     # At most 2 * COLLECTION entries a representative.
@@ -127,8 +135,71 @@ def candidate_stars(representatives: DataFrame) -> DataFrame:
     tables = kept.select(
         "rep", F.explode(F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["pos"], x["key"], y["pos"], y["key"]))))).alias("table")
     )
-    stars = tables.groupBy("table").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("table", "lo")
-    return tables.join(stars, "table").select(F.col("rep").alias("u"), F.col("lo").alias("v")).where("u <> v").distinct()
+    several = tables.groupBy("table").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    return write_table(tables.join(several.select("table", "lo"), "table"), "minhash-tables")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The columns of ``wanted`` (doc_id, carried, ...) with the full ``set`` of each document; ``carried`` is an array."""
+    side = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
+    carried = wanted.schema["carried"].dataType.simpleString()
+
+    def describe(batches):
+        shingles = Shingles(width)
+        for b in batches:
+            found = [shingles.of(t.as_py()).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("carried"), pa.array(found, pa.binary())], ["doc_id", "carried", "set"])
+
+    return docs.select("doc_id", "text").join(side, "doc_id").select("doc_id", "carried", "text").mapInArrow(describe, f"doc_id long, carried {carried}, set binary")
+
+
+def reach(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
+    """Whether two sets (sorted, distinct) reach the similarity."""
+    if 100 * min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * common >= similarity * (len(a) + len(b) - common)
+
+
+def star_links(docs: DataFrame, tables: DataFrame, sizes: DataFrame, width: int, similarity: int) -> DataFrame:
+    """u, v: the representatives that link with the least member of their tables (the hub), from the full sets."""
+    stars = write_table(tables.groupBy(F.col("rep").alias("u")).agg(F.min("lo").alias("hub")).where("u <> hub"), "minhash-stars")
+    hubs = stars.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).withColumn("parts", F.ceil(F.col("members") / HUB_ROWS))
+    of_members = stars.join(hubs, "hub").select(F.col("u").alias("doc_id"), "hub", F.pmod(F.xxhash64("u"), F.col("parts")).alias("part"))
+    of_hubs = hubs.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    # A member is in one star; a hub is sent once for each HUB_ROWS of its members.
+    wanted = write_table(of_members.unionByName(of_hubs).groupBy("doc_id").agg(F.collect_list(F.struct("hub", "part")).alias("carried")), "minhash-hubs")
+    total = wanted.join(sizes, "doc_id").agg(F.sum(F.col("n") * F.size("carried"))).head()[0] or 0
+    units = max(1, -(-total // UNIT_SHINGLES))
+    sets = sets_of(docs, wanted, width).select("doc_id", "set", F.explode("carried").alias("c")).select("doc_id", "set", "c.hub", "c.part")
+
+    def compare(table):
+        u, v = [], []
+        table = table.sort_by([("hub", "ascending"), ("part", "ascending")])
+        ids, hub, part = (table.column(c).to_numpy() for c in ("doc_id", "hub", "part"))
+        raw = table.column("set")
+        starts = np.flatnonzero(np.r_[True, (hub[1:] != hub[:-1]) | (part[1:] != part[:-1])])
+        for a, b in zip(starts, np.append(starts[1:], len(ids)), strict=True):
+            own = np.flatnonzero(ids[a:b] == hub[a])
+            if len(own):
+                centre = np.frombuffer(raw[int(a + own[0])].as_py(), np.uint64)
+                hit = [k for k in range(a, b) if ids[k] != hub[a] and reach(centre, np.frombuffer(raw[int(k)].as_py(), np.uint64), similarity)]
+                u += ids[hit].tolist()
+                v += hub[hit].tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    unit = F.pmod(F.xxhash64("hub", "part"), F.lit(units))
+    return write_table(sets.withColumn("unit", unit).groupBy("unit").applyInArrow(compare, "u long, v long"), "minhash-star-links")
+
+
+def open_stars(tables: DataFrame, found: DataFrame) -> DataFrame:
+    """u, v: the members of the tables that are of several components so far (node, component), with the least member of each."""
+    of = tables.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    still = of.groupBy("table").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("table")
+    return tables.join(still, "table", "left_semi").select(F.col("rep").alias("u"), F.col("lo").alias("v")).where("u <> v").distinct()
 
 
 def linked(sets: list[np.ndarray], similarity: int = SIMILARITY, sides: np.ndarray | None = None) -> np.ndarray:
@@ -169,23 +240,17 @@ def spanning(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verified(docs: DataFrame, groups: DataFrame, width: int, similarity: int = SIMILARITY) -> DataFrame:
-    """u, v: spanning links of the candidate groups (node, component), from the full sets."""
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = write_table(groups.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "size"), "minhash-members")
-    rows = members.count()
-    units = max(1, -(-rows // GROUP_ROWS))
-    side = F.broadcast(members) if rows <= BROADCAST_ROWS else members
-
-    def describe(batches):
-        shingles = Shingles(width)
-        for b in batches:
-            found = [shingles.of(t.as_py()).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("component"), b.column("size"), pa.array(found, pa.binary())], ["doc_id", "component", "size", "set"])
-
-    sets = docs.select("doc_id", "text").join(side, "doc_id").select("doc_id", "component", "size", "text").mapInArrow(describe, "doc_id long, component long, size long, set binary")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    dealt = sets.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+def verified(docs: DataFrame, groups: DataFrame, width: int, similarity: int = SIMILARITY, sizes: DataFrame | None = None) -> DataFrame:
+    """u, v: spanning links of the candidate groups (node, component), from the full sets; ``sizes`` (doc_id, n) bounds the tasks' shingles."""
+    rows = groups.withColumnRenamed("node", "doc_id")
+    rows = rows.withColumn("n", F.lit(1).cast("long")) if sizes is None else rows.join(sizes.select("doc_id", "n"), "doc_id")
+    whole = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    whole = whole.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)))
+    members = write_table(rows.join(whole, "component").select("doc_id", "n", F.array(F.struct("component", "blocks")).alias("carried")), "minhash-members")
+    total = members.agg(F.count(F.lit(1)), F.sum("n")).head()
+    units = max(1, -(-(total[1] or 0) // UNIT_SHINGLES), -(-total[0] // (4 * BLOCK)))
+    sets = sets_of(docs, members.select("doc_id", "carried"), width).select("doc_id", "set", F.col("carried")[0]["component"].alias("component"), F.col("carried")[0]["blocks"].alias("blocks"))
+    dealt = sets.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select(
         "doc_id", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "set",
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(units))).otherwise(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))).alias("unit"),
@@ -214,8 +279,14 @@ def classes(docs: DataFrame, *, width: int = 5, similarity: int = SIMILARITY) ->
     signed = write_table(signatures(docs, width), "minhash-signatures")
     taking = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     representatives = write_table(taking.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")), "minhash-representatives")
-    groups = connected_components(candidate_stars(representatives), "minhash-groups")
-    found = connected_components(verified(docs, groups, width, similarity), "minhash-components")
+    sizes = representatives.select(F.col("rep").alias("doc_id"), "n")
+    tables = tables_of(representatives)
+    stars = star_links(docs, tables, sizes, width, similarity)
+    groups = connected_components(open_stars(tables, connected_components(stars, "minhash-star-components")), "minhash-groups")
+    links = stars.unionByName(verified(docs, groups, width, similarity, sizes))
+    found = connected_components(links, "minhash-components")
+    # Empty sets are alike, and very many may be: they are dealt by id, not by their key.
+    signed = signed.withColumn("k1", F.when(F.col("n") > 0, F.col("k1")).otherwise(F.xxhash64("doc_id")))
     return (
         signed.join(representatives.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"], "left")
         .join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
