@@ -12,7 +12,10 @@ equal offsets, so nothing is lost, and about one byte in sixteen is an anchor.
    its suffix, as far as strings of that anchor reach, and the bytes before it.
 3. Sampled splitters range-partition the entries by the leading bytes of the suffix.
    A splitter compares whole K-grams, so equal suffixes never stand on both sides of a
-   boundary; where a K-gram fills several ranges, the boundary is closed over it.
+   boundary.  A K-gram that fills several ranges of the sample is hot, and its entries
+   are dealt twice: by the EXTRA bytes after it, and by the EXTRA + 1 bytes before it.  Of a
+   string of LENGTH bytes that holds the gram, all bytes of one of the two lie within
+   it, so entries that share the string still meet, in one of the two places.
 4. Each range sorts its suffixes by multikey quicksort, eight bytes a character, and the
    reversed left sides too.  Neighbours' common prefixes tell for every string around an
    anchor which entries share it; the least id of them keeps it.
@@ -25,7 +28,9 @@ one task once a batch, not once a document.
 
 Defined results: a null text is empty; ids that are null are compared with nothing and
 lose nothing; rows that share an id are never compared with each other, and each loses
-what a smaller id has; an empty table gives an empty result.
+what a smaller id has; a very long text is one row, read whole, and memory is bounded by the
+longest; names that begin with ``__sx_`` are reserved, and a table with such a column is
+refused; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,19 +47,23 @@ from ripplemark.plans.shared import write_table
 
 LENGTH = 50
 K = 20
+#: Bytes beside a hot K-gram by which its entries are dealt: half of what a string has beside it.
+EXTRA = (LENGTH - K) // 2
 #: Anchor hashes, and bytes of text behind the entries, that one task sorts, about.
 ANCHORS_PER_BUCKET = 1_500_000
 BYTES_PER_RANGE = 24 << 20
+#: Bytes of text in a part of the exchange of the texts, about.
+BYTES_PER_PART = 128 << 20
 #: Splitters come from the documents whose hashed id falls in a share with about so many.
 SAMPLE_ROWS = 2_000
 #: Bytes of text whose anchors and entries a task makes at once.
 CHUNK_BYTES = 8 << 20
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15
-#: Stands for a null id, which no shared anchor has.
+#: Keeps the key of the exchange from being null, so that no join filters first.
 NO_ID = -(1 << 63)
 #: An entry: whose it is, where its first string starts, how far in its anchor lies, how many bytes it has.
-HEAD = np.dtype([("id", "<i8"), ("twin", "<i4"), ("low", "<i4"), ("offset", "u1"), ("size", "u1")])
+HEAD = np.dtype([("id", "<i8"), ("twin", "<i8"), ("low", "<i4"), ("offset", "u1"), ("size", "u1")])
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -160,15 +169,15 @@ def shared_anchors(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         order = np.argsort(ids, kind="stable")
         h, ids = h[order], ids[order]
         cuts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
-        ends = np.append(cuts[1:], len(ids)).astype(np.int64)
+        ends = np.append(cuts[1:], len(ids)).astype(np.int64)[: len(cuts)]
         return pa.table({"doc_id": pa.array(ids[cuts], pa.int64()), "__sx_hashes": pa.array([h[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary())})
 
     dealt = docs.mapInArrow(deal, "bucket int, __sx_hashes binary, ids binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "doc_id long, __sx_hashes binary")
 
 
-def splitters(docs: DataFrame, rows: int, ranges: int) -> list[bytes]:
-    """Ascending K-grams that cut the anchors of a sample of documents into equal ranges."""
+def splitters(docs: DataFrame, rows: int, ranges: int) -> tuple[list[bytes], list[bytes]]:
+    """Ascending K-grams that cut the anchors of a sample of documents into equal ranges, and the hot ones, which fill several."""
     share = max(1, rows // SAMPLE_ROWS)
 
     def run(batches):
@@ -180,12 +189,31 @@ def splitters(docs: DataFrame, rows: int, ranges: int) -> list[bytes]:
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).mapInArrow(run, "gram binary")
     sample = sorted(bytes(r[0]) for r in sample.limit(60 * SAMPLE_ROWS).collect())
-    return sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
+    cuts = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if sample else []
+    return sorted(set(cuts)), sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
 
 
-def entries(joined: DataFrame, text: str, cuts: list[bytes]) -> DataFrame:
+def _beside(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` bytes from each position on."""
+    own = np.lib.stride_tricks.sliding_window_view(data, width)[at].astype(np.uint64) + np.uint64(1)
+    h = own @ np.array([pow(_BASE, k, 1 << 64) for k in range(width)], np.uint64)
+    return h ^ h >> np.uint64(29)
+
+
+def _split(place: np.ndarray, hot: np.ndarray, data: np.ndarray, start: np.ndarray, head: np.ndarray, first: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which entry goes to which place, with the hot ones dealt to two families of ``parts`` places after ``first``."""
+    offset, size = head["offset"].astype(np.int64), head["size"].astype(np.int64)
+    right, left = np.flatnonzero(hot & (size - offset >= K + EXTRA)), np.flatnonzero(hot & (offset > EXTRA))
+    at = start + offset
+    to_right = first + (_beside(data, at[right], K + EXTRA) % np.uint64(parts)).astype(np.int64) if len(right) else right
+    to_left = first + parts + (_beside(data, at[left] - EXTRA - 1, K + EXTRA + 1) % np.uint64(parts)).astype(np.int64) if len(left) else left
+    rest = np.flatnonzero(~hot)
+    return np.concatenate((rest, right, left)), np.concatenate((place[rest], to_right, to_left))
+
+
+def entries(joined: DataFrame, text: str, cuts: list[bytes], hot: list[bytes] = []) -> DataFrame:  # noqa: B006
     """Packed entries by range, from documents (__sx_id, __sx_twin and the text) with their shared ``__sx_hashes``."""
-    keys = np.array(cuts, f"S{K}")
+    keys, hot_keys = np.array(cuts, f"S{K}"), np.array(hot, f"S{K}")
 
     def run(batches):
         for b, texts in text_chunks(batches, text, CHUNK_BYTES):
@@ -208,7 +236,8 @@ def entries(joined: DataFrame, text: str, cuts: list[bytes]) -> DataFrame:
                 continue
             head, start, data = np.concatenate(heads), np.concatenate(starts), np.concatenate(buffers)
             # A zero byte at a gram's end is no character to numpy, alike on both sides.
-            place = np.searchsorted(keys, np.concatenate(grams), "right")
+            gram = np.concatenate(grams)
+            place = np.searchsorted(keys, gram, "right")
             # Of entries that are equal the least id's goes on; all that it holds goes from the
             # larger ids, so these are settled (and dealt to a negative range).
             by_id = np.argsort(head["id"], kind="stable")
@@ -216,6 +245,11 @@ def entries(joined: DataFrame, text: str, cuts: list[bytes]) -> DataFrame:
             for k, at, size, offset, i in zip(by_id.tolist(), start[by_id].tolist(), head["size"][by_id].tolist(), head["offset"][by_id].tolist(), head["id"][by_id].tolist(), strict=True):
                 settled[k] = least.setdefault((offset, raw[at : at + size]), i) < i
             place[settled] = -1 - int(head["id"][0]) % (len(keys) + 1)
+            if len(hot_keys):
+                chosen, place = _split(place, np.isin(gram, hot_keys) & ~settled, data, start, head, len(keys) + 1, len(keys) + 1)
+                head, start, settled = head[chosen], start[chosen], settled[chosen]
+                if not len(place):
+                    continue
             order = np.argsort(place, kind="stable")
             head, start, place, settled = head[order], start[order], place[order], settled[order]
             edges = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
@@ -335,7 +369,7 @@ def repeated(packed: DataFrame) -> DataFrame:
         order = np.lexsort((start, twin, ids))
         ids, twin, start, stop = ids[order], twin[order], start[order], stop[order]
         cuts = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (twin[1:] != twin[:-1]))) if len(ids) else np.zeros(0, np.int64)
-        ends = np.append(cuts[1:], len(ids)).astype(np.int64)
+        ends = np.append(cuts[1:], len(ids)).astype(np.int64)[: len(cuts)]
         packed = [np.ascontiguousarray(np.stack(_merged(start[a:z], stop[a:z]), 1)).tobytes() for a, z in zip(cuts, ends, strict=True)]
         return pa.table({"doc_id": pa.array(ids[cuts], pa.int64()), "twin": pa.array(twin[cuts], pa.int64()), "spans": pa.array(packed, pa.binary())})
 
@@ -353,13 +387,18 @@ def copies(docs: DataFrame, text: str) -> DataFrame:
 
 def with_spans(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     """``carry``, the text, ``__sx_spans`` (the packed intervals to remove) and ``__sx_copy`` (all goes) of every row."""
+    if clash := [c for c in docs.columns if c.startswith("__sx_")]:
+        raise ValueError(f"reserved column names: {clash}")
     columns = list(dict.fromkeys([*carry, text]))
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce("doc_id", F.lit(NO_ID)).alias("__sx_id"), F.hash("doc_id", F.col(f"`{text}`")).alias("__sx_twin"))
+    names = [F.col(f"`{c}`") for c in columns]
+    # Rows without an id take no part, and aren't dealt.
+    none, docs = docs.where("doc_id is null").select(*names), docs.where("doc_id is not null")
+    rows = docs.select(*names, F.coalesce("doc_id", F.lit(NO_ID)).alias("__sx_id"), F.xxhash64("doc_id", F.col(f"`{text}`")).alias("__sx_twin"))
     total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).head()
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total[1] // BYTES_PER_PART + 1)
     buckets = max(1, total[1] // 16 // ANCHORS_PER_BUCKET + 1, min(parts, total[1] // (1 << 20) + 1))
     ranges = max(1, total[1] // BYTES_PER_RANGE + 1, min(parts, total[1] // (1 << 20) + 1))
-    cuts = splitters(docs.select("doc_id", F.col(f"`{text}`").alias("text")), total[0], ranges)
+    cuts, hot = splitters(docs.select("doc_id", F.col(f"`{text}`").alias("text")), total[0], ranges)
     whole = copies(docs, text)
     # One exchange of the texts serves all joins: they read the same columns of it, and as
     # its key is never null, none filters first.
@@ -367,13 +406,14 @@ def with_spans(docs: DataFrame, carry: list[str], text: str = "text") -> DataFra
     plain = dealt.join(whole.hint("shuffle_hash"), F.col("__sx_id") == F.col("__sx_copy_id"), "left").withColumn("__sx_taking", F.when(F.col("__sx_copy_id").isNull() & (F.col("__sx_id") != NO_ID), F.col("__sx_id")))
     shared = shared_anchors(plain, text, buckets).groupBy(F.col("doc_id").alias("__sx_sharing")).agg(F.collect_list("__sx_hashes").alias("__sx_hashes"))
     joined = dealt.join(shared.hint("shuffle_hash"), F.col("__sx_id") == F.col("__sx_sharing"))
-    found = repeated(entries(joined, text, cuts)).groupBy(F.col("doc_id").alias("__sx_owner")).agg(F.collect_list(F.struct("twin", "spans")).alias("__sx_found"))
+    found = repeated(entries(joined, text, cuts, hot)).groupBy(F.col("doc_id").alias("__sx_owner")).agg(F.collect_list(F.struct("twin", "spans")).alias("__sx_found"))
     own = F.transform(F.filter("__sx_found", lambda x: x["twin"] == F.col("__sx_twin")), lambda x: x["spans"])
-    return (
+    spanned = (
         dealt.join(found.hint("shuffle_hash"), F.col("__sx_id") == F.col("__sx_owner"), "left")
         .join(whole.hint("shuffle_hash"), F.col("__sx_id") == F.col("__sx_copy_id"), "left")
-        .select(*[F.col(f"`{c}`") for c in columns], own.alias("__sx_spans"), F.col("__sx_copy_id").isNotNull().alias("__sx_copy"))
+        .select(*names, own.alias("__sx_spans"), F.col("__sx_copy_id").isNotNull().alias("__sx_copy"))
     )
+    return spanned.unionByName(none.select(*names, F.lit(None).cast("array<binary>").alias("__sx_spans"), F.lit(False).alias("__sx_copy")))
 
 
 def cut_out(data: bytes, spans: list[bytes] | None, copy: bool) -> tuple[bytes, int, int]:
