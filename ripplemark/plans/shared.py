@@ -10,22 +10,26 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and runs on one machine, as in tests.
 FALLBACK = "/tmp/checkpoints/ripplemark"
-_scopes: list[str] = []
+#: The scopes that are open in this thread of work, and the tables written in each.
+_scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 _written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; the fallback is set on the context where there is none."""
+    """The shared folder; only a local session may do without one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(FALLBACK)
     return context.getCheckpointDir().rstrip("/")
 
@@ -35,7 +39,7 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for scope in _scopes:
+    for scope in _scopes.get():
         _written.setdefault(scope, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,11 +47,11 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 @contextmanager
 def scope(name: str) -> Iterator[None]:
     """Remembers the tables written inside, for :func:`drop_scope`."""
-    _scopes.append(name)
+    before = _scopes.set((*_scopes.get(), name))
     try:
         yield
     finally:
-        _scopes.remove(name)
+        _scopes.reset(before)
 
 
 def drop_scope(spark: SparkSession, name: str) -> None:
