@@ -67,11 +67,25 @@ def test_references(tests: DataFrame, root: str = "App.") -> DataFrame:
     return tests.select("file", F.explode(F.array_distinct(rows)).alias("r")).select("r.kind", "r.key", "file")
 
 
+# Assertions that say no more than that a request went through.
+SHALLOW_ASSERTIONS = ("assertOk", "assertSuccessful")
+
+
 def weak_assertions(source: Column) -> Column:
-    """Whether a test file asserts nothing beyond success: a bare ``expect(`` is strong, no assertion at all is weak."""
-    calls = F.regexp_count(source, F.lit(r"\bassert[A-Z]\w*\s*\("))
-    smoke = F.regexp_count(source, F.lit(r"\bassert(?:Ok|Successful)\s*\(\s*\)|\bassertTrue\s*\(\s*true\s*\)|\bassertFalse\s*\(\s*false\s*\)|\bassertStatus\s*\(\s*200\s*\)"))
-    return F.when(source.rlike(r"(?<![A-Za-z0-9_>:])expect\s*\("), False).otherwise(calls == smoke)
+    """Whether a test file asserts nothing beyond success.
+
+    Calls count after ``->`` or ``::`` alone.  A bare ``expect(`` is strong; so is any call of
+    assert... or expect... that isn't a shallow one or a literal smoke form (true or false, status
+    200).  No assertion at all is weak.
+    """
+    names = all_matches(source, r"(?:->|::)\s*((?:assert|expect)[A-Z_]\w*)\s*\(")
+    of = lambda *known: F.size(F.filter(names, lambda n: n.isin(*known)))
+    deep = F.exists(names, lambda n: ~n.isin("assertTrue", "assertFalse", "assertStatus", *SHALLOW_ASSERTIONS))
+    bools = F.regexp_count(source, F.lit(r"(?:->|::)\s*(?:assertTrue|assertFalse)\s*\(\s*(?:true|false)\s*\)"))
+    fine = F.regexp_count(source, F.lit(r"(?:->|::)\s*assertStatus\s*\(\s*200\s*\)"))
+    smoke = (bools == of("assertTrue", "assertFalse")) & (fine == of("assertStatus"))
+    bare = source.rlike(r"(?<![\w$])(?<!->)expect\s*\(")
+    return F.when(bare | deep, False).otherwise(smoke)
 
 
 def segments(uri: Column) -> Column:

@@ -10,6 +10,7 @@ KINDS = (
     ("test", r"^tests/.*\.php$"), ("migration", r"^database/migrations/.*\.php$"), ("route", r"^routes/.*\.php$"), ("blade", r"^resources/views/.*\.blade\.php$"),
     ("php", r"^app/.*\.php$"), ("types", r"\.d\.ts$"), ("frontend", r"^resources/js/.*\.(ts|tsx|js|jsx|vue)$"),
 )
+#: Fixed value: how a comment line begins; an attribute isn't one.
 COMMENT = r"^\s*(//|/\*|\*|#(?!\[))"
 
 
@@ -20,44 +21,91 @@ def file_kind(path: Column) -> Column:
     return out.otherwise("other")
 
 
+def unescaped(path: Column) -> Column:
+    """A path that git put in quotes, as it is: octal escapes are bytes of UTF-8, others characters; paths without quotes stay."""
+    parts = F.regexp_extract_all(F.substr(path, F.lit(2), F.length(path) - 2), F.lit(r"\\(?:[0-7]{1,3}|.)|[^\\]+"), F.lit(0))
+    known = F.create_map(*[F.lit(x) for pair in (("n", "\n"), ("t", "\t"), ("r", "\r")) for x in pair])
+
+    def as_hex(part: Column) -> Column:
+        rest = F.substr(part, F.lit(2))
+        octal = F.right(F.lpad(F.conv(rest, 8, 16), 2, "0"), F.lit(2))
+        plain = lambda text: F.hex(F.encode(text, "UTF-8"))
+        return F.when(~part.startswith("\\"), plain(part)).when(rest.rlike("^[0-7]"), octal).otherwise(plain(F.coalesce(F.element_at(known, rest), rest)))
+
+    quoted = (F.length(path) >= 2) & path.startswith('"') & path.endswith('"')
+    return F.when(quoted, F.unhex(F.array_join(F.transform(parts, as_hex), "")).cast("string")).otherwise(path)
+
+
 def unquoted(path: Column) -> Column:
     """A diff header's path without its a/ or b/; /dev/null is null."""
-    bare = F.regexp_replace(F.regexp_replace(path, '^"|"$', ""), "^[ab]/", "")
-    return F.when(path != "/dev/null", bare)
+    bare = unescaped(F.trim(F.regexp_replace(path, r"^\s+|\s+$", "")))
+    return F.when(bare != "/dev/null", F.regexp_replace(bare, "^[ab]/", ""))
 
 
-def parse_diff(diffs: DataFrame) -> DataFrame:
-    """id, path, old_path, is_new, side, line, text from (id, diff), unified with no context.
+def _sections(diffs: DataFrame) -> DataFrame:
+    """The lines of diffs (id, diff): n, raw, the number of the file's and of the hunk's first line, and what the file's header says.
 
-    Lines are numbered once; files and hunks are runs between header lines, carried down
-    by windows over one diff.  Header lines count only outside a hunk's announced length.
-    A deleted file keeps its old path.
+    A hunk goes on until the next hunk or file begins, so in it a line that looks like a
+    header is a changed line, and one that says that no newline follows is none.
     """
     lines = diffs.select("id", F.posexplode(F.split("diff", "\n")).alias("n", "raw"))
     order = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.col("raw").rlike(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@")
-    number = lambda k, default: F.when(head, F.coalesce(F.nullif(F.regexp_extract("raw", r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", k), F.lit("")).cast("int"), F.lit(default)))
-    rows = lines.select("id", "n", "raw", head.alias("head"), number(1, 0).alias("old"), number(2, 1).alias("old_n"), number(3, 0).alias("new"), number(4, 1).alias("new_n"))
+    begins = lambda prefix: F.col("raw").startswith(prefix)
     last = lambda c: F.last(c, ignorenulls=True).over(order)
-    rows = rows.withColumn("at", last(F.when(F.col("head"), F.col("n"))))
-    inside = (F.col("n") > F.col("at")) & (F.col("n") <= F.col("at") + last("old_n") + last("new_n") + F.lit(0))
-    rows = rows.withColumn("inside", F.coalesce(inside, F.lit(False)) & ~F.col("head"))
-    outside = lambda prefix: F.when(~F.col("inside") & F.col("raw").startswith(prefix), F.substr(F.col("raw"), F.lit(len(prefix) + 1)))
-    start = F.when(~F.col("inside") & F.col("raw").startswith("diff --git "), F.col("n"))
-    rows = rows.withColumn("file", last(start)).withColumn("minus", outside("--- ")).withColumn("plus", outside("+++ ")).withColumn("from_name", outside("rename from ")).withColumn("to_name", outside("rename to "))
+    rows = lines.withColumn("file", F.coalesce(last(F.when(begins("diff --git "), F.col("n"))), F.lit(-1))).withColumn("at", last(F.when(begins("@@"), F.col("n"))))
+    rows = rows.withColumn("inside", F.coalesce(F.col("at") > F.col("file"), F.lit(False)))
     whole = Window.partitionBy("id", "file")
-    known = lambda c: F.max(c).over(whole)
-    rows = rows.where("file is not null").withColumns({
-        "old_path": F.coalesce(unquoted(known("minus")), known("from_name")), "new_path": F.coalesce(unquoted(known("plus")), known("to_name")),
-        "is_new": F.coalesce(known("minus") == "/dev/null", F.lit(False)),
-    })
+    said = lambda prefix: F.max(F.when(~F.col("inside") & begins(prefix), F.substr("raw", F.lit(len(prefix) + 1)))).over(whole)
+    rows = rows.withColumns({"minus": said("--- "), "plus": said("+++ "), "from_name": unescaped(said("rename from ")), "to_name": unescaped(said("rename to "))})
+    headed = F.col("plus").isNotNull()
+    path = F.when(headed, F.coalesce(unquoted(F.col("plus")), unquoted(F.col("minus")))).when(F.col("from_name").isNotNull(), F.col("to_name"))
+    return rows.withColumns({
+        "path": path, "old_path": F.coalesce(F.when(headed, unquoted(F.col("minus"))).otherwise(F.col("from_name")), path),
+        "is_new": headed & F.coalesce(unquoted(F.col("minus")).isNull(), F.lit(False)),
+    }).where("path is not null")
+
+
+def diff_files(diffs: DataFrame) -> DataFrame:
+    """id, path, old_path, is_new, hunks: the files of diffs, renames without a hunk too; a deleted file keeps its old path."""
+    hunk = F.col("raw").startswith("@@").cast("long")
+    files = _sections(diffs).groupBy("id", "path").agg(F.min_by("old_path", "n").alias("old_path"), F.min_by("is_new", "n").alias("is_new"), F.sum(hunk).alias("hunks"))
+    return files.select("id", "path", "old_path", "is_new", "hunks")
+
+
+def parse_diff(diffs: DataFrame) -> DataFrame:
+    """id, path, old_path, is_new, side, line, text from (id, diff), unified with no context.
+
+    Lines are numbered once; files and hunks are runs between header lines, carried down
+    by windows over one diff.  A deleted file keeps its old path, and a new one has its own.
+    """
+    rows = _sections(diffs).where("inside")
+    pattern = r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
     side = F.when(F.col("raw").startswith("-"), "removed").when(F.col("raw").startswith("+"), "added")
-    rows = rows.withColumn("first_old", last("old")).withColumn("first_new", last("new")).where("inside").withColumn("side", side).where("side is not null")
+    hunk = Window.partitionBy("id", "at")
+    first = lambda k: F.max(F.when(F.col("n") == F.col("at"), F.coalesce(F.regexp_extract("raw", pattern, k).try_cast("int"), F.lit(0)))).over(hunk)
+    rows = rows.withColumn("first_old", first(1)).withColumn("first_new", first(2)).withColumn("side", side).where("side is not null")
     nth = F.row_number().over(Window.partitionBy("id", "at", "side").orderBy("n")) - 1
-    return rows.select(
-        "id", F.coalesce("new_path", "old_path").alias("path"), "old_path", "is_new", "side",
-        (F.when(F.col("side") == "removed", F.col("first_old")).otherwise(F.col("first_new")) + nth).alias("line"), F.substr(F.col("raw"), F.lit(2)).alias("text"),
-    )
+    line = F.when(F.col("side") == "removed", F.col("first_old")).otherwise(F.col("first_new")) + nth
+    return rows.select("id", "path", "old_path", "is_new", "side", line.alias("line"), F.substr("raw", F.lit(2)).alias("text"))
+
+
+def readable_sides(files: DataFrame) -> DataFrame:
+    """path, reading, seed: how each changed class file (path, old_path, is_new, added, removed, head, base) is read.
+
+    ``renamed``: no line changed, only the name; the class of the old path is a seed.  ``coarse``: a
+    side that must be there couldn't be read (head where lines were added, base where the file
+    isn't new), so the whole class counts as changed.  Else ``members``.
+    """
+    renamed = (F.col("added") == 0) & (F.col("removed") == 0) & (F.col("old_path") != F.col("path"))
+    unread = (F.col("head").isNull() & (F.col("added") > 0)) | (F.col("base").isNull() & ~F.col("is_new"))
+    reading = F.when(renamed, "renamed").when(unread, "coarse").otherwise("members")
+    return files.select("path", reading.alias("reading"), F.when(renamed, class_of_path(F.col("old_path"))).alias("seed"))
+
+
+def class_of_path(path: Column, root: str = "App") -> Column:
+    """The class, dotted, that a path below app/ names."""
+    inner = F.replace(F.regexp_replace(F.regexp_replace(path, "^app/", ""), r"\.php$", ""), F.lit("/"), F.lit("."))
+    return F.concat(F.lit(root + "."), inner)
 
 
 def lines_in_spans(lines: DataFrame, spans: DataFrame) -> DataFrame:

@@ -8,17 +8,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplemark.plans.shared import write_table
+
 HAZARD = ("lane", "tier", "cwe", "member", "evidence", "tokens")
 # Rules whose loss opens a boundary.
-GUARDING_RULES = ("required", "exists", "in", "not_in", "unique", "min", "max", "between", "size", "email", "url", "regex", "prohibited")
-# Guard aliases, and the weakness that losing one of them is.
-GUARD_CWE = {"auth": "CWE-306", "can": "CWE-862", "throttle": "CWE-770", "signed": "CWE-345", "verified": "CWE-287", "password.confirm": "CWE-287"}
-UNSCOPED = ("auth", "signed", "verified", "password.confirm")
-
-
-def hazard(df: DataFrame, lane: str, tier: int, cwe: str | None, member: Column, evidence: Column, tokens: Column | None = None) -> DataFrame:
+GUARDING_RULES = ("required", "confirmed", "max", "min", "size", "in", "exists", "unique", "mimes", "image", "url", "email", "uuid")
+# Guard aliases; those whose parameter says what is authorised; those whose parameter is a set, by its separator.
+GUARDS = (
+    "auth", "verified", "signed", "password.confirm", "can", "throttle", "role", "permission", "role_or_permission",
+    "client", "scope", "scopes", "ability", "abilities",
+)
+SCOPED = ("can", "role", "permission", "role_or_permission", "ability", "abilities", "scope", "scopes", "throttle")
+PIPE_SETS = ("role", "permission", "role_or_permission")
+COMMA_SETS = ("ability", "abilities", "scope", "scopes")
+# The framework's guard classes, and the alias that each stands for.
+GUARD_CLASSES = {
+    "Illuminate\\Auth\\Middleware\\Authenticate": "auth",
+    "Illuminate\\Auth\\Middleware\\AuthenticateWithBasicAuth": "auth",
+    "Illuminate\\Auth\\Middleware\\EnsureEmailIsVerified": "verified",
+    "Illuminate\\Auth\\Middleware\\RequirePassword": "password.confirm",
+    "Illuminate\\Routing\\Middleware\\ValidateSignature": "signed",
+    "Illuminate\\Auth\\Middleware\\Authorize": "can",
+    "Illuminate\\Routing\\Middleware\\ThrottleRequests": "throttle",
+}
+# The weakness that losing a guard is.
+GUARD_CWE = {
+    "auth": "CWE-306", "password.confirm": "CWE-306", "can": "CWE-862", "verified": "CWE-862", "role": "CWE-862", "permission": "CWE-862", "role_or_permission": "CWE-862",
+    "client": "CWE-862", "scope": "CWE-862", "scopes": "CWE-862", "ability": "CWE-862", "abilities": "CWE-862", "signed": "CWE-345", "throttle": "CWE-770",
+}
+#: What a token that names a middleware begins with; other tokens are authorisation checks in a body.
+MIDDLEWARE = "middleware:"
+
+
+def hazard(df: DataFrame, lane: str, tier: int, cwe: str | Column | None, member: Column, evidence: Column, tokens: Column | None = None) -> DataFrame:
     empty = F.array().cast("array<string>")
-    return df.select(F.lit(lane).alias("lane"), F.lit(tier).alias("tier"), F.lit(cwe).cast("string").alias("cwe"), member.alias("member"), evidence.alias("evidence"), (tokens if tokens is not None else empty).alias("tokens"))
+    return df.select(F.lit(lane).alias("lane"), F.lit(tier).alias("tier"), (cwe if isinstance(cwe, Column) else F.lit(cwe)).cast("string").alias("cwe"), member.alias("member"), evidence.alias("evidence"), (tokens if tokens is not None else empty).alias("tokens"))
 
 
 def sets(rows: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -31,10 +55,18 @@ def lost_tokens(base: DataFrame, head: DataFrame, key: list[str], value: str) ->
     return both.select(*key, F.array_except("a", "b").alias("lost"), F.array_except("b", "a").alias("gained")).where(F.size("lost") > 0)
 
 
+def guard_removals(both: DataFrame, gone: Column, head: Column) -> DataFrame:
+    """A row a token of ``gone``; a lost throttle beside a head that still throttles isn't a removal but a change of rate."""
+    throttles = F.exists(head, lambda t: guard_alias(t) == "throttle")
+    rows = both.withColumn("__still", throttles).withColumn("token", F.explode(F.array_sort(F.array_distinct(gone))))
+    return rows.where(~(F.col("__still") & (guard_alias(F.col("token")) == "throttle"))).drop("__still")
+
+
 def guard_lost(base: DataFrame, head: DataFrame) -> DataFrame:
-    """Members (member, token) on both sides that lost guard tokens."""
-    lost = lost_tokens(base, head, ["member"], "token")
-    return hazard(lost, "auth", 3, "CWE-862", F.col("member"), F.concat(F.lit("lost "), F.array_join("lost", ", ")), F.col("lost"))
+    """Members (member, token) on both sides that lost guard tokens, one hazard a token with its own weakness."""
+    both = sets(base, ["member"], "token").withColumnRenamed("set", "a").join(sets(head, ["member"], "token").withColumnRenamed("set", "b"), "member")
+    lost = guard_removals(both, F.array_except("a", "b"), F.col("b"))
+    return hazard(lost, "auth", 3, token_weakness(F.col("token")), F.col("member"), F.concat(F.lit("lost "), "token"), F.array("token"))
 
 
 def neutered(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -67,7 +99,7 @@ def signature_changed(base: DataFrame, head: DataFrame) -> DataFrame:
     member, evidence = F.concat_ws("::", "cls", "name"), F.concat_ws(" -> ", "params_a", "params_b")
     job = F.col("queued_b") & F.col("constructor_b")
     private = (F.col("visibility_a") == "private") & (F.col("visibility_b") == "private")
-    return hazard(both.where(job), "boundary", 2, "CWE-502", member, evidence).unionByName(hazard(both.where(~job & ~private), "contract", 1, None, member, evidence))
+    return hazard(both.where(job), "boundary", 2, None, member, evidence).unionByName(hazard(both.where(~job & ~private), "contract", 1, None, member, evidence))
 
 
 def model_settings(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -107,18 +139,47 @@ def rate_raised(base: DataFrame, head: DataFrame) -> DataFrame:
     return hazard(both, "auth", 2, "CWE-770", F.col("member"), F.concat(F.col("a").cast("string"), F.lit(" -> "), F.col("b").cast("string"), F.lit(" in "), F.col("a_w").cast("string")))
 
 
-def guard_identity(token: Column, aliases: DataFrame | None = None) -> Column:
-    """What two spellings of one guard have in common: unscoped guards by name alone; sets of parameters in order, except for ``can`` and ``throttle``."""
-    name, rest = F.substring_index(token, ":", 1), F.when(token.contains(":"), F.regexp_replace(token, "^[^:]*:", ""))
-    unordered = F.concat_ws(",", F.array_sort(F.split(rest, ",")))
-    return F.when(rest.isNull() | name.isin(*UNSCOPED), name).otherwise(F.concat(name, F.lit(":"), F.when(name.isin("can", "throttle"), rest).otherwise(unordered)))
+def guard_alias(token: Column) -> Column:
+    """The alias of a guard, whether or not the token says that it is a middleware; a framework class by its alias."""
+    name = F.regexp_replace(F.regexp_replace(token, "^" + MIDDLEWARE, ""), r"^\\+", "")
+    bare = F.substring_index(name, ":", 1)
+    known = F.create_map(*[F.lit(x) for pair in GUARD_CLASSES.items() for x in pair])
+    return F.coalesce(F.element_at(known, name), bare)
+
+
+def guard_identity(token: Column) -> Column:
+    """What two spellings of one guard have in common.
+
+    Guards that aren't scoped are known by their alias alone.  A set of parameters is put in
+    order: of abilities and scopes at commas; of roles and permissions at bars, up to the first comma,
+    after which a guard's name stays in its place.  ``can`` and ``throttle`` stay as written.
+    """
+    alias = guard_alias(token)
+    rest = F.when(token.contains(":"), F.regexp_replace(token, "^[^:]*:", ""))
+    put = lambda text, by: F.array_join(F.array_sort(F.split(text, F.lit("\\" + by if by == "|" else by))), by)
+    first = F.substring_index(rest, ",", 1)
+    bars = F.concat(put(first, "|"), F.substr(rest, F.length(first) + 1))
+    own = F.when(alias.isin(*COMMA_SETS), put(rest, ",")).when(alias.isin(*PIPE_SETS), bars).otherwise(rest)
+    return F.when(rest.isNull() | ~alias.isin(*SCOPED), alias).otherwise(F.concat(alias, F.lit(":"), own))
 
 
 def guard_weakness(token: Column) -> Column:
-    out = F.lit("CWE-862")
-    for name, cwe in GUARD_CWE.items():
-        out = F.when(F.substring_index(token, ":", 1) == name, cwe).otherwise(out)
-    return out
+    """The weakness of a lost middleware guard; null for a name that isn't a guard."""
+    known = F.create_map(*[F.lit(x) for pair in GUARD_CWE.items() for x in pair])
+    return F.element_at(known, guard_alias(token))
+
+
+def token_weakness(token: Column) -> Column:
+    """The weakness of a lost token: of its guard for a middleware, else missing authorisation."""
+    return F.when(token.startswith(MIDDLEWARE), guard_weakness(token)).otherwise("CWE-862")
+
+
+def effective_guards(own: Column, group: Column, without: Column) -> Column:
+    """The guards that a route runs: its group's and its own, by identity, less those taken away."""
+    identity = lambda tokens: F.transform(tokens, guard_identity)
+    none = F.array().cast("array<string>")
+    every = F.array_union(identity(F.coalesce(group, none)), identity(F.coalesce(own, none)))
+    return F.array_sort(F.filter(F.array_except(every, identity(F.coalesce(without, none))), lambda t: guard_alias(t).isin(*GUARDS)))
 
 
 def pair_routes(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -135,19 +196,40 @@ def pair_routes(base: DataFrame, head: DataFrame) -> DataFrame:
     return out
 
 
+def rates_rose(both: DataFrame, member: Column, base: Column, head: Column) -> DataFrame:
+    """Rows whose one effective limit rose: the strictest of each side, where all can be read and the windows agree."""
+    limits = lambda tokens: F.transform(F.filter(tokens, lambda t: guard_alias(t) == "throttle"), lambda t: throttle_limit(F.regexp_replace(t, "^" + MIDDLEWARE, "")))
+    fine = lambda x: (F.size(x) > 0) & F.forall(x, lambda y: y.isNotNull()) & (F.size(F.array_distinct(F.transform(x, lambda y: y["minutes"]))) == 1)
+    rows = both.withColumn("__x", limits(base)).withColumn("__y", limits(head)).where(fine(F.col("__x")) & fine(F.col("__y")))
+    least = lambda c: F.array_min(F.transform(F.col(c), lambda y: y["max"]))
+    window = F.col("__x")[0]["minutes"]
+    rows = rows.where((window == F.col("__y")[0]["minutes"]) & (least("__y") > least("__x")))
+    evidence = F.concat(least("__x").cast("string"), F.lit(" -> "), least("__y").cast("string"), F.lit(" in "), window.cast("string"))
+    return hazard(rows, "auth", 2, "CWE-770", member, evidence)
+
+
 def route_guard_lost(base: DataFrame, head: DataFrame) -> DataFrame:
-    """Routes whose guards (comma-joined by ``|``-free tokens) lost one."""
-    both = pair_routes(base, head).withColumn("lost", F.array_sort(F.array_except(F.split("guards_a", "\\|"), F.split("guards_b", "\\|")))).where(F.size("lost") > 0)
-    return hazard(both, "auth", 3, "CWE-862", F.col("action_b"), F.concat(F.col("verb_b"), F.lit(" "), F.col("uri_b"), F.lit(" lost "), F.array_join("lost", "|")), F.col("lost"))
+    """Routes (verb, uri, action, guards: an array) that lost a guard, one hazard a guard, and those whose limit rose.
+
+    The member is the head's action: a route may be pointed elsewhere in the same edit.
+    """
+    both = pair_routes(base, head)
+    lost = guard_removals(both, F.array_except("guards_a", "guards_b"), F.col("guards_b"))
+    evidence = F.concat(F.col("verb_b"), F.lit(" "), F.col("uri_b"), F.lit(" lost "), F.col("token"))
+    gone = hazard(lost, "auth", 3, guard_weakness(F.col("token")), F.col("action_b"), evidence, F.array("token"))
+    return gone.unionByName(rates_rose(both, F.col("action_b"), F.col("guards_a"), F.col("guards_b")))
 
 
 def group_guard_lost(base: DataFrame, head: DataFrame) -> DataFrame:
-    """Middleware groups (grp, token, state running or removed): gone = running lost, or removed anew while it ran before."""
+    """Middleware groups (grp, token, state running or removed): gone = running lost, or removed anew while it ran before; and limits that rose."""
     of = lambda df, s: df.groupBy("grp").agg(*[F.collect_set(F.when(F.col("state") == k, F.col("token"))).alias(k + s) for k in ("running", "removed")])
     both = of(base, "_a").join(of(head, "_b"), "grp")
-    gone = F.array_sort(F.array_union(F.array_except("running_a", "running_b"), F.array_intersect(F.array_except("removed_b", "removed_a"), F.col("running_a"))))
-    both = both.withColumn("gone", gone).where(F.size("gone") > 0)
-    return hazard(both, "auth", 3, "CWE-862", F.concat(F.lit("middleware::"), F.col("grp")), F.concat(F.lit("group lost "), F.array_join("gone", ",")), F.col("gone"))
+    gone = F.array_union(F.array_except("running_a", "running_b"), F.array_intersect(F.array_except("removed_b", "removed_a"), F.col("running_a")))
+    member = F.concat(F.lit("middleware::"), F.col("grp"))
+    lost = guard_removals(both, gone, F.col("running_b"))
+    return hazard(lost, "auth", 3, guard_weakness(F.col("token")), member, F.concat(F.lit("group lost "), "token"), F.array("token")).unionByName(
+        rates_rose(both, member, F.col("running_a"), F.col("running_b"))
+    )
 
 
 def migration_ops(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -156,11 +238,34 @@ def migration_ops(base: DataFrame, head: DataFrame) -> DataFrame:
     return hazard(new, "migration", 2, None, F.col("file"), F.concat_ws(" ", "op", "tbl", "col"))
 
 
+# English nouns without a plural of their own, irregular ones, and endings, the first that fits.
+UNCOUNTABLE = ("equipment", "information", "rice", "money", "species", "series", "fish", "sheep", "deer", "news", "police", "feedback", "metadata", "software", "traffic", "moose", "media")
+IRREGULAR = {
+    "person": "people", "man": "men", "woman": "women", "child": "children", "foot": "feet", "tooth": "teeth", "goose": "geese", "mouse": "mice", "louse": "lice", "ox": "oxen",
+    "quiz": "quizzes", "criterion": "criteria", "phenomenon": "phenomena", "curriculum": "curricula", "move": "moves", "sex": "sexes", "cafe": "cafes", "zombie": "zombies",
+}
+ENDINGS = (
+    ("(matr|append|vert|ind)(ix|ex)", "$1ices"), ("(x|ch|ss|sh|z)", "$1es"), ("([^aeiouy]|qu)y", "$1ies"), ("(hive)", "$1s"), ("([^f])fe", "$1ves"), ("([lr]|ea)f", "$1ves"), ("sis", "ses"),
+    ("(dat|medi|bacteri)um", "$1a"), ("(buffal|tomat|potat|ech|her|torped|vet)o", "$1oes"), ("(bu|alia|statu|campu|viru|cens|bonu)s", "$1ses"), ("(octop|cact|alumn|syllab)us", "$1i"), ("(ax|test)is", "$1es"), ("s", "s"), ("", "s"),
+)
+
+
+def plural(word: Column) -> Column:
+    """The plural of a lower-case English noun."""
+    out = None
+    for pattern, by in ENDINGS:
+        hit, made = word.rlike(pattern + "$"), F.regexp_replace(word, pattern + "$", by) if pattern else F.concat(word, F.lit(by))
+        out = F.when(hit, made) if out is None else out.when(hit, made)
+    known = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
+    return F.coalesce(F.element_at(known, word), F.when(word.isin(*UNCOUNTABLE), word), out)
+
+
 def table_models(models: DataFrame) -> DataFrame:
-    """tbl, cls: from the explicit table (may be null), else the snake-case plural of the base name; null if several classes share it."""
+    """tbl, cls: from the explicit table (may be null), else the base name in snake case, its last word in the plural; null if several classes share it."""
     snake = F.lower(F.regexp_replace(F.element_at(F.split("cls", r"[.\\]"), -1), "(?<=[a-z0-9])(?=[A-Z])", "_"))
-    plural = F.when(snake.rlike("[^aeiou]y$"), F.regexp_replace(snake, "y$", "ies")).when(snake.rlike("(s|x|z|ch|sh)$"), F.concat(snake, F.lit("es"))).otherwise(F.concat(snake, F.lit("s")))
-    return models.select("cls", F.coalesce("explicit", plural).alias("tbl")).groupBy("tbl").agg(F.when(F.countDistinct("cls") == 1, F.min("cls")).alias("cls"))
+    last = F.substring_index(snake, "_", -1)
+    named = F.concat(F.substr(snake, F.lit(1), F.length(snake) - F.length(last)), plural(last))
+    return models.select("cls", F.coalesce("explicit", named).alias("tbl")).groupBy("tbl").agg(F.when(F.countDistinct("cls") == 1, F.min("cls")).alias("cls"))
 
 
 def payload_parity(fields: DataFrame, added: DataFrame, resources: DataFrame, ignored: tuple[str, ...] = (), threshold: float = 1.0, least: int = 1) -> DataFrame:
@@ -194,5 +299,15 @@ def suppress(hazards: DataFrame, added: DataFrame, ignore: DataFrame) -> DataFra
 
 
 def ranked(hazards: DataFrame) -> DataFrame:
-    """Worst first: tier, then lane, member, evidence."""
-    return hazards.orderBy(F.desc("tier"), "lane", "member", "evidence")
+    """All hazards with ``rank``, worst first from 1: tier, then lane, member, evidence.
+
+    The sort is by ranges; a written part's rows are numbered in it, and the parts' counts
+    are summed, so no task sees all rows.
+    """
+    order = [F.desc("tier"), "lane", "member", "evidence", F.array_join("tokens", ",")]
+    rows = hazards.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    rows = write_table(rows, "hazards-ranked")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))  # a row a part
+    within = F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(F.broadcast(first), "__part").select(*hazards.columns, (F.col("__before") + within).alias("rank"))

@@ -11,16 +11,13 @@ from ripplemark.functions.nodes import base_name, class_of, is_member
 from ripplemark.operators.graph import nodes
 from ripplemark.plans.shared import write_table
 
-#: A hierarchy deeper than this has a cycle.
-DEEPEST = 64
-
 
 def ancestors(parents: DataFrame) -> DataFrame:
     """cls, ancestor, depth (the least) from (cls, parent); cycles end where they close."""
     step = parents.select(F.col("cls").alias("ancestor"), F.col("parent").alias("next")).distinct()
     now = write_table(parents.select("cls", F.col("parent").alias("ancestor")).where("cls <> ancestor").distinct(), "ancestors")
     found, depth = [now.withColumn("depth", F.lit(1))], 1
-    while depth < DEEPEST and not now.isEmpty():
+    while not now.isEmpty():  # a cycle finds nothing new
         seen = reduce(DataFrame.unionByName, found).select("cls", "ancestor")
         now = now.join(step, "ancestor").select("cls", F.col("next").alias("ancestor")).where("cls <> ancestor").distinct()
         now = write_table(now.join(seen, ["cls", "ancestor"], "left_anti"), "ancestors")

@@ -95,7 +95,10 @@ _REFS = f"""ts as ({_T}), rf as (select distinct kind, key, file from (
 select 'uri' kind, unnest(regexp_extract_all(source, 'get\\(''(/orders/[^?'']*)', 1)) key, file from ts union all select 'route', unnest(regexp_extract_all(source, 'route\\(''([^'']+)''', 1)), file from ts
 union all select 'artisan', split_part(unnest(regexp_extract_all(source, 'artisan\\(''([^'']+)''', 1)), ' ', 1), file from ts union all select 'class', unnest(regexp_extract_all(source, 'use (App\\.[A-Za-z0-9.]+);', 1)), file from ts
 union all select 'class', 'App.Livewire.A.BC' || unnest(regexp_extract_all(source, 'Livewire::test\\(''a\\.b-c(\\d)''', 1)), file from ts))"""
-_WEAK = "wk as (select file, not regexp_matches(source, '(^|[^A-Za-z0-9_>:])expect\\(') and len(regexp_extract_all(source, 'assert[A-Z]\\w*\\(')) = len(regexp_extract_all(source, 'assertOk\\(\\)|assertTrue\\(true\\)')) weak from ts)"
+_WEAK = """an as (select file, source, regexp_extract_all(source, '(?:->|::)\\s*((?:assert|expect)[A-Z_]\\w*)\\s*\\(', 1) names from ts),
+wk as (select file, not regexp_matches(source, '(^|[^A-Za-z0-9_$>])expect\\s*\\(') and len(list_filter(names, lambda n: n not in ('assertOk', 'assertSuccessful', 'assertTrue', 'assertFalse', 'assertStatus'))) = 0
+  and len(list_filter(names, lambda n: n in ('assertTrue', 'assertFalse'))) = len(regexp_extract_all(source, '(->|::)\\s*assert(True|False)\\s*\\(\\s*(true|false)\\s*\\)'))
+  and len(list_filter(names, lambda n: n = 'assertStatus')) = len(regexp_extract_all(source, '(->|::)\\s*assertStatus\\s*\\(\\s*200\\s*\\)')) weak from an)"""
 _POINTS = "pt as (select distinct concat('route::GET::/orders/', replace(lower(o_orderpriority), ' ', '-')) node from orders union all select concat('route::POST::/never/', n_nationkey) from nation union all select concat('command::cmd:', n_nationkey, ' --x') from nation)"
 _BY = """er as (select distinct node, file from (select node, file from pt join rf on kind = 'uri' and node = 'route::GET::' || key
 union all select concat('route::POST::/never/', n_nationkey), file from nation join rf on kind = 'route' and key = concat('r', n_nationkey * 2, '.show') union all select node, file from pt join rf on kind = 'artisan' and node = 'command::' || key || ' --x'))"""

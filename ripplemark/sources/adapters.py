@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from ripplemark.plans.shared import drop_table, write_table
+
 EDGES = """
 select concat('route::GET::/orders/', replace(lower(o_orderpriority),' ','-')) as source,
        concat('App.Http.C', cast(o_custkey as string)) as target, 'route-to-controller' as type
-from {orders} where o_orderstatus='F' and o_orderkey % 20 = 0
+from {orders} where o_orderstatus='F'
 union select concat('App.Http.C', cast(o_custkey as string)),
              concat('App.Http.C', cast(o_custkey as string), '::o', cast(o_orderkey as string)), 'controller-to-action' from {orders}
 union select concat('App.Http.C', cast(o.o_custkey as string), '::o', cast(o.o_orderkey as string)),
@@ -64,6 +65,12 @@ select concat('App.Http.C', cast(o_custkey % 40 as string), '::o', cast(o_orderk
        concat('ability:', lower(o_orderstatus), '-', cast(o_custkey % 7 as string)) as token
 from {orders} where case when {side} = 1 then o_orderkey % 17 <> 0 else o_orderkey % 19 <> 0 end
 group by o_custkey % 40, o_orderkey % 200, o_orderstatus, o_custkey % 7
+union all
+select concat('App.Http.C', cast(o_custkey % 40 as string), '::o', cast(o_orderkey % 200 as string)),
+       case o_orderpriority when '1-URGENT' then 'middleware:auth' when '2-HIGH' then 'middleware:verified' when '3-MEDIUM' then 'middleware:password.confirm' when '5-LOW' then 'middleware:signed'
+       else concat('middleware:throttle:', cast(o_custkey % 3 * 10 + 10 as string), ',1') end
+from {orders} where case when {side} = 1 then o_orderkey % 7 < 4 else o_orderkey % 7 > 1 end
+group by o_custkey % 40, o_orderkey % 200, o_orderpriority, o_custkey % 3
 """
 
 #: Eloquent-like settings of models in two snapshots: kind (fillable, guarded, hidden, casts), key, value.
@@ -95,13 +102,14 @@ TESTS = """
 select concat('tests/T', cast(d.doc_id as string), case when coalesce(l.quality, 1) = 1 then 'Test.php' else 'Support.php' end) as file,
        concat('use App.Http.C', cast(d.doc_id % 150 as string), '; $this->get(''/orders/', case d.doc_id % 5 when 0 then '1-urgent' when 1 then '2-high' when 2 then '3-medium' when 3 then '4-not-specified' else '5-low' end,
               '?p=1''); route(''r', cast(d.doc_id % 30 as string), '.show''); Livewire::test(''a.b-c', cast(d.doc_id % 4 as string), '''); $this->artisan(''cmd:', cast(d.doc_id % 6 as string), ' --x'');',
-              case d.doc_id % 4 when 0 then ' $r->assertOk();' when 1 then ' $this->assertTrue(true);' when 2 then ' $this->assertSame(1, $x); $r->assertOk();' else '' end,
+              case d.doc_id % 9 when 0 then ' $r->assertOk();' when 1 then ' $this->assertTrue(true);' when 2 then ' $this->assertSame(1, $x); $r->assertOk();' when 3 then ' $this->assertTrue(false); self::assertFalse( true );'
+              when 4 then ' $this->expectException(E::class);' when 5 then ' assertSame(1, 2);' when 6 then ' $r->assertStatus(200);' when 7 then ' $r->assertStatus(403);' else ' $m->expect($x);' end,
               case when d.doc_id % 31 = 0 then ' expect($x)->toBe(1);' else '' end) as source
 from {documents} d left join {labels} l on d.doc_id = l.doc_id
 """
 
 _TABLES = re.compile(r"\{(\w+)\}")
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, str], DataFrame] = {}
 
 
 def duck(text: str, side: int = 0) -> str:
@@ -120,8 +128,14 @@ def relation(spark: SparkSession, sf_dir: str, text: str, side: int = 0) -> Data
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edge relation, kept for the session: a graph is built once and asked often."""
-    key = (spark.sparkContext.applicationId, sf_dir, "edges")
+    """The edge relation, built once a session and written to the shared folder: a graph is asked often."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
-        _kept[key] = relation(spark, sf_dir, EDGES).persist(StorageLevel.MEMORY_AND_DISK)
+        _kept[key] = write_table(relation(spark, sf_dir, EDGES), "edges")
     return _kept[key]
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the edge relations that this session built."""
+    for key in [k for k in _kept if k[0] == spark.sparkContext.applicationId]:
+        drop_table(_kept.pop(key))
