@@ -101,16 +101,23 @@ def template_pattern(template: Column) -> Column:
 def match_templates(literals: DataFrame, templates: DataFrame) -> DataFrame:
     """uri, template of the literals (uri) that a route template (template) covers; ``*`` in a literal is one whole segment.
 
-    Both sides are keyed by their number of segments, and by their first segment where neither
-    leaves it open, so the join is by key and the pattern only filters.
+    Both sides are keyed by their number of segments and by one segment that neither leaves
+    open: the first, else the second, and so on, one join a position.  Only pairs without any
+    position that is closed on both sides are joined by the number of segments alone.
     """
-    first = lambda c: F.element_at(F.split(F.trim(c, F.lit("/")), "/"), 1)
-    open_ = lambda c: F.when(first(c).rlike(r"[{*]"), F.lit(None)).otherwise(first(c))
-    a = literals.select("uri").distinct().withColumn("n", segments(F.col("uri"))).withColumn("f", open_(F.col("uri")))
-    b = templates.select("template").distinct().withColumn("n", segments(F.col("template"))).withColumn("g", open_(F.col("template")))
+    part = lambda c: F.split(F.trim(c, F.lit("/")), "/")
+    closed = lambda c: F.transform(part(c), lambda x: F.when(~x.rlike(r"[{*]"), x))
+    shape = lambda c: F.array_join(F.transform(closed(c), lambda x: F.when(x.isNull(), "?").otherwise("=")), "")
+    a = literals.select("uri").distinct().select("uri", F.size(part(F.col("uri"))).alias("n"), closed(F.col("uri")).alias("x"), shape(F.col("uri")).alias("sx"))
+    b = templates.select("template").distinct().select("template", F.size(part(F.col("template"))).alias("n"), closed(F.col("template")).alias("y"), shape(F.col("template")).alias("sy"))
+    # Few shapes there are: for each pair of them the first position that is closed on both sides.
+    shapes = a.select("n", "sx").distinct().join(b.select("n", "sy").distinct(), "n")
+    both = F.zip_with(F.split("sx", ""), F.split("sy", ""), lambda p, q: (p == "=") & (q == "="))
+    shapes = shapes.select("n", "sx", "sy", F.coalesce(F.array_position(both, True), F.lit(0)).alias("at"))
+    at = lambda c: F.when(F.col("at") > 0, F.get(c, F.col("at").cast("int") - 1)).otherwise(F.lit(""))
+    left = a.join(shapes.select("n", "sx", "at").distinct(), ["n", "sx"]).withColumn("key", at("x"))
+    right = b.join(shapes.select("n", "sy", "at").distinct(), ["n", "sy"]).withColumn("key", at("y"))
+    met = left.join(right, ["n", "at", "key"]).join(shapes, ["n", "sx", "sy", "at"], "left_semi")
     wild = lambda c, pattern, by: F.regexp_replace(c, pattern, by)
     ok = F.rlike(wild("uri", r"\*", "x"), template_pattern(F.col("template"))) | F.rlike(wild("template", r"\{[^}]*\}", "x"), F.concat(F.lit("^"), wild("uri", r"\*", "[^/]+"), F.lit("$")))
-    closed = a.where("f is not null").join(b.where("g is not null"), (a["n"] == b["n"]) & (F.col("f") == F.col("g"))).select("uri", "template")
-    left = a.where("f is null").join(b, a["n"] == b["n"]).select("uri", "template")
-    right = a.where("f is not null").join(b.where("g is null"), a["n"] == b["n"]).select("uri", "template")
-    return closed.unionByName(left).unionByName(right).where(ok)
+    return met.where(ok).select("uri", "template")

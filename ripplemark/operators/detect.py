@@ -21,8 +21,10 @@ def detect_changes(edges: DataFrame, changes: DataFrame, hazards: DataFrame, poi
     """
     known = nodes(edges)
     seeds = changes.where("node is not null").select(F.col("id").alias("origin"), "node").join(known, "node", "left_semi")
-    reached = walk.entry_points(walk.walk(edges, seeds, walk.UP, exclude=ASSOCIATION)).withColumnRenamed("origin", "id")
-    above = risk.hazard_entry_points(hazards, edges, known)
+    up = walk.walks(edges, {"seeds": (seeds, ASSOCIATION), "members": (risk.member_seeds(hazards.select("member").distinct(), known), ())}, walk.UP)
+    ids = changes.select("id").distinct().withColumn("origin", F.col("id").cast("string"))
+    reached = walk.entry_points(up["seeds"]).join(ids, "origin").select("id", "node")
+    above = risk.hazard_entry_points(hazards, edges, known, walk.entry_points(up["members"]))
     graded = hazards.join(risk.reach_classes(hazards.select("member"), above, points), "member", "left")
     # A diff that reaches no entry point is verified by its classes.
     alone = changes.where("node is not null").join(reached.select("id").distinct(), "id", "left_anti").select("id", class_of(F.col("node")).alias("node")).distinct()

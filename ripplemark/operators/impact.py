@@ -9,15 +9,22 @@ from ripplemark.functions.vocabulary import ASSOCIATION, MAX_DEPTH, REGISTRY, RI
 from ripplemark.operators import walk
 
 
-def entry_point_sets(edges: DataFrame, seeds: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """origin, node, how: ``call`` entry points, and those reached only by association or only by a registry."""
-    of = lambda **o: walk.entry_points(walk.walk(edges, seeds, walk.UP, max_depth=max_depth, **o))
-    call = of(exclude=ASSOCIATION)
-    everything, no_registry = of(), of(exclude=REGISTRY)
+def _up(edges: DataFrame, seeds: DataFrame, max_depth: int, every_edge: bool = False) -> dict[str, walk.Walk]:
+    """The three upward walks, as one: all types, calls alone, and no registry."""
+    return walk.walks(edges, {"all": (seeds, ()), "call": (seeds, ASSOCIATION), "registry": (seeds, REGISTRY)}, walk.UP, max_depth=max_depth, every_edge=every_edge)
+
+
+def _sets(up: dict[str, walk.Walk]) -> DataFrame:
+    everything, call, no_registry = (walk.entry_points(up[k]) for k in ("all", "call", "registry"))
     tagged = lambda df, how: df.select("origin", "node", F.lit(how).alias("how"))
     return tagged(call, "call").unionByName(tagged(everything.join(call, ["origin", "node"], "left_anti"), "association")).unionByName(tagged(no_registry.join(call, ["origin", "node"], "left_anti"), "registry"))
 
 
+def entry_point_sets(edges: DataFrame, seeds: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """origin, node, how: ``call`` entry points, and those reached only by association or only by a registry."""
+    return _sets(_up(edges, seeds, max_depth))
+
+
 def reach_counts(types: DataFrame) -> DataFrame:
     """origin, impacted (reached by a type that bears risk), structural_only (only by overrides or traits, among excluded types)."""
     safe = walk.only(F.col("types"), RISK_EXCLUDED)
@@ -28,9 +35,10 @@ def reach_counts(types: DataFrame) -> DataFrame:
 def impact_summary(edges: DataFrame, seeds: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row: callers, dependencies, entry points by how they were reached, and reach counts."""
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    points = entry_point_sets(edges, seeds, max_depth=max_depth)
+    up, down = _up(edges, seeds, max_depth, every_edge=True), walk.walk(edges, seeds, walk.DOWN, max_depth=max_depth, every_edge=True)
     how = lambda k: F.sum((F.col("how") == k).cast("long"))
-    sets = points.agg(*[F.coalesce(how(k), F.lit(0)).alias(n) for k, n in (("call", "entry_points"), ("association", "association_only"), ("registry", "registry_only"))])
-    reach = reach_counts(walk.reached_via_types(edges, seeds, max_depth=max_depth)).agg(F.coalesce(F.sum("impacted"), F.lit(0)).alias("impacted"), F.coalesce(F.sum("structural_only"), F.lit(0)).alias("structural_only"))
-    callers, dependencies = (count(walk.walk(edges, seeds, d, max_depth=max_depth).hops, n) for d, n in ((walk.UP, "callers"), (walk.DOWN, "dependencies")))
+    sets = _sets(up).agg(*[F.coalesce(how(k), F.lit(0)).alias(n) for k, n in (("call", "entry_points"), ("association", "association_only"), ("registry", "registry_only"))])
+    types = walk.types_of(up["all"], down, seeds, seeds)
+    reach = reach_counts(types).agg(F.coalesce(F.sum("impacted"), F.lit(0)).alias("impacted"), F.coalesce(F.sum("structural_only"), F.lit(0)).alias("structural_only"))
+    callers, dependencies = count(up["all"].hops, "callers"), count(down.hops, "dependencies")
     return callers.crossJoin(dependencies).crossJoin(sets).crossJoin(reach)  # one row each

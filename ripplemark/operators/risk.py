@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.functions.nodes import class_of, is_entry_point
+from ripplemark.functions.nodes import class_of
 from ripplemark.operators import walk
-from ripplemark.operators.resolve import three_valued_any
 
 # Exposures that count as gated, and levels in order.
 GATED = ("authed", "admin", "internal")
@@ -15,28 +14,42 @@ LEVELS = ("LOW", "MEDIUM", "HIGH")
 
 
 def contradicted_entry_points(edges: DataFrame, points: DataFrame, auth_classes: DataFrame) -> DataFrame:
-    """node of the entry points whose public write is contradicted: they reach a policy, or pass a middleware that is (or extends) an auth class."""
-    down = walk.walk(edges, points.select(F.col("node").alias("origin"), "node"), walk.DOWN).hops.select("origin", "node")
-    both = down.unionByName(points.select(F.col("node").alias("origin"), "node"))
-    policy = both.join(edges.where("type = 'authorizes'").select(F.col("source").alias("node")).distinct(), "node", "left_semi").select("origin")
-    middleware = edges.where("type = 'route-to-middleware'").select(F.col("source").alias("origin"), F.col("target").alias("cls")).join(auth_classes, "cls", "left_semi").select("origin")
-    return policy.unionByName(middleware).distinct().withColumnRenamed("origin", "node").join(points, "node", "left_semi")
+    """node of the entry points whose public write is contradicted: they reach a policy, or pass a middleware that is (or extends) an auth class.
+
+    A point reaches a policy if one of the nodes that authorise lies at most MAX_DEPTH hops below it,
+    itself included: one walk up from those nodes, as one origin, answers all points.
+    """
+    guards = walk.one_origin(edges.where("type = 'authorizes'").select(F.col("source").alias("node")))
+    up = walk.walk(edges, guards, walk.UP, gated=False)
+    policy = up.hops.select("node").unionByName(up.seeds.select("node"))
+    middleware = edges.where("type = 'route-to-middleware'").select(F.col("source").alias("node"), F.col("target").alias("cls")).join(auth_classes, "cls", "left_semi").select("node")
+    return policy.unionByName(middleware).distinct().join(points, "node", "left_semi")
 
 
-def hazard_entry_points(hazards: DataFrame, edges: DataFrame, graph_nodes: DataFrame) -> DataFrame:
+def hazard_entry_points(hazards: DataFrame, edges: DataFrame, graph_nodes: DataFrame, direct: DataFrame | None = None) -> DataFrame:
     """member, point: the entry points above each hazard's member, or, if none, above its class and the class's members.
 
-    One walk answers all members at once, one more all classes.
+    One walk answers all members at once (``direct``: origin, node, where the caller has it
+    already), one more the classes of the rest.
     """
     members = hazards.select("member").distinct()
-    direct = walk.entry_points(walk.walk(edges, members.join(graph_nodes.select(F.col("node").alias("member")), "member", "left_semi").select(F.col("member").alias("origin"), F.col("member").alias("node")), walk.UP))
+    if direct is None:
+        direct = walk.entry_points(walk.walk(edges, member_seeds(members, graph_nodes), walk.UP))
     direct = direct.select(F.col("origin").alias("member"), F.col("node").alias("point"))
     rest = members.join(direct, "member", "left_anti").withColumn("cls", class_of(F.col("member")))
-    nodes_of = graph_nodes.select(class_of(F.col("node")).alias("origin"), "node")
-    above = walk.entry_points(walk.walk(edges, nodes_of.join(rest.select(F.col("cls").alias("origin")).distinct(), "origin", "left_semi"), walk.UP))
+    # A class whose only node is the member itself was walked from already.
+    nodes_of = graph_nodes.select(class_of(F.col("node")).alias("origin"), "node").join(rest.select(F.col("cls").alias("origin")).distinct(), "origin", "left_semi")
+    others = nodes_of.join(rest.select(F.col("cls").alias("origin"), F.col("member").alias("node")), ["origin", "node"], "left_anti").select("origin").distinct()
+    above = walk.entry_points(walk.walk(edges, nodes_of.join(others, "origin", "left_semi"), walk.UP))
     return direct.unionByName(rest.join(above.select(F.col("origin").alias("cls"), F.col("node").alias("point")), "cls").select("member", "point"))
 
 
+def member_seeds(members: DataFrame, graph_nodes: DataFrame) -> DataFrame:
+    """origin, node: the members that are nodes, each an origin of its own."""
+    known = members.join(graph_nodes.select(F.col("node").alias("member")), "member", "left_semi")
+    return known.select(F.col("member").alias("origin"), F.col("member").alias("node"))
+
+
 def reach_classes(members: DataFrame, above: DataFrame, points: DataFrame) -> DataFrame:
     """member, reach from (member, point) and points (node, exposure, public_write, contradicted)."""
     facts = above.join(points.withColumnRenamed("node", "point"), "point", "left")
@@ -113,10 +126,28 @@ def coverage(files: DataFrame) -> DataFrame:
     return files.select("file", F.when((F.col("seeds") > 0) | F.col("additive"), "analyzed").otherwise("unresolved").alias("coverage"))
 
 
-def points_above(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """origin, node of the entry points above each origin's seeds, from one walk."""
-    return walk.entry_points(walk.walk(edges, seeds, walk.UP)).where(is_entry_point(F.col("node")))
+def risk_inputs(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """file, points: how many entry points lie above each file's seeds (file, node); one walk answers all files."""
+    found = walk.entry_points(walk.walk(edges, seeds.select(F.col("file").alias("origin"), "node"), walk.UP))
+    counts = found.groupBy(F.col("origin").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    return seeds.select("file").distinct().join(counts, "file", "left").select("file", F.coalesce("n", F.lit(0)).cast("long").alias("points"))
+
+
+def self_listed(changes: DataFrame, inputs: DataFrame, points: DataFrame) -> DataFrame:
+    """node: the entry points (node), and the classes of changed files (file, fqcn, entry_class, additive) that are entry points by their place and have none above."""
+    own = changes.where("entry_class and not additive").join(inputs.where("points = 0").select("file"), "file", "left_semi").select(F.col("fqcn").alias("node"))
+    return points.select("node").unionByName(own).distinct()
+
+
+def with_frontend(points: DataFrame, seeds: DataFrame) -> DataFrame:
+    """node: the entry points, and the routes that changed frontend files (file, node) name."""
+    return points.select("node").unionByName(seeds.select("node")).distinct()
 
 
-def any_referenced(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(three_valued_any(F.col("referenced")).alias("referenced"))
+def job_flips(coverage: DataFrame, changes: DataFrame, inputs: DataFrame, uncertain: bool) -> DataFrame:
+    """file, coverage: a changed job that no entry point reaches is ``unresolved``, where some dispatch or file couldn't be followed (``uncertain``)."""
+    if not uncertain:
+        return coverage.select("file", "coverage")
+    jobs = changes.where(~F.col("additive") & F.col("fqcn").rlike(r"[.\\]Jobs[.\\]")).select("file").join(inputs.where("points = 0").select("file"), "file", "left_semi").withColumn("job", F.lit(True))
+    flip = F.col("job").isNotNull() & (F.col("coverage") == "analyzed")
+    return coverage.join(jobs, "file", "left").select("file", F.when(flip, "unresolved").otherwise(F.col("coverage")).alias("coverage"))

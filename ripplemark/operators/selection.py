@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplemark.functions.scan import match_templates
-from ripplemark.operators.resolve import three_valued_any
 
 
 def entry_point_references(points: DataFrame, references: DataFrame, names: DataFrame) -> DataFrame:
@@ -67,7 +66,3 @@ def capped(rows: DataFrame, key: str, value: str, most: int = 15) -> DataFrame:
     """key, shown, more: at most ``most`` values in order, and how many are left out."""
     all_ = rows.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("all"))
     return all_.select(key, F.array_join(F.slice("all", 1, most), ", ").alias("shown"), F.greatest(F.size("all") - most, F.lit(0)).cast("long").alias("more"))
-
-
-def any_state(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("node").agg(three_valued_any(F.col("referenced")).alias("referenced"))

@@ -8,7 +8,12 @@ combines before its shuffle.  No level needs a global sort.
 
 Each level is written to the shared folder and read again: the plan stays short, and a
 lost executor costs nothing that was walked.  A level costs one join of the frontier with
-the edges and one with what has been seen.
+the edges, one aggregation of what they give, and two joins with what is settled: the
+first visits, each (origin, node) once, and the few that were entered once more.  Nothing
+that earlier levels met is aggregated again.
+
+Several walks over the same edges, of other seeds or with other types left out, are one
+walk of tagged origins (:func:`walks`).
 """
 
 from __future__ import annotations
@@ -43,43 +48,51 @@ class Walk:
     direction: str
 
 
-def walk(edges: DataFrame, seeds: DataFrame, direction: str = UP, *, max_depth: int = MAX_DEPTH, exclude: tuple[str, ...] = (), every_edge: bool = False) -> Walk:
+def walk(
+    edges: DataFrame, seeds: DataFrame, direction: str = UP, *, max_depth: int = MAX_DEPTH, exclude: tuple[str, ...] = (), every_edge: bool = False, barred: Column | None = None, gated: bool = True
+) -> Walk:
     """Walks ``edges`` (source, target, type) from ``seeds`` (origin, node; an optional ``ordinal`` orders them).
 
     A path that is structural from its first hop on may not take a hierarchy edge.  A node
     that only such paths reached is entered once more when another kind of path comes.
     Only with ``every_edge`` the result has ``met``, at the cost of a written table a level.
+    ``barred`` is a condition on ``origin`` and ``via`` that no edge may meet.  Without ``gated``
+    hierarchy edges are taken like any other.
     """
     here, there = ("target", "source") if direction == UP else ("source", "target")
     hop = edges.where(~F.col("type").isin(*exclude)) if exclude else edges
     hop = hop.select(F.col(here).alias("from"), F.col(there).alias("to"), F.col("type").alias("via"))
-    if "ordinal" in seeds.columns:
-        start = F.lpad(F.col("ordinal").cast("string"), 12, "0")
-    else:
-        start = F.col("node")
+    start = F.lpad(F.col("ordinal").cast("string"), 12, "0") if "ordinal" in seeds.columns else F.col("node")
     seeds = write_table(seeds.select("origin", "node", start.alias("rank")).groupBy("origin", "node").agg(F.min("rank").alias("rank")), "walk-seeds")
     frontier = seeds.withColumn("flag", F.lit(False))
-    seen = [seeds.select("origin", "node", F.lit(False).alias("flag"))]
+    # First visits with their flag, and nodes entered once more: unique each, so only joined.
+    visited, again = [seeds.select("origin", "node", F.lit(False).alias("was"))], []
     hops, met = [], []
-    structural, hierarchy = F.col("via").isin(*STRUCTURAL), F.col("via").isin(*HIERARCHY)
+    structural, hierarchy = F.col("via").isin(*STRUCTURAL) & F.lit(gated), F.col("via").isin(*HIERARCHY)
     for depth in range(max_depth):
         flag = structural if depth == 0 else F.col("flag") & structural
         candidates = frontier.join(hop, F.col("node") == F.col("from")).where(~(F.col("flag") & hierarchy))
-        candidates = candidates.select("origin", F.col("to").alias("node"), "via", F.col("from").alias("parent"), F.concat("rank", F.lit(_STEP), "to", F.lit(_VIA), "via").alias("rank"), flag.alias("flag"))
+        if barred is not None:
+            candidates = candidates.where(~barred)
+        rank = F.concat("rank", F.lit(_STEP), "to", F.lit(_VIA), "via")
+        candidates = candidates.select("origin", F.col("to").alias("node"), "via", F.col("from").alias("parent"), rank.alias("rank"), flag.alias("flag"))
         if every_edge:
             candidates = write_table(candidates, "walk-met")
         met.append(candidates.select("origin", "node", "via", F.lit(depth + 1).alias("depth"), "parent"))
         entry = F.struct("rank", "via", "parent", "flag")
         first = candidates.groupBy("origin", "node").agg(F.min(entry).alias("first"), F.min(F.when(~F.col("flag"), entry)).alias("open"))
-        known = reduce(DataFrame.unionByName, seen).groupBy("origin", "node").agg(F.min("flag").alias("was"))
-        events = write_table(first.join(known, ["origin", "node"], "left").where(F.col("was").isNull() | (F.col("was") & F.col("open").isNotNull())), "walk-events")
+        known = first.join(reduce(DataFrame.unionByName, visited), ["origin", "node"], "left").where(F.col("was").isNull() | (F.col("was") & F.col("open").isNotNull()))
+        if again:
+            known = known.join(reduce(DataFrame.unionByName, again), ["origin", "node"], "left_anti")
+        events = write_table(known, "walk-events")
         if events.isEmpty():
             break
         visits = events.where(F.col("was").isNull())
         hops.append(visits.select("origin", "node", F.lit(depth + 1).alias("depth"), F.col("first.via").alias("via"), F.col("first.parent").alias("parent"), F.col("first.rank").alias("rank")))
         later = events.where(F.col("open").isNotNull() & (F.col("was").isNotNull() | F.col("first.flag")))
         frontier = visits.select("origin", "node", "first.rank", "first.flag").unionByName(later.select("origin", "node", "open.rank", "open.flag"))
-        seen.append(events.select("origin", "node", F.col("open").isNull().alias("flag")))
+        visited.append(visits.select("origin", "node", F.col("open").isNull().alias("was")))
+        again.append(events.where(F.col("was").isNotNull()).select("origin", "node"))
     empty = seeds.where(F.lit(False))
     return Walk(
         reduce(DataFrame.unionByName, hops) if hops else empty.select("origin", "node", F.lit(0).alias("depth"), F.lit("").alias("via"), F.lit("").alias("parent"), "rank"),
@@ -89,6 +102,16 @@ def walk(edges: DataFrame, seeds: DataFrame, direction: str = UP, *, max_depth:
     )
 
 
+def walks(edges: DataFrame, asked: dict[str, tuple[DataFrame, tuple[str, ...]]], direction: str = UP, *, max_depth: int = MAX_DEPTH, every_edge: bool = False) -> dict[str, Walk]:
+    """Several walks as one: name -> (seeds, types left out); origins are compared as strings."""
+    tag = lambda name, seeds: seeds.select(F.struct(F.lit(name).alias("walk"), F.col("origin").cast("string").alias("own")).alias("origin"), "node")
+    seeds = reduce(DataFrame.unionByName, [tag(name, df) for name, (df, _) in asked.items()])
+    left_out = [(F.col("origin.walk") == name) & F.col("via").isin(*types) for name, (_, types) in asked.items() if types]
+    found = walk(edges, seeds, direction, max_depth=max_depth, every_edge=every_edge, barred=reduce(Column.__or__, left_out) if left_out else None)
+    own = lambda df, name: df.where(F.col("origin.walk") == name).withColumn("origin", F.col("origin.own"))
+    return {name: Walk(own(found.hops, name), own(found.met, name), own(found.seeds, name), direction) for name in asked}
+
+
 def one_origin(nodes: DataFrame, origin: str = "") -> DataFrame:
     """Seeds of a single walk from a column ``node``."""
     return nodes.select(F.lit(origin).alias("origin"), "node").distinct()
@@ -103,7 +126,12 @@ def tree_edges(found: Walk) -> DataFrame:
 def reached_via_types(edges: DataFrame, seeds: DataFrame, dependency_seeds: DataFrame | None = None, *, max_depth: int = MAX_DEPTH) -> DataFrame:
     """origin, node, types (ascending): every type by which a node was met, up or down, seeds aside."""
     down = dependency_seeds if dependency_seeds is not None else seeds
-    both = walk(edges, seeds, UP, max_depth=max_depth, every_edge=True).met.unionByName(walk(edges, down, DOWN, max_depth=max_depth, every_edge=True).met)
+    return types_of(walk(edges, seeds, UP, max_depth=max_depth, every_edge=True), walk(edges, down, DOWN, max_depth=max_depth, every_edge=True), seeds, down)
+
+
+def types_of(up: Walk, below: Walk, seeds: DataFrame, down: DataFrame) -> DataFrame:
+    """As :func:`reached_via_types`, from walks that kept every edge."""
+    both = up.met.unionByName(below.met)
     own = seeds.select("origin", "node").unionByName(down.select("origin", "node")).distinct()
     return both.join(own, ["origin", "node"], "left_anti").groupBy("origin", "node").agg(F.sort_array(F.collect_set("via")).alias("types"))
 
@@ -136,11 +164,13 @@ def trace(edges: DataFrame, sources: DataFrame, targets: DataFrame, *, max_depth
     """The shortest call chain from a node of ``sources`` to one of ``targets``, and the furthest caller if there is none.
 
     The first result has pos, node, via; the second node and depth (the last node that a
-    walk up from the targets visits), empty if a chain was found.
+    walk up from the targets visits), empty if a chain was found.  Of several shortest
+    chains the one from the first source is taken: by ``ordinal``, where sources have it, then by node.
     """
     found = walk(edges, one_origin(targets), UP, max_depth=max_depth)
     at = found.hops.select("node", "depth").unionByName(found.seeds.select("node", F.lit(0).alias("depth"))).groupBy("node").agg(F.min("depth").alias("depth"))
-    best = at.join(sources.select("node").distinct(), "node").orderBy("depth", "node").limit(1)
+    place = F.min("ordinal") if "ordinal" in sources.columns else F.lit(0)
+    best = at.join(sources.groupBy("node").agg(place.alias("place")), "node").orderBy("depth", "place", "node").limit(1).select("node", "depth")
     chain = caller_paths(found, one_origin(best)).select("pos", "node", "via")
     last = found.hops.orderBy(F.desc("depth"), F.desc("rank")).limit(1).select("node", "depth")
     return chain, last.join(best.select(F.lit(1).alias("hit")).limit(1), F.lit(True), "left_anti")
@@ -152,10 +182,6 @@ def entry_points(found: Walk) -> DataFrame:
     return nodes.where(is_entry_point(F.col("node"))).distinct()
 
 
-def depth_of(found: Walk) -> DataFrame:
-    return found.hops.select("origin", "node", "depth")
-
-
 def only(types: Column, excluded: tuple[str, ...]) -> Column:
     """Whether all of an array of types are in ``excluded``."""
     return F.size(F.array_except(types, F.array(*[F.lit(t) for t in excluded]))) == 0

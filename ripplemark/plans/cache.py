@@ -6,20 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FORMAT_VERSION = 1
-#: Paths are combined in so many groups, so that no task sees all of them.
-GROUPS = 1_024
-
 
 def fingerprint(inputs: DataFrame, settings: str = "") -> DataFrame:
     """fingerprint: one hash over all (path, hash), in any order, the settings and the format.
 
-    Groups of paths are hashed first, then the groups' hashes: a tree, not one long list.
+    Each row's SHA-256 is cut into eight numbers of 32 bits, which are summed over all rows: a sum takes
+    rows in any order and is combined before its shuffle, so no list of paths is ever made.
     """
-    line = F.concat_ws("=", "path", "hash")
-    group = F.pmod(F.xxhash64("path"), F.lit(GROUPS))
-    parts = inputs.groupBy(group.alias("g")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("h"))
-    whole = parts.agg(F.array_join(F.sort_array(F.collect_list("h")), "|").alias("all"))
-    return whole.select(F.sha2(F.concat_ws("|", F.lit(str(FORMAT_VERSION)), F.lit(settings), "all"), 256).alias("fingerprint"))
+    row = F.sha2(F.concat_ws("\x00", F.length("path").cast("string"), "path", "hash"), 256)
+    rows = inputs.select(row.alias("row"))
+    part = lambda k: F.conv(F.substring("row", 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")
+    sums = rows.agg(F.count(F.lit(1)).cast("string").alias("n"), *[F.coalesce(F.sum(part(k)), F.lit(0)).cast("string").alias(f"s{k}") for k in range(8)])
+    return sums.select(F.sha2(F.concat_ws("|", F.lit(str(FORMAT_VERSION)), F.lit(settings), "n", *[f"s{k}" for k in range(8)]), 256).alias("fingerprint"))
 
 
 def scoped_rebuild(previous: DataFrame, current: DataFrame, provenance: DataFrame, *, merge_base: bool = True, same_settings: bool = True) -> DataFrame:

@@ -44,7 +44,7 @@ def reached_via_types(spark, sf_dir):
 
 def caller_edge_tree(spark, sf_dir):
     found = walk.walk(edges(spark, sf_dir), seeds(spark, MODEL), walk.UP)
-    return walk.tree_edges(found).drop("origin")
+    return walk.tree_edges(found).drop("origin").withColumn("depth", F.col("depth").cast("long"))
 
 
 def caller_tree_depths(spark, sf_dir):
@@ -53,26 +53,26 @@ def caller_tree_depths(spark, sf_dir):
 
 def dependency_edge_tree(spark, sf_dir):
     found = walk.walk(edges(spark, sf_dir), seeds(spark, CONTROLLER), walk.DOWN)
-    return walk.tree_edges(found).drop("origin")
+    return walk.tree_edges(found).drop("origin").withColumn("depth", F.col("depth").cast("long"))
 
 
 def caller_paths(spark, sf_dir):
-    """The chain lengths and ends from each route down to the model."""
+    """Every step of the chains from each route down to the model."""
     found = walk.walk(edges(spark, sf_dir), seeds(spark, MODEL), walk.UP)
     chains = walk.caller_paths(found, walk.entry_points(found))
-    return chains.groupBy("target").agg(F.max("pos").cast("long").alias("length"), F.max_by("node", "pos").alias("seed"), F.max_by("via", "pos").alias("last_via"))
+    return chains.select("target", F.col("pos").cast("long").alias("pos"), "node", "via")
 
 
 def trace_found(spark, sf_dir):
     e = edges(spark, sf_dir)
     chain, _ = walk.trace(e, graph.nodes(e).where(F.col("node").startswith("route::")), seeds(spark, MODEL).select("node"))
-    return chain.agg(F.max("pos").cast("long").alias("length"), F.max_by("node", "pos").alias("target"), F.min_by("node", "pos").alias("source"))
+    return chain.withColumn("pos", F.col("pos").cast("long"))
 
 
 def trace_miss_furthest(spark, sf_dir):
     e = edges(spark, sf_dir)
     _, last = walk.trace(e, seeds(spark, "App.Models.N1").select("node"), seeds(spark, "App.Services.P7").select("node"))
-    return last.select(F.col("depth").cast("long").alias("depth"))
+    return last.select("node", F.col("depth").cast("long").alias("depth"))
 
 
 def impact(spark, sf_dir):
@@ -164,6 +164,23 @@ def _one(node: str) -> str:
     return f"select '{node}'"
 
 
+def tree_cte(node: str, up: bool = True, depth: int = 6) -> str:
+    """The first visits ``tree`` (node, parent, via, depth, rank) of a walk from one node, level by level, nearest queue place first."""
+    here, there = ("target", "source") if up else ("source", "target")
+    structural, hierarchy = (f"e.type in ({quoted(kinds)})" for kinds in (STRUCTURAL, HIERARCHY))
+    out = [f"f0 as (select '{node}' node, '{node}' rank, true so), s0 as (select '{node}' node), o0 as (select '{node}' node)"]
+    for k in range(1, depth + 1):
+        gate = "" if k == 1 else f"where not (f.so and {hierarchy})"
+        out.append(f"""c{k} as (select e.{there} node, e.type via, f.node parent, concat(f.rank, chr(1), e.{there}, chr(2), e.type) rank, f.so and {structural} so from f{k - 1} f join e on e.{here} = f.node {gate}),
+b{k} as (select node, arg_min(via, rank) via, arg_min(parent, rank) parent, min(rank) rank, arg_min(so, rank) so, min(rank) filter (not so) orank from c{k} group by node),
+v{k} as (select * from b{k} where node not in (select node from s{k - 1})),
+r{k} as (select * from b{k} where orank is not null and node in (select node from s{k - 1}) and node not in (select node from o{k - 1})),
+s{k} as (select node from s{k - 1} union select node from v{k}), o{k} as (select node from o{k - 1} union select node from v{k} where orank is not null union select node from r{k}),
+f{k} as (select node, rank, so from v{k} union all select node, orank, false from v{k} where so and orank is not null union all select node, orank, false from r{k})""")
+    return ", ".join(out) + ", tree as (" + " union all ".join(f"select node, parent, via, {k}::bigint depth, rank from v{k}" for k in range(1, depth + 1)) + ")"
+
+
+_CHAINS = "ch(target, pos, spot) as (select node, 0::bigint, node from {0} union all select target, pos + 1, tree.parent from ch join tree on tree.node = ch.spot) select {1} ch.pos, ch.spot node, coalesce(tree.via, '') via from ch left join tree on tree.node = ch.spot"
 _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9_]+'), lambda t: t <> ''))"
 ORACLE_SQL = {
     "callers_of": _walk(_one("App.Models.N3::m")),
@@ -172,9 +189,11 @@ ORACLE_SQL = {
     "callers_two_levels": _walk(_one(MODEL), depth=2),
     "reached_via_types": f"with recursive {E_SQL}, {walk_cte('u', _one(MODEL))}, {walk_cte('d', _one(MODEL), up=False)} select node, string_agg(via, ',' order by via) types from ({met_sql('u')} union {met_sql('d', False)}) where node <> '{MODEL}' group by node",
     "caller_tree_depths": _walk(_one(MODEL), f"select depth, count(*) n from ({_DEPTHS}) group by depth"),
-    "caller_paths": _walk(_one(MODEL), f"select node target, depth as length, '{MODEL}' seed, '' last_via from ({_DEPTHS}) where node like 'route::%'"),
-    "trace_found": _walk(_one(MODEL), f"select depth as length, '{MODEL}' target, node source from ({_DEPTHS}) where node like 'route::%' order by depth, node limit 1"),
-    "trace_miss_furthest": _walk(_one("App.Services.P7"), f"select max(depth) depth from ({_DEPTHS})"),
+    "caller_edge_tree": f"with {E_SQL}, {tree_cte(MODEL)} select node source, parent target, via as type, depth from tree",
+    "dependency_edge_tree": f"with {E_SQL}, {tree_cte(CONTROLLER, up=False)} select parent source, node target, via as type, depth from tree",
+    "caller_paths": f"with recursive {E_SQL}, {tree_cte(MODEL)}, pts as (select node from tree where node like 'route::%'), {_CHAINS.format('pts', 'target,')}",
+    "trace_found": f"with recursive {E_SQL}, {tree_cte(MODEL)}, pts as (select node from tree where node like 'route::%' order by depth, node limit 1), {_CHAINS.format('pts', '')}",
+    "trace_miss_furthest": f"with {E_SQL}, {tree_cte('App.Services.P7')} select node, depth from tree order by depth desc, rank desc limit 1",
     "impact_summary": f"""with recursive {E_SQL}, {walk_cte('u', _one(MODEL))}, {walk_cte('c', _one(MODEL), exclude=ASSOCIATION)}, {walk_cte('r', _one(MODEL), exclude=REGISTRY)}, {walk_cte('d', _one(MODEL), up=False)},
 ty as (select node, list(distinct via) types from ({met_sql('u')} union {met_sql('d', False)}) where node <> '{MODEL}' group by node)
 select (select count(distinct node) from u where depth > 0) callers, (select count(distinct node) from d where depth > 0) dependencies,

@@ -29,7 +29,7 @@ MIDDLEWARE = "select concat('route::GET::/m/', cast(c_custkey as string)) as sou
 ALIASES = "select concat('a', cast(n_nationkey as string)) as alias, concat('App.Mw.', n_name) as cls, 1 as precedence from {nation} where n_regionkey < 3 union all select concat('a', cast(n_nationkey as string)), concat('App.Boot.', n_name), 0 from {nation} where n_regionkey > 1"
 READS = "select concat('App.Http.C', cast(o_custkey as string)) as reader, concat('cfg', cast(o_orderkey % 9 as string)) as file, case when o_orderkey % 4 = 0 then cast(null as string) else concat('k', cast(o_orderkey % 30 as string)) end as key_path from {orders}"
 ENTRIES = "select concat('cfg', cast(p_partkey % 9 as string)) as file, concat('k', cast(p_size as string)) as key_path, concat('App.Calc.', replace(p_brand, '#', '')) as cls from {part}"
-CHAINS = "select c_custkey as id, concat('App.C', cast(c_custkey as string)) as root, concat('r', cast(c_custkey % 4 as string), '.r', cast(c_nationkey % 4 as string), '.r1') as path from {customer}"
+CHAINS = "select c_custkey as id, concat('App.C', cast(c_custkey as string)) as root, concat('r', cast(c_custkey % 4 as string), '.r', cast(c_nationkey % 4 as string), case when c_custkey % 2 = 0 then ':id,body' else '' end, '.r1.r0.r2.r1.r0.r1.r2.r0') as path from {customer}"
 
 
 def _closure(spark, sf_dir):
@@ -89,7 +89,12 @@ def relation_to_model(spark, sf_dir):
 
 
 def relation_tail(spark, sf_dir):
-    # The SQL ends a path at its first to-many hop.
+    """Eager loads walk the whole path, through to-many hops and columns."""
+    return resolve.relation_chains(relation(spark, sf_dir, CHAINS), relation(spark, sf_dir, RELATIONS), _closure(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long"))
+
+
+def relation_traversal(spark, sf_dir):
+    """Traversals in a body end at their first to-many hop."""
     return resolve.relation_chains(relation(spark, sf_dir, CHAINS), relation(spark, sf_dir, RELATIONS), _closure(spark, sf_dir), stop_at_many=True).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -148,7 +153,7 @@ def schedule_commands(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    class_ancestors, override_edges, inherited_edges, constant_declaring_class, declares_edges, member_declaration, facade_resolution, provider_bindings, relation_lookup, trait_relations, relation_to_model, relation_tail,
+    class_ancestors, override_edges, inherited_edges, constant_declaring_class, declares_edges, member_declaration, facade_resolution, provider_bindings, relation_lookup, trait_relations, relation_to_model, relation_tail, relation_traversal,
     instance_call_keep, short_id_rewrite, alias_rewrite, canonical_ids, metadata_merge, fallback_file, second_hop_candidates, config_registry_edges, reference_edges, model_label_collapse, schedule_commands,
 )}
 
@@ -158,6 +163,11 @@ _NEAR = "select cls, member, owner, depth from (select cls, member, owner, depth
 _DM = f"dm as (select distinct cls, method as member from ({_M}))"
 _W = f"w as (select distinct split_part(target, '::', 1) cls, split_part(target, '::', 2) member from ({_C}))"
 _RN = "rn as (select w.cls, w.method, x.owner, r.related, r.to_many from (select cls, member as method, owner from (" + _NEAR + ")) x join w on w.cls = x.cls and w.method = x.method join r on r.owner = x.owner and r.method = x.method)"
+_CHAIN_SQL = f"""with {_CLOSURE}, r as ({_R}), lk as (select a.cls, a.method, a.owner, related, to_many from (
+  select cls, method, owner, related, to_many, row_number() over (partition by cls, method order by depth) k from (select owner cls, owner, method, related, to_many, 0 depth from r union all select cl.cls, r.owner, method, related, to_many, depth from cl join r on r.owner = cl.ancestor)) a where k = 1),
+h(id, pos, path, cls, source, target, more) as (select id, 0, list_transform(string_split(path, '.'), lambda x: split_part(x, ':', 1)), related, concat(owner, '::', method), related, {{more}} from ({duck(CHAINS)}) c join lk on lk.cls = c.root and lk.method = split_part(path, '.', 1)
+  union all select id, pos + 1, path, related, concat(owner, '::', method), related, {{more}} from h join lk on lk.cls = h.cls and lk.method = path[pos + 2] where more)
+select id, cast(pos as bigint) pos, source, target from h"""
 ORACLE_SQL = {
     "class_ancestors": f"with {_CLOSURE} select cls, ancestor, cast(min(depth) as bigint) depth from cl group by all",
     "override_edges": f"with {_CLOSURE}, m as ({_M}), ok as (select distinct cls, method from m where visibility <> 'private' and not static and method <> '__construct' and kind <> 'trait') select distinct concat(a.cls, '::', a.method) source, concat(b.cls, '::', b.method) target, 'override' type from cl join ok a on a.cls = cl.ancestor join ok b on b.cls = cl.cls and a.method = b.method",
@@ -170,11 +180,8 @@ ORACLE_SQL = {
     "relation_lookup": f"with {_CLOSURE}, r as ({_R}), dm as (select owner cls, method member from r), w as (select cls, 'r' || k as member, 'r' || k as method from p, range(5) t(k) where cls like 'App.C%'), {_RN} select * from rn",
     "trait_relations": f"with r as ({_R}), p as ({_P}), b as (select owner, method, related, to_many, 0 k from r union all select p.cls, method, related, to_many, 1 from r join p on p.parent = r.owner) select owner, method, related, to_many from b qualify row_number() over (partition by owner, method order by k, related, to_many) = 1",
     "relation_to_model": f"select distinct concat(owner, '::', method) source, related target, 'relation-to-model' type from ({_R})",
-    "relation_tail": f"""with {_CLOSURE}, r as ({_R}), lk as (select a.cls, a.method, a.owner, related, to_many from (
-  select cls, method, owner, related, to_many, row_number() over (partition by cls, method order by depth) k from (select owner cls, owner, method, related, to_many, 0 depth from r union all select cl.cls, r.owner, method, related, to_many, depth from cl join r on r.owner = cl.ancestor)) a where k = 1),
-h(id, pos, path, cls, source, target, more) as (select id, 0, string_split(path, '.'), related, concat(owner, '::', method), related, not to_many from ({duck(CHAINS)}) c join lk on lk.cls = c.root and lk.method = split_part(path, '.', 1)
-  union all select id, pos + 1, path, related, concat(owner, '::', method), related, not to_many from h join lk on lk.cls = h.cls and lk.method = path[pos + 2] where more)
-select id, cast(pos as bigint) pos, source, target from h""",
+    "relation_tail": _CHAIN_SQL.format(more="true"),
+    "relation_traversal": _CHAIN_SQL.format(more="not to_many"),
     "instance_call_keep": f"with {_CLOSURE}, {_DM}, c as ({_C}) select * from c where type <> 'instance-call' or exists (select 1 from dm where dm.member = split_part(target, '::', 2) and (dm.cls = split_part(target, '::', 1) or dm.cls in (select ancestor from cl where cl.cls = split_part(target, '::', 1))))",
     "short_id_rewrite": f"with k as ({duck(KLASSES)}), a as (select concat('controller::', split_part(cls, '.', 3), '@', method) target, min(concat(cls, '::', method)) \"full\" from k group by 1 having count(distinct cls) = 1) select source, coalesce(\"full\", target) target, type from ({duck(SHORT)}) left join a using (target)",
     "alias_rewrite": f"with a as (select alias, arg_min(cls, precedence) cls from ({duck(ALIASES)}) group by alias) select source, coalesce(cls, target) target, type from ({duck(MIDDLEWARE)}) e left join a on e.target = 'middleware::' || alias or e.target like 'middleware::' || alias || ':%'",
