@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplemark.operators.resolve import second_hop
+
 # Calls that put a job on a queue, and namespace parts with the edge type that a reference to them is.
 DISPATCH_FUNCTIONS = ("dispatch", "dispatch_sync")
 DISPATCH_STATICS = ("dispatch", "dispatchSync", "dispatchNow", "dispatchIf", "dispatchUnless", "dispatchAfterResponse")
@@ -93,7 +95,7 @@ def dispatches(facts: DataFrame, helpers: tuple[str, ...] = ()) -> DataFrame:
     """path, line, pos, cls, method, how (class, single, group), extra of each dispatch site."""
     names = DISPATCH_FUNCTIONS + helpers
     calls = _in(facts, "call").where(F.col("name").isin(*names)).withColumn("how", F.lit("single"))
-    own = _in(facts, "this").where(F.col("name") == "dispatch").where(F.col("extra").isNull() | F.col("extra").rlike("^(new|class|var):|^array$|^closure$")).withColumn("how", F.lit("single"))
+    own = _in(facts, "this").where(F.col("name") == "dispatch").where(F.col("extra").isNull() | F.col("extra").rlike("^(new|class|var|map):|^array$|^closure$")).withColumn("how", F.lit("single"))
     bus = _in(facts, "static").where(F.col("name").rlike(r"(^|\\)Bus$"))
     single, group = bus.where(F.col("arg").isin(*BUS_SINGLE)).withColumn("how", F.lit("single")), bus.where(F.col("arg").isin(*BUS_GROUP)).withColumn("how", F.lit("group"))
     direct = _in(facts, "static").where(F.col("arg").isin(*DISPATCH_STATICS) & ~F.col("name").rlike(r"(^|\\)Bus$")).withColumn("how", F.lit("class")).withColumn("extra", F.concat(F.lit("new:"), "name"))
@@ -101,17 +103,17 @@ def dispatches(facts: DataFrame, helpers: tuple[str, ...] = ()) -> DataFrame:
 
 
 def local_jobs(facts: DataFrame, sites: DataFrame) -> DataFrame:
-    """The sites that dispatch a variable, with the class (name) that its only write, before the site, makes."""
+    """The sites that dispatch a variable, with the class (name) that its only write, before the site, makes: an object for one job, a mapped collection for a group."""
     n = F.count(F.lit(1)).over(Window.partitionBy("path", "cls", "method", "name"))
-    once = _in(facts, "write").withColumn("n", n).where("n = 1 and arg is not null and not nested").select("path", "cls", "method", F.col("name").alias("var"), F.col("arg").alias("made"), F.col("pos").alias("written"))
+    once = _in(facts, "write").withColumn("n", n).where("n = 1 and arg is not null and not nested").select("path", "cls", "method", F.col("name").alias("var"), F.col("arg").alias("made"), F.col("pos").alias("written"), F.coalesce(F.col("extra") == "map", F.lit(False)).alias("each"))
     asked = sites.where(F.col("extra").startswith("var:")).withColumn("var", F.substr(F.col("extra"), F.lit(5)))
-    return asked.join(once, ["path", "cls", "method", "var"]).where(F.col("written") < F.col("pos")).select(*sites.columns, F.col("made").alias("name"))
+    return asked.join(once, ["path", "cls", "method", "var"]).where((F.col("written") < F.col("pos")) & (F.col("each") == (F.col("how") == "group"))).select(*sites.columns, F.col("made").alias("name"))
 
 
 def dispatch_edges(facts: DataFrame, helpers: tuple[str, ...] = ()) -> DataFrame:
     """To the ``handle`` of each dispatched class, and of each class that a dispatching method makes and that is a target."""
     sites = dispatches(facts, helpers)
-    named = sites.where(F.col("extra").startswith("new:")).select("cls", "method", F.substr(F.col("extra"), F.lit(5)).alias("name"))
+    named = sites.where(F.col("extra").startswith("new:") | (F.col("extra").startswith("map:") & (F.col("how") == "group"))).select("cls", "method", F.substr(F.col("extra"), F.lit(5)).alias("name"))
     made = _in(facts, "new").where("name is not null").select("cls", "method", "name").join(sites.select("cls", "method").distinct(), ["cls", "method"], "left_semi")
     both = named.unionByName(local_jobs(facts, sites).select("cls", "method", "name")).unionByName(made).where("name <> cls").distinct().join(dispatch_targets(facts), "name", "left").where(F.coalesce("target", F.lit(True)))
     return _edge(both, member(), F.concat(F.col("name"), F.lit("::handle")), "action-to-job")
@@ -125,6 +127,52 @@ def unresolved_dispatches(facts: DataFrame, helpers: tuple[str, ...] = ()) -> Da
     return open_.select(F.col("path").alias("file"), "line", member().alias("dispatcher")).distinct()
 
 
+def mapped_jobs(facts: DataFrame) -> DataFrame:
+    """path, line, cls, method, name: the jobs of groups that are a collection mapped item by item, written in place or once before."""
+    sites = dispatches(facts).where("how = 'group'")
+    here = sites.where(F.col("extra").startswith("map:")).withColumn("name", F.substr("extra", F.lit(5)))
+    both = here.unionByName(local_jobs(facts, sites))
+    known = both.join(dispatch_targets(facts), "name", "left").where(F.coalesce("target", F.lit(True)))
+    return known.select("path", "line", "cls", "method", "name").distinct()
+
+
+def typed_calls(facts: DataFrame, root: str = "App") -> DataFrame:
+    """Calls on variables and properties that are declared as one class: by parameter, property or tag; within a method its own declarations count, the nearest before the call."""
+    types = _in(facts, "type").where(app("arg", root)).select("path", "cls", F.col("method").alias("of"), "name", F.col("arg").alias("known"), F.col("pos").alias("said"))
+    calls = _in(facts, "on").where(~F.col("nested")).select("path", "cls", "method", "name", F.col("arg").alias("called"), "pos")
+    met = calls.join(types, ["path", "cls", "name"]).where((F.col("of").isNull() & F.col("name").startswith("this.")) | ((F.col("of") == F.col("method")) & (F.col("said") < F.col("pos"))))
+    best = met.groupBy("path", "cls", "method", "name", "called", "pos").agg(F.max(F.struct("said", "known")).alias("t"))
+    return _edge(best, member(), F.concat_ws("::", "t.known", "called"), "instance-call")
+
+
+def entry_point_methods(facts: DataFrame, roots: tuple[str, ...]) -> DataFrame:
+    """path, cls, method of the methods below the roots (folders of app/) that have a body with some call, object or constant in it."""
+    below = F.lit(False)
+    for r in roots:
+        below = below | F.col("path").startswith(f"app/{r.strip('/')}/")
+    own = _in(facts, "method").where(below & ~F.array_contains(F.split("arg", " "), "abstract")).select("path", "cls", F.col("name").alias("method"))
+    acting = _in(facts, "new", "static", "this", "call", "fetch", "on").select("path", "cls", "method").distinct()
+    return own.join(acting, ["path", "cls", "method"], "left_semi").distinct()
+
+
+def body_edges(facts: DataFrame, methods: DataFrame, root: str = "App") -> DataFrame:
+    """The edges that leave the bodies of some methods (path, cls, method)."""
+    inner = _in(facts, "new", "static", "this", "call", "fetch", "on", "write", "type").where("method is not null or fact = 'type'")
+    wanted = inner.join(methods.select("path", "cls", "method").distinct(), ["path", "cls", "method"], "left_semi").select(*facts.columns)
+    rest = _in(facts, "class", "implements", "trait", "method").unionByName(inner.where("method is null").select(*facts.columns))
+    both = wanted.unionByName(rest)
+    parts = [static_call_edges(both, None, root), constructor_edges(both, root), instance_call_edges(both), constant_edges(both, root), typed_calls(both, root), dispatch_edges(both)]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def second_hop_round(edges: DataFrame, facts: DataFrame, scope: str = "methods", root: str = "App") -> DataFrame:
+    """``edges`` and those of one more round: the bodies behind calls that no walk covers yet, and with ``class`` all methods of their classes."""
+    asked = second_hop(edges, scope).select(F.col("node").alias("asked"))
+    methods = _in(facts, "method").select("path", "cls", F.col("name").alias("method"))
+    hit = methods.join(asked, F.col("asked").isin(F.concat_ws("::", "cls", "method"), F.col("cls")), "left_semi") if scope == "class" else methods.join(asked, F.concat_ws("::", "cls", "method") == F.col("asked"), "left_semi")
+    return edges.unionByName(body_edges(facts, hit, root).select(*edges.columns)).distinct()
+
+
 def members(facts: DataFrame) -> DataFrame:
     """path, cls, kind, name, start, end: the spans of methods, properties, constants and enum cases."""
     kind = F.when(F.col("fact") == "case", "enum_case").otherwise(F.col("fact"))
@@ -151,7 +199,7 @@ def unparseable(facts: DataFrame) -> DataFrame:
 def config_reads(facts: DataFrame) -> DataFrame:
     """reader, file, key_path: literal reads of ``config()`` and ``Config::get()``; a bare file name can't be enumerated (null)."""
     reads = _in(facts, "call").where("name = 'config'").unionByName(_in(facts, "static").where(F.col("name").endswith("Config") & (F.col("arg") == "get")))
-    reads = reads.where(F.col("extra").isNotNull() & ~F.col("extra").rlike("^(new|class|var):|^array$|^closure$"))
+    reads = reads.where(F.col("extra").isNotNull() & ~F.col("extra").rlike("^(new|class|var|map):|^array$|^closure$"))
     return reads.select(member().alias("reader"), F.substring_index("extra", ".", 1).alias("file"), F.when(F.col("extra").contains("."), F.regexp_replace("extra", r"^[^.]*\.", "")).alias("key_path"))
 
 

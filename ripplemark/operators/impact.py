@@ -32,6 +32,16 @@ def reach_counts(types: DataFrame) -> DataFrame:
     return types.groupBy("origin").agg(F.sum((~safe).cast("long")).alias("impacted"), F.sum(structural.cast("long")).alias("structural_only"))
 
 
+def reach_reasons(types: DataFrame, shown: tuple[str, ...]) -> DataFrame:
+    """origin, node, via: nodes that only excluded types reach, among them some of ``shown``; ``via`` says which, in order.
+
+    With ``model-relationship`` these are the related models, with ``uses-trait`` and
+    ``override`` the classes that run a member without calling it: shown, never counted.
+    """
+    matched = F.array_sort(F.array_intersect("types", F.array(*[F.lit(t) for t in shown])))
+    return types.where(walk.only(F.col("types"), RISK_EXCLUDED)).select("origin", "node", matched.alias("via")).where(F.size("via") > 0)
+
+
 def impact_summary(edges: DataFrame, seeds: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row: callers, dependencies, entry points by how they were reached, and reach counts."""
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))

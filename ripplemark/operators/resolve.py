@@ -155,13 +155,13 @@ def fallback_files(meta: DataFrame, files: DataFrame, root: str = "App.") -> Dat
 
 
 def second_hop(edges: DataFrame, scope: str = "methods") -> DataFrame:
-    """node: call targets whose bodies no walk covers yet; with ``class`` their classes, with ``none`` nothing."""
+    """node: call targets whose bodies no walk covers yet; with ``class`` the classes of all call targets, too; with ``none`` nothing."""
     calls = edges.where(F.col("type").isin("static-call", "facade-resolves-to")).select(F.col("target").alias("node")).distinct()
     walked = edges.where(~F.col("type").isin("declares", "override", "inherits", "implements", "uses-trait")).select(F.col("source").alias("node")).distinct()
     out = calls.join(walked, "node", "left_anti")
     if scope == "none":
         return out.limit(0)
-    return out if scope == "methods" else out.unionByName(out.select(class_of(F.col("node")).alias("node"))).distinct()
+    return out if scope == "methods" else out.unionByName(calls.where(F.col("node").contains("::")).select(class_of(F.col("node")).alias("node"))).distinct()
 
 
 def config_registry_edges(reads: DataFrame, entries: DataFrame) -> DataFrame:

@@ -62,6 +62,25 @@ def support_only(references: DataFrame) -> DataFrame:
     return references.groupBy("node").agg(F.max(F.col("file").endswith("Test.php").cast("int")).alias("r")).where("r = 0").select("node")
 
 
+# Nodes of these kinds are never dispatched.
+NOT_DISPATCHED = ("route::", "view::", "command::", "schedule::", "middleware::", "model::", "controller::", "action::")
+
+
+def dispatch_blocked(changed: DataFrame, callers: DataFrame, targets: DataFrame) -> DataFrame:
+    """id, blocked: whether a dispatch that couldn't be followed may hide callers of a change.
+
+    That is so if a class that may be dispatched is changed (id, fqcn) or calls the change from
+    above (id, node).  ``targets`` (name, target) says which classes may be; one that isn't
+    in it may.
+    """
+    plain = F.lit(True)
+    for prefix in NOT_DISPATCHED:
+        plain = plain & ~F.col("node").startswith(prefix)
+    own = changed.where("fqcn <> ''").select("id", F.col("fqcn").alias("name")).unionByName(callers.where(plain).select("id", F.substring_index("node", "::", 1).alias("name"))).distinct()
+    may = own.join(targets, "name", "left").groupBy("id").agg(F.max(F.coalesce("target", F.lit(True)).cast("int")).alias("may"))
+    return changed.select("id").distinct().join(may, "id", "left").select("id", (F.coalesce("may", F.lit(0)) == 1).alias("blocked"))
+
+
 def capped(rows: DataFrame, key: str, value: str, most: int = 15) -> DataFrame:
     """key, shown, more: at most ``most`` values in order, and how many are left out."""
     all_ = rows.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("all"))

@@ -10,7 +10,7 @@ import html
 import json
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIST_CAP = 15
@@ -32,6 +32,20 @@ def editor_link(editor: str | None, root: str, file: str, line: int | None) -> s
     return pattern.format(file=f"{root.rstrip('/')}/{file}", line=line or 1) if pattern else None
 
 
+def editor_links(editor: str | None, root: str, file: Column, line: Column) -> Column:
+    """As :func:`editor_link`, for a column of files and one of lines (null: 1)."""
+    pattern = EDITORS.get(editor or "", editor if editor and "{file}" in editor else None)
+    if not pattern:
+        return F.lit(None).cast("string")
+    out = F.replace(F.lit(pattern), F.lit("{file}"), F.concat(F.lit(root.rstrip("/") + "/"), file))
+    return F.replace(out, F.lit("{line}"), F.coalesce(line, F.lit(1)).cast("string"))
+
+
+def exit_codes(failed: Column, determinable: Column) -> Column:
+    """As :func:`exit_code`, for columns."""
+    return F.when(failed, 1).when(determinable, 0).otherwise(2)
+
+
 def label(node: str) -> str:
     """A command without its arguments; other nodes as they are."""
     return node.split(None, 1)[0] if node.startswith("command::") else node

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ripplemark.queries import changes, graph, hazards, resolve, risk, scan, source
+from ripplemark.queries import changes, frontend, graph, hazards, reports, resolve, risk, scan, source
 
 QUERIES = {}
 ORACLE_SQL = {}
-for _module in (graph, resolve, changes, hazards, scan, risk, source):
+for _module in (graph, resolve, changes, hazards, scan, risk, source, frontend, reports):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

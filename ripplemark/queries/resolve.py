@@ -188,7 +188,7 @@ ORACLE_SQL = {
     "canonical_ids": f"with u as (select concat('controller::K', n_nationkey, '@m', n_nationkey % 4) id, case when n_nationkey % 2 = 0 then concat('App.K', n_nationkey, case when n_nationkey % 3 = 0 then '' else '::go' end) end \"full\" from nation) select source, coalesce(\"full\", target) target, type from ({duck(SHORT)}) left join u on u.id = target",
     "metadata_merge": "select concat('P', l_partkey) node, first(l_returnflag order by l_orderkey * 10 + l_linenumber, l_returnflag) filter (l_linenumber % 2 = 0) file, first(cast(l_quantity as int) order by l_orderkey * 10 + l_linenumber, cast(l_quantity as int)) filter (l_quantity > 25) line from lineitem group by l_partkey",
     "fallback_file": f"select node, case when line % 3 <> 0 then file when node like 'App.Http.C%' and node in (select concat('App.Http.C', c_custkey) from customer where c_acctbal > 0) then concat('app/Http/C', line, '.php') end file from ({duck(META)})",
-    "second_hop_candidates": f"with c as ({_C}), o as (select distinct target node from c where type = 'static-call' and target not in (select source from c)) select node from o union select split_part(node, '::', 1) from o",
+    "second_hop_candidates": f"with c as ({_C}), o as (select distinct target node from c where type = 'static-call' and target not in (select source from c)) select node from o union select split_part(target, '::', 1) from c where type = 'static-call'",
     "config_registry_edges": f"with r as ({duck(READS)}), n as ({duck(ENTRIES)}) select reader source, cls target, 'config-registry' type from r join n using (file, key_path) union select reader, cls, 'config-registry-fanout' from r join n using (file) where r.key_path is null",
     "reference_edges": f"with {E_SQL} select distinct source, target, case when target like 'App.Models.S1%' then 'special' when target like 'App.Models.%' then 'model' else 'references' end type from e where target like 'App.Models.%' or target like 'App.Services.%'",
     "model_label_collapse": "with l as (select concat('App.Models.M', s_suppkey % 30) label from supplier union select concat('App.Old.M', s_suppkey % 11) from supplier union select concat('M', s_suppkey % 40) from supplier) select label from l where label like '%.%' or (select count(*) from l f where f.label like '%.%' and split_part(f.label, '.', 3) = l.label) <> 1",

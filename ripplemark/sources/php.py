@@ -17,11 +17,15 @@ static                name = class, arg = method, extra = first argument
 this                  name = method called on $this, extra = first argument
 call                  name = function, extra = first argument
 fetch                 name = class, arg = constant; ``C::class`` has arg ``class``
-write                 name = variable, arg = class if the value is ``new CLASS``; parameters too
+write                 name = variable, arg = class if the value is ``new CLASS``; parameters too;
+                      extra = ``map`` if it is a collection mapped to ``new CLASS``, item by item
+type                  name = variable, or ``this.`` and a property; arg = the one class that it is declared as
+on                    name = variable or ``this.`` and a property on which arg = a method is called
 ====================  =======================================================================
 
 ``extra`` of a call is the literal of a string argument, ``new:CLASS``, ``class:CLASS``,
-``var:NAME``, ``array``, ``closure``, or null for anything else.
+``var:NAME``, ``map:CLASS`` (a collection mapped to ``new CLASS``), ``array``, ``closure``, or null
+for anything else.
 """
 
 from __future__ import annotations
@@ -43,6 +47,12 @@ _TOKEN = re.compile(
 _KINDS = {"class", "interface", "trait", "enum"}
 _MODIFIERS = {"public", "protected", "private", "static", "abstract", "final", "readonly", "var"}
 _SELF = {"self", "static", "parent"}
+# Calls on a collection that keep its items what they are, and types that are no class.
+ITEM_PRESERVING = (
+    "all", "values", "filter", "reject", "unique", "sort", "sortBy", "sortByDesc", "reverse", "take", "skip", "slice", "shuffle", "whereNotNull", "collect",
+)
+BUILTIN_TYPES = {"array", "bool", "boolean", "callable", "false", "float", "int", "integer", "iterable", "mixed", "null", "object", "self", "static", "string", "true", "void", "never", "parent"}
+_VAR_TAG = re.compile(r"@var\s+(\S+)\s+\$(\w+)")
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}", "#[": "]"}, {")", "]", "}"}
 
 
@@ -79,7 +89,7 @@ def tokens(source: str) -> list[tuple[str, str, int, int]]:
 
 class Scanner:
     def __init__(self, source: str):
-        self.t = tokens(source)
+        self.source, self.t = source, tokens(source)
         self.facts: list[tuple] = []
         self.namespace, self.imports = "", {}
 
@@ -208,6 +218,7 @@ class Scanner:
             elif word in ("const", "case"):
                 k = self.grouped(k, cls, "constant" if word == "const" else "case")
             elif self.t[k][0] == "var":
+                self.typed(k, cls, None, "this." + self.text(k)[1:])
                 k = self.grouped(k, cls, "property")
             else:
                 k += 1
@@ -247,13 +258,83 @@ class Scanner:
         if "abstract" not in modifiers and self.text(j) == ";":
             modifiers.append("abstract")
         self.add("method", cls, name, name, " ".join(sorted(modifiers)), params, first, self.t[stop][2], self.t[k][3])
-        for t in self.t[opened + 1 : closed]:
-            if t[0] == "var":
+        depth = 0
+        for i in range(opened + 1, closed):
+            t = self.t[i]
+            depth += (t[1] in _OPEN) - (t[1] in _CLOSE)
+            if t[0] == "var" and depth == 0 and self.text(i - 1) != "=":
                 self.add("write", cls, name, t[1][1:], line=t[2], pos=t[3])
+                self.typed(i, cls, name, t[1][1:])
+                if name == "__construct" and self.promoted(i, opened):
+                    self.typed(i, cls, None, "this." + t[1][1:])
         if stop > j:
+            self.tags(self.t[j][3], self.t[stop][3], cls, name)
             self.body(j + 1, stop, cls, parent, name)
         return stop + 1
 
+    def typed(self, k: int, cls: str, method: str | None, name: str) -> None:
+        """A type fact for the variable at k, if one class stands before it; a null beside it is nothing, another class is too much."""
+        i, words = k - 1, []
+        while i >= 0 and (self.t[i][0] == "name" or self.text(i) in ("?", "|", "&", ".")) and self.text(i).lower() not in _MODIFIERS:
+            words.append(self.text(i))
+            i -= 1
+        classes = [w for w in words if w not in ("?", "|", "&", ".") and w.lower() != "null"]
+        if len(classes) == 1 and "&" not in words and "." not in words and classes[0].lower() not in BUILTIN_TYPES:
+            self.add("type", cls, method, name, self.resolve(classes[0]), line=self.t[k][2], pos=self.t[k][3])
+
+    def promoted(self, k: int, opened: int) -> bool:
+        """Whether the parameter at k has a modifier that makes it a property."""
+        i = k - 1
+        while i > opened and self.text(i) != ",":
+            if self.text(i).lower() in _MODIFIERS:
+                return True
+            i -= 1
+        return False
+
+    def tags(self, start: int, end: int, cls: str, method: str) -> None:
+        """Type facts of the ``@var`` tags in a body: one class, or one and null."""
+        for m in _VAR_TAG.finditer(self.source, start, end):
+            parts = [w for w in m[1].lstrip("?").split("|") if w and w.lower() != "null"]
+            if len(parts) == 1 and re.fullmatch(r"\\?[\w\\]+", parts[0]) and parts[0].lower() not in BUILTIN_TYPES:
+                self.add("type", cls, method, m[2], self.resolve(parts[0]), line=1 + self.source.count("\n", 0, m.start()), pos=m.start())
+
+    def mapped(self, k: int, cls: str, parent: str | None) -> str | None:
+        """The class that a collection, a variable at k and calls on it, is mapped to item by item; what follows the map must keep the items."""
+        k, made = k + 1, None
+        while self.text(k) in ("->", "?->") and self.t[k + 1][0] == "name" and self.text(k + 2) == "(":
+            name, end = self.text(k + 1), self.match(k + 2)
+            if name == "map":
+                made = self.returned(k + 3, cls, parent)
+            elif made is not None and name not in ITEM_PRESERVING:
+                made = None
+            k = end + 1
+        return made if self.text(k) in (",", ")", ";", "]") else None
+
+    def returned(self, k: int, cls: str, parent: str | None) -> str | None:
+        """The class that the callable at k makes: an arrow function, or a closure that does nothing else."""
+        k += self.text(k).lower() == "static"
+        kind = self.text(k).lower()
+        if kind not in ("fn", "function"):
+            return None
+        k = self.match(k + 1) + 1
+        stop = "=>" if kind == "fn" else "{"
+        while self.text(k) != stop:
+            if self.text(k) == "(":
+                k = self.match(k)
+            k += 1
+        first = k + 1
+        if kind == "function":
+            if self.text(first).lower() != "return":
+                return None
+            first += 1
+        if self.text(first).lower() != "new" or self.t[first + 1][0] != "name" or self.text(first + 1).lower() == "class":
+            return None
+        after = first + 2
+        if self.text(after) == "(":
+            after = self.match(after) + 1
+        done = self.text(after) in (",", ")") if kind == "fn" else self.text(after) == ";" and self.text(after + 1) == "}"
+        return self.resolve(self.text(first + 1), cls, parent) if done else None
+
     def argument(self, k: int, cls: str, parent: str | None) -> str | None:
         """What the first argument after the bracket at k is."""
         kind, text = self.t[k + 1][:2]
@@ -266,6 +347,8 @@ class Scanner:
             return "class:" + self.resolve(text, cls, parent)
         if kind == "var" and after in (",", ")"):
             return "var:" + text[1:]
+        if kind == "var" and after in ("->", "?->") and text != "$this" and (made := self.mapped(k + 1, cls, parent)):
+            return "map:" + made
         if text == "[":
             return "array"
         return "closure" if text.lower() in ("function", "fn") else None
@@ -303,10 +386,101 @@ class Scanner:
                 put("call", text.lstrip("\\"), None, self.argument(k + 1, cls, parent))
             elif kind == "var" and text != "$this" and (after == "=" and self.text(k + 2) not in ("=", ">") or before.lower() in ("as", "static", "global", "&") or after in ("+", "-", ".", "*", "??=") and self.text(k + 2) in ("=", after)):
                 made = after == "=" and self.text(k + 2).lower() == "new" and self.t[k + 3][0] == "name" and self.text(k + 3).lower() != "class"
-                put("write", text[1:], self.resolve(self.text(k + 3), cls, parent) if made else None)
+                each = self.mapped(k + 2, cls, parent) if after == "=" and not made and self.t[k + 2][0] == "var" and self.text(k + 2) != "$this" else None
+                put("write", text[1:], self.resolve(self.text(k + 3), cls, parent) if made else each, "map" if each else None)
+            elif kind == "var" and after in ("->", "?->") and self.t[k + 2][0] == "name":
+                if text != "$this" and self.text(k + 3) == "(":
+                    put("on", text[1:], self.text(k + 2))
+                elif text == "$this" and self.text(k + 3) in ("->", "?->") and self.t[k + 4][0] == "name" and self.text(k + 5) == "(":
+                    put("on", "this." + self.text(k + 2), self.text(k + 4))
             k += 1
 
 
+def return_keys(source: str | None, method: str, strict: bool = False) -> list[str] | None:
+    """The keys of the one array that a method returns and does nothing else; null where that can't be vouched for.
+
+    A spread, a key that isn't a string or a constant of the class itself, or several
+    methods of the name give null.  With ``strict`` an item without a key does, too, and so
+    does any constant; else such items are left out.
+    """
+    try:
+        scan = Scanner(source or "")
+        t, text = scan.t, scan.text
+        at = [k for k in range(len(t)) if text(k).lower() == "function" and text(k + 1 + (text(k + 1) == "&")) == method]
+        if len(at) != 1:
+            return None
+        k = scan.match(at[0] + 2 + (text(at[0] + 1) == "&")) + 1
+        while text(k) not in ("{", ";"):
+            k += 1
+        end = scan.match(k) if text(k) == "{" else k
+        if text(k + 1).lower() != "return" or text(k + 2) != "[" or scan.match(k + 2) != end - 2 or text(end - 1) != ";":
+            return None
+        keys, items, first, depth = [], [], k + 3, 0
+        for i in range(k + 3, end - 1):
+            depth += (text(i) in _OPEN) - (text(i) in _CLOSE)
+            if (depth == 0 and text(i) == ",") or i == end - 2:
+                if i > first:
+                    items.append((first, i))
+                first = i + 1
+        for a, b in items:
+            if text(a) == ".":  # a spread
+                return None
+            depth, arrow = 0, None
+            for i in range(a, b):
+                depth += (text(i) in _OPEN) - (text(i) in _CLOSE)
+                if depth == 0 and text(i) == "=>" and arrow is None:
+                    arrow = i
+            if arrow is None or text(a).lower() in ("fn", "static"):
+                if strict:
+                    return None
+                continue
+            key = _key(scan, a, arrow, strict)
+            if key is None:
+                return None
+            keys.append(key)
+        return list(dict.fromkeys(keys))
+    except (Unparseable, IndexError):
+        return None
+
+
+def _key(scan: Scanner, a: int, arrow: int, strict: bool) -> str | None:
+    kind, word = scan.t[a][:2]
+    if arrow == a + 1 and kind == "string" and not (word[0] == '"' and "$" in word):
+        return word[1:-1]
+    if strict or arrow != a + 3 or scan.text(a + 1) != "::" or word.lower() not in ("self", "static"):
+        return None
+    found = [k for k in range(len(scan.t)) if scan.text(k).lower() == "const" and scan.text(k + 1) == scan.text(a + 2) and scan.text(k + 2) == "=" and scan.t[k + 3][0] == "string"]
+    return scan.text(found[0] + 3)[1:-1] if len(found) == 1 else None
+
+
+def array_return_keys(files: DataFrame, method: str, strict: bool = False) -> DataFrame:
+    """path, keys of files (path, source): see :func:`return_keys`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [return_keys(s, method, strict) for s in b.column("source").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(keys, pa.list_(pa.string()))], ["path", "keys"])
+
+    return files.select("path", "source").mapInArrow(run, "path string, keys array<string>")
+
+
+# What a source must hold for some facts; each list lets through all files that have them.
+PRE_GATES = {
+    "dispatch": ("dispatch", "Bus::"),
+    "policy": ("Policies\\",),
+    "config": ("config(", "Config::"),
+    "view": ("view(", "View::"),
+}
+
+
+def may_match(source, gate: str, helpers: tuple[str, ...] = ()):
+    """Whether a source may hold facts of a gate: a filter before the scan, never narrower than the rule."""
+    found = F.lit(False)
+    for needle in (*PRE_GATES[gate], *helpers):
+        found = found | F.lower(source).contains(needle.lower())
+    return found
+
+
 def facts_of(source: str | None) -> list[tuple]:
     """The facts of one file; a null source has none."""
     if source is None:
@@ -343,12 +517,21 @@ def path_to_class(path, root: str = "App"):
     return F.when(path.startswith("app/"), F.concat(F.lit(root + "\\"), inner)).otherwise(F.regexp_extract(path, r"([^/]+)\.php$", 1))
 
 
-def root_namespace(composer: str | None, default: str = "App") -> str:
-    """The namespace that composer.json maps to app/, else ``default``."""
+def root_namespace(composer: str | None, default: str = "App", configured: str | None = None) -> str:
+    """The configured namespace, or the one that composer.json maps to app/, else ``default``."""
     import json
 
+    if configured:
+        return configured.strip("\\")
     try:
         spaces = json.loads(composer or "{}").get("autoload", {}).get("psr-4", {})
     except ValueError:
         return default
     return next((ns.rstrip("\\") for ns, d in spaces.items() if (d if isinstance(d, str) else (d or [""])[0]).rstrip("/") == "app"), default)
+
+
+def root_namespaces(composer, default: str = "App"):
+    """As :func:`root_namespace`, for a column of composer files."""
+    entries = F.map_entries(F.from_json(composer, "autoload struct<`psr-4`:map<string,string>>")["autoload"]["psr-4"])
+    hit = F.filter(entries, lambda e: e["value"].rlike(r'^\[?"?app/?("|$)'))
+    return F.coalesce(F.regexp_replace(F.get(hit, F.lit(0))["key"], r"\\+$", ""), F.lit(default))
