@@ -76,9 +76,12 @@ def neutered(base: DataFrame, head: DataFrame) -> DataFrame:
     return hazard(both, "auth", 3, "CWE-862", F.col("member"), F.lit("the body now always allows"))
 
 
-def missing_members(base: DataFrame, head: DataFrame) -> DataFrame:
-    """Members (cls, name, visibility, policy) gone from a class that is still there: policies at tier 3, public contracts at 2."""
-    classes = head.select("cls").distinct()
+def missing_members(base: DataFrame, head: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """Members (cls, name, visibility, policy) gone from a class that is still there: policies at tier 3, public contracts at 2.
+
+    ``present`` (cls) are head's classes, where those without members count too.
+    """
+    classes = (head if present is None else present).select("cls").distinct()
     gone = base.join(head.select("cls", "name"), ["cls", "name"], "left_anti").join(classes, "cls", "left_semi")
     member = F.concat_ws("::", "cls", "name")
     policy = hazard(gone.where("policy"), "auth", 3, "CWE-862", member, F.lit("policy method removed"), F.array(F.concat(F.lit("ability:"), "name")))
@@ -93,11 +96,11 @@ def missing_classes(base: DataFrame, head: DataFrame) -> DataFrame:
 
 
 def signature_changed(base: DataFrame, head: DataFrame) -> DataFrame:
-    """Parameter lists that changed: a queued job's constructor at tier 2, other members not private on both sides at tier 1."""
+    """Parameter lists that changed: a job's constructor, queued on either side, at tier 2, other members not private on both sides at tier 1."""
     a, b = (df.select("cls", "name", *[F.col(c).alias(c + s) for c in ("visibility", "params", "queued", "constructor")]) for df, s in ((base, "_a"), (head, "_b")))
     both = a.join(b, ["cls", "name"]).where("params_a <> params_b")
     member, evidence = F.concat_ws("::", "cls", "name"), F.concat_ws(" -> ", "params_a", "params_b")
-    job = F.col("queued_b") & F.col("constructor_b")
+    job = (F.col("queued_a") | F.col("queued_b")) & F.col("constructor_b")
     private = (F.col("visibility_a") == "private") & (F.col("visibility_b") == "private")
     return hazard(both.where(job), "boundary", 2, None, member, evidence).unionByName(hazard(both.where(~job & ~private), "contract", 1, None, member, evidence))
 
@@ -109,8 +112,11 @@ def model_settings(base: DataFrame, head: DataFrame) -> DataFrame:
     member = F.concat(F.col("model"), F.lit("::$"), F.col("kind"))
     wide = hazard(both.where((F.col("kind") == "fillable") & (F.size("gained") > 0)), "model", 2, "CWE-915", member, F.concat(F.lit("gained "), F.array_join("gained", ",")))
     of = lambda kind, tier, cwe: hazard(both.where((F.col("kind") == kind) & (F.size("lost") > 0)), "model", tier, cwe, member, F.concat(F.lit("lost "), F.array_join("lost", ",")), F.col("lost"))
-    cast = base.where("kind = 'casts'").select("model", "key", F.col("value").alias("old")).join(head.where("kind = 'casts'").select("model", "key", F.col("value").alias("new")), ["model", "key"]).where("old <> new")
-    casts = hazard(cast, "model", 2, None, F.concat(F.col("model"), F.lit("::$casts")), F.concat(F.col("key"), F.lit(": "), F.col("old"), F.lit(" -> "), F.col("new")))
+    # Both ways to declare casts, each compared with itself.
+    half = lambda df, name: df.where("kind in ('casts', 'casts()')").select("model", "kind", "key", F.col("value").alias(name))
+    cast = half(base, "old").join(half(head, "new"), ["model", "kind", "key"]).where("old <> new")
+    owner = F.when(F.col("kind") == "casts", F.concat("model", F.lit("::$casts"))).otherwise(F.concat_ws("::", "model", "kind"))
+    casts = hazard(cast, "model", 2, None, owner, F.concat(F.col("key"), F.lit(": "), F.col("old"), F.lit(" -> "), F.col("new")))
     return wide.unionByName(of("guarded", 2, "CWE-915")).unionByName(of("hidden", 3, "CWE-200")).unionByName(casts)
 
 

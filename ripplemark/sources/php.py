@@ -129,7 +129,7 @@ class Scanner:
             if kind == "name" and low == "namespace" and k + 1 < len(self.t) and self.t[k + 1][0] == "name":
                 self.namespace = self.text(k + 1)
                 k += 2
-            elif kind == "name" and low == "use":
+            elif kind == "name" and low == "use" and self.text(k + 1) != "(":  # a closure's use imports nothing
                 k = self.use(k + 1)
             elif kind == "name" and low in _KINDS and k + 1 < len(self.t) and self.t[k + 1][0] == "name" and self.text(k - 1) not in ("::", "->") and self.text(k - 1).lower() != "new":
                 k = self.class_like(k)
