@@ -197,10 +197,12 @@ def unparseable(facts: DataFrame) -> DataFrame:
 
 
 def config_reads(facts: DataFrame) -> DataFrame:
-    """reader, file, key_path: literal reads of ``config()`` and ``Config::get()``; a bare file name can't be enumerated (null)."""
+    """reader, file, key_path: reads of ``config()`` and ``Config::get()``; a bare file name, and text with variables, can't be enumerated (null)."""
     reads = _in(facts, "call").where("name = 'config'").unionByName(_in(facts, "static").where(F.col("name").endswith("Config") & (F.col("arg") == "get")))
     reads = reads.where(F.col("extra").isNotNull() & ~F.col("extra").rlike("^(new|class|var|map):|^array$|^closure$"))
-    return reads.select(member().alias("reader"), F.substring_index("extra", ".", 1).alias("file"), F.when(F.col("extra").contains("."), F.regexp_replace("extra", r"^[^.]*\.", "")).alias("key_path"))
+    whole = reads.select(member().alias("reader"), F.substring_index("extra", ".", 1).alias("file"), F.when(F.col("extra").contains("."), F.regexp_replace("extra", r"^[^.]*\.", "")).alias("key_path"))
+    begun = _in(facts, "lead").select(member().alias("reader"), F.substring_index("arg", ".", 1).alias("file"), F.lit(None).cast("string").alias("key_path"))
+    return whole.unionByName(begun).where("file <> ''")
 
 
 def all_edges(facts: DataFrame, root: str = "App") -> DataFrame:

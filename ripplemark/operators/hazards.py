@@ -226,13 +226,19 @@ def route_guard_lost(base: DataFrame, head: DataFrame) -> DataFrame:
     return gone.unionByName(rates_rose(both, F.col("action_b"), F.col("guards_a"), F.col("guards_b")))
 
 
-def group_guard_lost(base: DataFrame, head: DataFrame) -> DataFrame:
-    """Middleware groups (grp, token, state running or removed): gone = running lost, or removed anew while it ran before; and limits that rose."""
-    of = lambda df, s: df.groupBy("grp").agg(*[F.collect_set(F.when(F.col("state") == k, F.col("token"))).alias(k + s) for k in ("running", "removed")])
-    both = of(base, "_a").join(of(head, "_b"), "grp")
+def group_guard_lost(base: DataFrame, head: DataFrame, kept: DataFrame | None = None, key: tuple[str, ...] = ("grp",)) -> DataFrame:
+    """Middleware groups (grp, token, state running or removed): gone = running lost, or removed anew while it ran before; and limits that rose.
+
+    A group that head hasn't got runs nothing there.  ``kept`` (key without grp, token): guards that aren't known to have left.
+    """
+    of = lambda df, s: df.groupBy(*key).agg(*[F.collect_set(F.when(F.col("state") == k, F.col("token"))).alias(k + s) for k in ("running", "removed")])
+    both = of(base, "_a").join(of(head, "_b"), list(key), "left")
+    both = both.withColumns({k + "_b": F.coalesce(k + "_b", F.array().cast("array<string>")) for k in ("running", "removed")})
     gone = F.array_union(F.array_except("running_a", "running_b"), F.array_intersect(F.array_except("removed_b", "removed_a"), F.col("running_a")))
     member = F.concat(F.lit("middleware::"), F.col("grp"))
     lost = guard_removals(both, gone, F.col("running_b"))
+    if kept is not None:
+        lost = lost.join(kept, [c for c in key if c != "grp"] + ["token"], "left_anti")
     return hazard(lost, "auth", 3, guard_weakness(F.col("token")), member, F.concat(F.lit("group lost "), "token"), F.array("token")).unionByName(
         rates_rose(both, member, F.col("running_a"), F.col("running_b"))
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ripplemark.queries import changes, frontend, graph, hazards, lanes, reports, resolve, risk, scan, source
+from ripplemark.queries import changes, frontend, graph, hazards, lanes, reports, resolve, risk, scan, source, wiring
 
 QUERIES = {}
 ORACLE_SQL = {}
-for _module in (graph, resolve, changes, hazards, scan, risk, source, lanes, frontend, reports):
+for _module in (graph, resolve, changes, hazards, scan, risk, source, lanes, wiring, frontend, reports):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -171,9 +171,9 @@ ORACLE_SQL = {
     "hazard_model_settings": f"with {_S2}, {_KEYS} {_SETTINGS}",
     "hazard_rule_dropped": f"with {_two(RULES)}, x as (select request, field, split_part(rule, ':', 1) r from a where (request, field) in (select (request, field) from b) except select request, field, split_part(rule, ':', 1) from b), y as (select request, field, string_agg(r, ',' order by r) t from x where r in ('required', 'confirmed', 'max', 'min', 'size', 'in', 'exists', 'unique', 'mimes', 'image', 'url', 'email', 'uuid') group by all) " + _h("boundary", 2, "CWE-20", "concat(request, '::', field)", "'lost ' || t", "t") + " from y",
     "hazard_rate_raised": f"with {_two(LIMITS)}, u as (select *, 0 s from a union all select *, 1 from b), l as (select member, s, regexp_extract(token, '^throttle:(\\d+)', 1) m, coalesce(nullif(regexp_extract(token, ',(\\d+)$', 1), ''), '1')::bigint w from u), g as (select member, s, min(try_cast(m as bigint)) m, min(w) w from l group by member, s having count(*) = count(try_cast(m as bigint)) and min(w) = max(w)) " + _h("auth", 2, "CWE-770", "x.member", "concat(x.m, ' -> ', y.m, ' in ', x.w)") + " from g x join g y on x.member = y.member and x.s = 0 and y.s = 1 and x.w = y.w and y.m > x.m",
-    "hazard_group_guard_lost": f"""with {_two(GROUPS)}, g as (select grp from a intersect select grp from b),
+    "hazard_group_guard_lost": f"""with {_two(GROUPS)},
 x as ((select grp, token from a where state = 'running' except select grp, token from b where state = 'running') union ((select grp, token from b where state = 'removed' except select grp, token from a where state = 'removed') intersect select grp, token from a where state = 'running')),
-y as (select * from x where grp in (select grp from g) and (token not like '%throttle%' or grp not in (select grp from b where state = 'running' and token like '%throttle%'))),
+y as (select * from x where (token not like '%throttle%' or grp not in (select grp from b where state = 'running' and token like '%throttle%'))),
 r as (select grp, min(split_part(split_part(token, ':', 3), ',', 1)::bigint) m from a where state = 'running' and token like '%throttle%' group by grp), q as (select grp, min(split_part(split_part(token, ':', 3), ',', 1)::bigint) m from b where state = 'running' and token like '%throttle%' group by grp)
 select 'auth' lane, 3::bigint tier, {_CWE_OF.format('token')} cwe, 'middleware::' || grp member, 'group lost ' || token evidence, token tokens from y
 union all select 'auth', 2, 'CWE-770', 'middleware::' || grp, concat(r.m, ' -> ', q.m, ' in 1'), '' from r join q using (grp) where q.m > r.m""",

@@ -21,6 +21,8 @@ write                 name = variable, arg = class if the value is ``new CLASS``
                       extra = ``map`` if it is a collection mapped to ``new CLASS``, item by item
 type                  name = variable, or ``this.`` and a property; arg = the one class that it is declared as
 on                    name = variable or ``this.`` and a property on which arg = a method is called
+lead                  name = function or class asked for a setting, arg = what its first argument, text with
+                      variables, begins with
 ====================  =======================================================================
 
 ``extra`` of a call is the literal of a string argument, ``new:CLASS``, ``class:CLASS``,
@@ -52,6 +54,7 @@ ITEM_PRESERVING = (
     "all", "values", "filter", "reject", "unique", "sort", "sortBy", "sortByDesc", "reverse", "take", "skip", "slice", "shuffle", "whereNotNull", "collect",
 )
 BUILTIN_TYPES = {"array", "bool", "boolean", "callable", "false", "float", "int", "integer", "iterable", "mixed", "null", "object", "self", "static", "string", "true", "void", "never", "parent"}
+_LEAD = re.compile(r'"((?:[^"\\$]|\\.)*?)\{?(?<!\\)\$')
 _VAR_TAG = re.compile(r"@var\s+(\S+)\s+\$(\w+)")
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}", "#[": "]"}, {")", "]", "}"}
 
@@ -353,6 +356,11 @@ class Scanner:
             return "array"
         return "closure" if text.lower() in ("function", "fn") else None
 
+    def lead(self, k: int) -> str | None:
+        """What the first argument after the bracket at k begins with, if it is text with variables."""
+        found = _LEAD.match(self.text(k + 1)) if self.t[k + 1][0] == "string" and self.text(k + 2) in (",", ")") else None
+        return found[1] or None if found else None
+
     def body(self, k: int, end: int, cls: str, parent: str | None, method: str) -> None:
         anonymous: list[int] = []
         while k < end:
@@ -376,6 +384,8 @@ class Scanner:
                 owner = self.resolve(text, cls, parent)
                 if called:
                     put("static", owner, member, self.argument(k + 3, cls, parent))
+                    if member == "get" and owner.endswith("Config") and (lead := self.lead(k + 3)):
+                        put("lead", owner, lead)
                 elif self.t[k + 2][0] == "name":
                     put("fetch", owner, member)
                 k += 2
@@ -384,6 +394,8 @@ class Scanner:
                 k += 2
             elif kind == "name" and after == "(" and before not in ("->", "?->", "::", "function", "new") and low not in ("if", "while", "for", "foreach", "switch", "match", "array", "list", "isset", "empty", "fn", "function", "catch", "return", "echo"):
                 put("call", text.lstrip("\\"), None, self.argument(k + 1, cls, parent))
+                if text.lstrip("\\") == "config" and (lead := self.lead(k + 1)):
+                    put("lead", "config", lead)
             elif kind == "var" and text != "$this" and (after == "=" and self.text(k + 2) not in ("=", ">") or before.lower() in ("as", "static", "global", "&") or after in ("+", "-", ".", "*", "??=") and self.text(k + 2) in ("=", after)):
                 made = after == "=" and self.text(k + 2).lower() == "new" and self.t[k + 3][0] == "name" and self.text(k + 3).lower() != "class"
                 each = self.mapped(k + 2, cls, parent) if after == "=" and not made and self.t[k + 2][0] == "var" and self.text(k + 2) != "$this" else None
