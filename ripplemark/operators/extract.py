@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplemark.operators.resolve import second_hop
+from ripplemark.functions.scan import all_matches, view_node
+from ripplemark.operators.resolve import ancestors, second_hop
 
 # Calls that put a job on a queue, and namespace parts with the edge type that a reference to them is.
 DISPATCH_FUNCTIONS = ("dispatch", "dispatch_sync")
@@ -64,9 +66,18 @@ def constant_edges(facts: DataFrame, root: str = "App") -> DataFrame:
     return _edge(_in(facts, "fetch").where(app("name", root) & (F.col("arg") != "class")), member(), F.concat_ws("::", "name", "arg"), "references-constant")
 
 
-def policy_edges(facts: DataFrame) -> DataFrame:
-    named = _in(facts, "new", "static", "fetch").where(F.col("name").contains("\\Policies\\"))
-    return _edge(named, member(), F.col("name"), "authorizes")
+def policy_edges(facts: DataFrame, root: str = "App") -> DataFrame:
+    """From methods to the project's policies that they make, call, name or take as a parameter."""
+    named = _in(facts, "new", "static", "fetch").select("cls", "method", "name").unionByName(_in(facts, "type").where("method is not null and extra is null").select("cls", "method", F.col("arg").alias("name")))
+    return _edge(named.where(F.col("name").startswith(f"{root}\\Policies\\")), member(), F.col("name"), "authorizes")
+
+
+def policy_view_edges(templates: DataFrame, root: str = "App") -> DataFrame:
+    """From templates (path, source) to the project's policies that stand in them by their full names."""
+    spaces = f"{root}\\Policies\\"
+    views = templates.where(F.col("path").rlike(r"^resources/views/.+\.blade\.php$"))
+    found = views.withColumn("policy", F.explode(F.array_distinct(all_matches(F.col("source"), re.escape(spaces) + r"([\w\\]+)"))))
+    return _edge(found, view_node(F.col("path")), F.concat(F.lit(spaces), "policy"), "authorizes")
 
 
 def reference_edges(facts: DataFrame) -> DataFrame:
@@ -84,11 +95,16 @@ def view_edges(facts: DataFrame, views: DataFrame) -> DataFrame:
 
 
 def dispatch_targets(facts: DataFrame) -> DataFrame:
-    """name, target: whether a declared class can be dispatched; classes that aren't declared count as targets (a left join gives null)."""
-    signs = _in(facts, "implements").where(F.col("name").endswith("ShouldQueue")).select("cls")
-    signs = signs.unionByName(_in(facts, "trait").where(F.col("name").endswith("Dispatchable")).select("cls")).unionByName(_in(facts, "method").where(F.col("name").isin("handle", "__invoke")).select("cls"))
-    signs = signs.unionByName(_in(facts, "class").where(F.col("cls").contains("\\Jobs\\")).select("cls")).distinct().withColumn("yes", F.lit(True))
-    return _in(facts, "class").select("cls").distinct().join(signs, "cls", "left").select(F.col("cls").alias("name"), F.coalesce("yes", F.lit(False)).alias("target"))
+    """name, target: whether a declared class can be dispatched; classes that aren't declared count as targets (a left join gives null).
+
+    What a class is or has by its parents, interfaces and traits counts as its own; the namespace of jobs doesn't descend.
+    """
+    classes = _in(facts, "class").select("cls").distinct()
+    above = ancestors(parents(facts).unionByName(_in(facts, "trait").select("cls", F.col("name").alias("parent")))).select("cls", "ancestor")
+    called = _in(facts, "method").where(F.col("name").isin("handle", "__invoke")).select("cls").distinct()
+    signs = above.where(F.col("ancestor").rlike("(ShouldQueue|Dispatchable)$")).select("cls").unionByName(above.join(called.withColumnRenamed("cls", "ancestor"), "ancestor", "left_semi").select("cls"))
+    signs = signs.unionByName(called).unionByName(classes.where(F.col("cls").contains("\\Jobs\\"))).distinct().withColumn("yes", F.lit(True))
+    return classes.join(signs, "cls", "left").select(F.col("cls").alias("name"), F.coalesce("yes", F.lit(False)).alias("target"))
 
 
 def dispatches(facts: DataFrame, helpers: tuple[str, ...] = ()) -> DataFrame:

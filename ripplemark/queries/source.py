@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ripplemark.operators import extract, resolve
+from ripplemark.plans.shared import write_table
 from ripplemark.sources import php
 from ripplemark.sources.adapters import relation
 
@@ -33,6 +34,20 @@ select concat('app/', case when s_suppkey % 2 = 0 then 'Jobs' else 'Models' end,
   '  public function idle() ', chr(123), case when s_suppkey % 6 = 0 then ' $x = 1;' else '' end, ' return [1]; ', chr(125), chr(10), chr(125), chr(10)) as source
 from {supplier}
 """
+#: Chains of four classes; some have what makes a target, by themselves or by a trait's trait.
+TARGETS = r"""
+select concat('app/Bus/T', cast(s_suppkey as string), '.php') as path, concat('<?php', chr(10), 'namespace App', chr(92), 'Bus;', chr(10), 'use Illuminate', chr(92), 'Foundation', chr(92), 'Bus', chr(92), 'Dispatchable;', chr(10), 'use App', chr(92), 'Policies', chr(92), 'Seen;', chr(10),
+  'class T', cast(s_suppkey as string), case when s_suppkey % 4 <> 0 then concat(' extends T', cast(s_suppkey - 1 as string)) else '' end, case when s_suppkey % 8 = 0 then ' implements ShouldQueue' else '' end, ' ', chr(123),
+  case when s_suppkey % 12 = 4 then concat(' function handle() ', chr(123), chr(125)) else '' end, case when s_suppkey % 4 = 2 then concat(' use Loud', cast(s_suppkey as string), ';') else '' end,
+  case when s_suppkey % 3 = 0 then concat(' function see(Seen $s, ', chr(92), 'Vendor', chr(92), 'Policies', chr(92), 'Own $o) ', chr(123), chr(125)) else '' end, ' ', chr(125), chr(10),
+  case when s_suppkey % 4 = 2 then concat('trait Loud', cast(s_suppkey as string), ' ', chr(123), case when s_suppkey % 20 = 2 then ' use Dispatchable;' else '' end, ' ', chr(125)) else '' end) as source
+from {supplier}
+"""
+TEMPLATES = r"""
+select concat('resources/', case when p_partkey % 7 = 0 then 'mail' else 'views' end, '/Deep/p', cast(p_partkey as string), '.blade.php') as path, concat('@php($p = ', chr(92), 'App', chr(92), 'Policies', chr(92), 'P', cast(p_partkey % 5 as string), '::class) App', chr(92), 'Policies', chr(92), 'P', cast(p_partkey % 5 as string),
+  ' Vendor', chr(92), 'Policies', chr(92), 'No', case when p_partkey % 2 = 0 then concat(' App', chr(92), 'Policies', chr(92), 'In', chr(92), 'Q', cast(p_partkey % 3 as string), chr(92), 'R') else '' end) as source
+from {part}
+"""
 ASKED = "select concat('route::GET::/w/', cast(s_suppkey as string)) as source, concat('App', chr(92), 'Http', chr(92), 'W', cast(s_suppkey as string), '::run') as target, 'static-call' as type from {supplier} where s_suppkey % 5 = 0"
 
 
@@ -40,8 +55,13 @@ def _dotted(df, *columns):
     return df.withColumns({c: F.replace(c, F.lit("\\"), F.lit(".")) for c in columns})
 
 
+def _written(spark, sf_dir, text):
+    """The facts of an adapter's files, scanned once for all that asks them."""
+    return write_table(php.facts(relation(spark, sf_dir, text)), "facts")
+
+
 def _typed(spark, sf_dir):
-    return php.facts(relation(spark, sf_dir, TYPED))
+    return _written(spark, sf_dir, TYPED)
 
 
 def php_typed_calls(spark, sf_dir):
@@ -76,7 +96,7 @@ def php_pre_gates(spark, sf_dir):
 
 
 def _facts(spark, sf_dir):
-    return php.facts(relation(spark, sf_dir, FILES))
+    return _written(spark, sf_dir, FILES)
 
 
 def php_edges(spark, sf_dir):
@@ -111,12 +131,27 @@ def php_overrides(spark, sf_dir):
     return out.select(*[F.replace(c, F.lit("\\"), F.lit(".")).alias(c) for c in ("source", "target")])
 
 
-QUERIES = {f.__name__: f for f in (php_edges, php_member_spans, php_dispatch_sites, php_unparseable, php_config_reads, php_class_paths, php_overrides, php_typed_calls, php_mapped_jobs, php_entry_point_methods, php_second_hop, php_scopes, php_return_keys, php_pre_gates)}
+def php_dispatch_targets(spark, sf_dir):
+    return _dotted(extract.dispatch_targets(_written(spark, sf_dir, TARGETS)), "name")
+
+
+def php_policies(spark, sf_dir):
+    """Policies that methods and templates name."""
+    found = extract.policy_edges(php.facts(relation(spark, sf_dir, TARGETS))).unionByName(extract.policy_view_edges(relation(spark, sf_dir, TEMPLATES)))
+    return _dotted(found, "source", "target")
+
+
+QUERIES = {f.__name__: f for f in (php_dispatch_targets, php_policies, php_edges, php_member_spans, php_dispatch_sites, php_unparseable, php_config_reads, php_class_paths, php_overrides, php_typed_calls, php_mapped_jobs, php_entry_point_methods, php_second_hop, php_scopes, php_return_keys, php_pre_gates)}
 
 _OK = "s as (select s_suppkey k, s_nationkey n, concat('App.Services.S', s_suppkey) c, concat('app/Services/S', s_suppkey, '.php') path from supplier where s_suppkey % 11 <> 0)"
 _W = "w as (select s_suppkey k, concat('App.Http.W', s_suppkey) c, concat('app/', case when s_suppkey % 2 = 0 then 'Jobs' else 'Models' end, '/W', s_suppkey, '.php') path from supplier)"
 _TYPED_CALLS = "select c || '::run' source, t target, 'instance-call' as type from w, (values ('App.Support.Clock::now'), ('App.Http.Mailer::send'), ('App.Http.Repo::find'), ('App.Http.Store::put')) v(t)"
 ORACLE_SQL = {
+    "php_dispatch_targets": """with t as (select s_suppkey k, s_suppkey - s_suppkey % 4 b from supplier)
+select 'App.Bus.T' || k as name, b % 8 = 0 or b % 12 = 4 or k % 4 >= 2 and b % 20 = 0 as target from t union all select 'App.Bus.Loud' || k, k % 20 = 2 from t where k % 4 = 2""",
+    "php_policies": """select 'App.Bus.T' || s_suppkey || '::see' as source, 'App.Policies.Seen' as target, 'authorizes' as type from supplier where s_suppkey % 3 = 0
+union all select 'view::blade__deep.p' || p_partkey, 'App.Policies.P' || p_partkey % 5, 'authorizes' from part where p_partkey % 7 <> 0
+union all select 'view::blade__deep.p' || p_partkey, 'App.Policies.In.Q' || p_partkey % 3 || '.R', 'authorizes' from part where p_partkey % 7 <> 0 and p_partkey % 2 = 0""",
     "php_typed_calls": f"with {_W} {_TYPED_CALLS}",
     "php_mapped_jobs": f"with {_W} select path, c cls, 'run' as method, 'App.Jobs.Send' as name from w where k % 4 < 2",
     "php_entry_point_methods": f"with {_W} select path, c cls, unnest(['run', 'toArray']) as method from w where k % 2 = 0",

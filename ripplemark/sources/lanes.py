@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplemark.operators import hazards
+from ripplemark.plans.shared import write_table
 from ripplemark.sources.php import _CLOSE, _OPEN, Scanner, Unparseable
 
 SCHEMA = "path string, lane string, owner string, a string, b string, c string, tokens array<string>"
@@ -466,7 +467,8 @@ def snapshots(base: DataFrame, head: DataFrame) -> tuple[DataFrame, DataFrame]:
     is compared with nothing.  A file that one side has but couldn't scan, or in which a side
     that isn't empty declares no class (routes and migrations aside), is left out of both.
     """
-    a, b = read(base), read(head)
+    # Scanned once: every lane asks them.
+    a, b = (write_table(read(side), "lanes") for side in (base, head))
     free = F.col("path").startswith("routes/") | F.col("path").startswith("database/migrations/")
     fine = lambda rows: rows.where("lane = 'read'").where(free | F.col("a").isNotNull()).select("path")
     held = lambda files: files.where(F.col("source").isNotNull() & (F.length("source") > 0)).select("path")

@@ -19,7 +19,8 @@ call                  name = function, extra = first argument
 fetch                 name = class, arg = constant; ``C::class`` has arg ``class``
 write                 name = variable, arg = class if the value is ``new CLASS``; parameters too;
                       extra = ``map`` if it is a collection mapped to ``new CLASS``, item by item
-type                  name = variable, or ``this.`` and a property; arg = the one class that it is declared as
+type                  name = variable, or ``this.`` and a property; arg = the one class that it is declared as;
+                      extra = ``tag`` if a comment says so
 on                    name = variable or ``this.`` and a property on which arg = a method is called
 lead                  name = function or class asked for a setting, arg = what its first argument, text with
                       variables, begins with
@@ -299,7 +300,7 @@ class Scanner:
         for m in _VAR_TAG.finditer(self.source, start, end):
             parts = [w for w in m[1].lstrip("?").split("|") if w and w.lower() != "null"]
             if len(parts) == 1 and re.fullmatch(r"\\?[\w\\]+", parts[0]) and parts[0].lower() not in BUILTIN_TYPES:
-                self.add("type", cls, method, m[2], self.resolve(parts[0]), line=1 + self.source.count("\n", 0, m.start()), pos=m.start())
+                self.add("type", cls, method, m[2], self.resolve(parts[0]), "tag", line=1 + self.source.count("\n", 0, m.start()), pos=m.start())
 
     def mapped(self, k: int, cls: str, parent: str | None) -> str | None:
         """The class that a collection, a variable at k and calls on it, is mapped to item by item; what follows the map must keep the items."""

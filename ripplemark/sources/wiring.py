@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplemark.operators import hazards
+from ripplemark.plans.shared import write_table
 from ripplemark.sources import lanes
 from ripplemark.sources.lanes import Reader, Span
 from ripplemark.sources.php import _CLOSE, _OPEN, Unparseable
@@ -346,4 +347,5 @@ def unread_groups(base: DataFrame, head: DataFrame) -> DataFrame:
 
 def source_hazards(base: DataFrame, head: DataFrame) -> DataFrame:
     """All hazards between two snapshots of files (path, source), those of middleware groups included."""
-    return lanes.source_hazards(base, head).unionByName(group_hazards(read(base), read(head)).select(*hazards.HAZARD))
+    a, b = (write_table(read(side), "wiring") for side in (base, head))
+    return lanes.source_hazards(base, head).unionByName(group_hazards(a, b).select(*hazards.HAZARD))

@@ -89,3 +89,19 @@ def test_names(spark):
     df = spark.createDataFrame([("app/Models/User.php",), ("tests/UserTest.php",)], "path string")
     assert [r[0] for r in df.select(php.path_to_class(df.path)).collect()] == ["App\\Models\\User", "UserTest"]
     assert php.root_namespace('{"autoload": {"psr-4": {"Acme\\\\": "app/", "X\\\\": "src/"}}}') == "Acme" and php.root_namespace(None) == php.root_namespace("{") == "App"
+
+
+def test_dispatch_targets_inherit(spark):
+    one = r"""<?php namespace App; use Illuminate\Contracts\Queue\ShouldQueue; use Illuminate\Foundation\Bus\Dispatchable;
+    interface Later extends ShouldQueue {} class A implements Later {} class B extends A {} trait T { use Dispatchable; } trait U { use T; } class C { use U; }
+    class D { function handle() {} } class E extends D {} trait V { function __invoke() {} } class F { use V; } class G { function go() {} } class H extends G {}"""
+    two = r"<?php namespace App\Jobs; class J {} class K extends J {}"
+    three = r"<?php namespace App; class L extends Jobs\J {}"
+    found = {r.name.split("\\")[-1] for r in extract.dispatch_targets(php.facts(frame(spark, one, two, three))).collect() if r.target}
+    assert found == {"Later", "A", "B", "T", "U", "C", "D", "E", "V", "F", "J", "K"}
+
+
+def test_policies_of_the_project(spark):
+    one = r"""<?php namespace App; use App\Policies\{P, Q}; class A { private P $own; function f(Q $q, \Vendor\Policies\No $n) { /** @var Policies\Tag $t */ $x = P::class; } }"""
+    assert rows(extract.policy_edges(php.facts(frame(spark, one)))) == [("App\\A::f", "App\\Policies\\P", "authorizes"), ("App\\A::f", "App\\Policies\\Q", "authorizes")]
+    assert extract.policy_edges(php.facts(frame(spark, one)), "Own").isEmpty()
