@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplemark.llm.components import connected_components
+from ripplemark.llm.memory import lean
 from ripplemark.plans.shared import write_table
 
 COLLECTION, ROWS = 20, 5
@@ -89,8 +90,8 @@ class Shingles:
 
 def minhashes(shingles: np.ndarray) -> np.ndarray:
     out = np.full(len(FLIP), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        part = shingles[at : at + 4096]
+    for at in range(0, len(shingles), 1024):
+        part = shingles[at : at + 1024]
         np.minimum(out, ((part[None, :] ^ FLIP[:, None]) * TIMES[:, None]).min(1), out=out)
     return out
 
@@ -107,6 +108,7 @@ def keys_of(shingles: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n, k1, k2 (which together stand for the set) and ``keys`` (array<long>) of every row."""
 
+    @lean
     def run(batches):
         shingles = Shingles(width)
         for b in batches:
@@ -144,6 +146,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     side = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
     carried = wanted.schema["carried"].dataType.simpleString()
 
+    @lean
     def describe(batches):
         shingles = Shingles(width)
         for b in batches:
@@ -176,6 +179,7 @@ def star_links(docs: DataFrame, tables: DataFrame, sizes: DataFrame, width: int,
     units = max(1, -(-total // UNIT_SHINGLES))
     sets = sets_of(docs, wanted, width).select("doc_id", "set", F.explode("carried").alias("c")).select("doc_id", "set", "c.hub", "c.part")
 
+    @lean
     def compare(table):
         u, v = [], []
         table = table.sort_by([("hub", "ascending"), ("part", "ascending")])
@@ -256,6 +260,7 @@ def verified(docs: DataFrame, groups: DataFrame, width: int, similarity: int = S
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(units))).otherwise(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))).alias("unit"),
     )
 
+    @lean
     def compare(table):
         u, v = [], []
         table = table.sort_by([("component", "ascending"), ("x", "ascending"), ("y", "ascending"), ("doc_id", "ascending")])

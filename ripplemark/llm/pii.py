@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplemark.llm.memory import lean
 from ripplemark.plans.shared import write_table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -178,6 +179,7 @@ def _near(docs: DataFrame, text: str, window: int) -> DataFrame:
     df = docs.select(F.monotonically_increasing_id().alias("__pii_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__pii_text"))
     near_type = pa.list_(pa.struct([("e", pa.string()), ("t", pa.string())]))
 
+    @lean
     def run(batches):
         for batch in batches:
             near = []
@@ -200,6 +202,7 @@ def _marked(docs: DataFrame, text: str, carry: list[str], flagged: set[str]) ->
     terms_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     known = docs.sparkSession.sparkContext.broadcast(flagged)
 
+    @lean
     def run(batches):
         for batch in batches:
             spans, terms = [], []
@@ -219,6 +222,7 @@ def _joined(docs: DataFrame, text: str, carry: list[str], flagged: DataFrame) ->
     rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.monotonically_increasing_id().alias("__pii_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__pii_text"))
     rows = write_table(rows, "pii-rows")  # so that a row keeps its number
 
+    @lean
     def run(batches):
         for batch in batches:
             for row, t in zip(batch.column("__pii_row"), batch.column("__pii_text"), strict=True):
@@ -239,6 +243,7 @@ def _frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = docs.sparkSession.sparkContext.broadcast({r[0] for r in terms.collect()})
 
+    @lean
     def run(batches):
         counts: Counter = Counter()
         for batch in batches:
@@ -300,6 +305,7 @@ def all_spans(base: list[Span], terms: list[tuple[int, int]]) -> list[Span]:
 def digests(found: DataFrame) -> DataFrame:
     """The columns of the contract from what :func:`find` gave with doc_id."""
 
+    @lean
     def run(batches):
         for batch in batches:
             rows = []
@@ -331,6 +337,7 @@ def sanitise(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
     found = find(docs, text=text, **options)
     names = docs.columns
 
+    @lean
     def run(batches):
         for batch in batches:
             texts = []

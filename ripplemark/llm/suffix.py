@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplemark.llm.memory import lean
 from ripplemark.llm.ragged import gather, text_chunks
 from ripplemark.plans.shared import write_table
 
@@ -125,6 +126,7 @@ def _batches(batches, key: str, column: str):
 def shared_anchors(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     """doc_id, hashes (packed): the anchors of each document that another document has too; ``__sx_taking`` is the id, null for rows that take no part."""
 
+    @lean
     def deal(batches):
         for rows in _batches(batches, "__sx_taking", text):
             hashes, ids = [], []
@@ -156,6 +158,7 @@ def shared_anchors(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                     ["bucket", "__sx_hashes", "ids"],
                 )
 
+    @lean
     def meet(table):
         h = np.frombuffer(b"".join(table.column("__sx_hashes").to_pylist()), np.uint64)
         ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
@@ -180,6 +183,7 @@ def splitters(docs: DataFrame, rows: int, ranges: int) -> tuple[list[bytes], lis
     """Ascending K-grams that cut the anchors of a sample of documents into equal ranges, and the hot ones, which fill several."""
     share = max(1, rows // SAMPLE_ROWS)
 
+    @lean
     def run(batches):
         found = []
         for _, data in (row for rows in _batches(batches, "doc_id", "text") for row in rows):
@@ -215,6 +219,7 @@ def entries(joined: DataFrame, text: str, cuts: list[bytes], hot: list[bytes] =
     """Packed entries by range, from documents (__sx_id, __sx_twin and the text) with their shared ``__sx_hashes``."""
     keys, hot_keys = np.array(cuts, f"S{K}"), np.array(hot, f"S{K}")
 
+    @lean
     def run(batches):
         for b, texts in text_chunks(batches, text, CHUNK_BYTES):
             buffers, heads, starts, grams, begun = [], [], [], [], 0
@@ -358,6 +363,7 @@ def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def repeated(packed: DataFrame) -> DataFrame:
     """doc_id, twin, starts (packed) from the entries."""
 
+    @lean
     def run(table):
         heads = np.frombuffer(b"".join(table.column("heads").to_pylist()), HEAD)
         if table.column("range")[0].as_py() < 0:
@@ -432,6 +438,7 @@ def cut_out(data: bytes, spans: list[bytes] | None, copy: bool) -> tuple[bytes,
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
 
+    @lean
     def run(batches):
         for b in batches:
             rows = []
@@ -449,6 +456,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` without the repeated bytes; what a cut leaves of a character is dropped, and a null text stays null."""
     names = docs.columns
 
+    @lean
     def run(batches):
         for b in batches:
             texts = []
