@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ripplemark.functions.nodes import base_name, class_of, is_member
 from ripplemark.operators.graph import nodes
-from ripplemark.plans.shared import write_table
+from ripplemark.plans.shared import parts, write_table
 
 
 def ancestors(parents: DataFrame) -> DataFrame:
@@ -168,11 +168,14 @@ def config_registry_edges(reads: DataFrame, entries: DataFrame) -> DataFrame:
     """Reads (reader, file, key_path; null: not enumerable) of config entries (file, key_path, cls).
 
     A literal path gives the classes at it, and none if it is absent; a path that can't be
-    enumerated gives every class of the file, as a fan-out.
+    enumerated gives every class of the file, as a fan-out.  Both sides are made distinct before
+    they meet: equal reads of a key times equal entries at it would grow with the square of the tables.
     """
-    literal = reads.where("key_path is not null").join(entries, ["file", "key_path"]).select("reader", "cls", F.lit("config-registry").alias("type"))
-    fanout = reads.where("key_path is null").select("reader", "file").join(entries.select("file", "cls").distinct(), "file").select("reader", "cls", F.lit("config-registry-fanout").alias("type"))
-    return literal.unionByName(fanout).select(F.col("reader").alias("source"), F.col("cls").alias("target"), "type").distinct()
+    literal = reads.where("key_path is not null").select("reader", "file", "key_path").distinct().join(entries.select("file", "key_path", "cls").distinct(), ["file", "key_path"]).select("reader", "cls", F.lit("config-registry").alias("type"))
+    fanout = reads.where("key_path is null").select("reader", "file").distinct().join(entries.select("file", "cls").distinct(), "file").select("reader", "cls", F.lit("config-registry-fanout").alias("type"))
+    both = literal.unionByName(fanout).select(F.col("reader").alias("source"), F.col("cls").alias("target"), "type")
+    # Few rows are equal before they are dealt by reader: combining them there would only fill memory.
+    return both.repartition(parts(reads, entries, mb=0.5), "source").distinct()
 
 
 def typed_references(names: DataFrame, prefixes: DataFrame) -> DataFrame:

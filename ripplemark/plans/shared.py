@@ -7,6 +7,7 @@ share that folder, so a lost executor costs no intermediate result.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -34,6 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def parts(*inputs: DataFrame, mb: float) -> int:
+    """How many parts of ``mb`` MB the files behind ``inputs`` make, so that a task's share stays the same as they grow."""
+    sizes = []
+    for df in inputs:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes += [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if any(size > 1 << 60 for size in sizes):  # Spark doesn't know
+        return int(inputs[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(sum(sizes) / (mb * (1 << 20))))
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """``df``, written once as Parquet in the shared folder and read from there."""
     spark = df.sparkSession
