@@ -7,10 +7,14 @@ stand for tables.  The engine itself takes the relations, whatever they come fro
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplemark.plans.shared import drop_table, write_table
+from ripplemark.plans.shared import drop_table, parts, write_table
+
+#: MB of the files of orders and lines for which a task joins and tells apart keys.
+PART_MB = 4
 
 EDGES = """
 select concat('route::GET::/orders/', replace(lower(o_orderpriority),' ','-')) as source,
@@ -35,6 +39,20 @@ union select concat('App.Http.C', cast(c_custkey as string)), concat('App.Models
              'uses-trait' from {customer}
 """
 
+#: The same edges, made distinct by their keys before they are text: the keys, the columns by which tables are dealt out for them, and the edge.
+#: Each branch has a type of its own and one key for each edge, null keys of ``o_custkey`` aside.
+EDGE_KEYS = (
+    ("select distinct replace(lower(o_orderpriority),' ','-') as p, o_custkey as c from {orders} where o_orderstatus='F'", {"orders": "o_custkey"}, "concat('route::GET::/orders/', p)", "concat('App.Http.C', cast(c as string))", "route-to-controller"),
+    ("select distinct o_custkey as c, o_orderkey as o from {orders}", {"orders": "o_orderkey"}, "concat('App.Http.C', cast(c as string))", "concat('App.Http.C', cast(c as string), '::o', cast(o as string))", "controller-to-action"),
+    ("select distinct o.o_custkey as c, o.o_orderkey as o, l.l_partkey as p from {lineitem} l join {orders} o on l.l_orderkey=o.o_orderkey", {"orders": "o_orderkey", "lineitem": "l_orderkey"}, "concat('App.Http.C', cast(c as string), '::o', cast(o as string))", "concat('App.Services.P', cast(p as string))", "action-to-service"),
+    ("select distinct l_partkey as p, l_suppkey as s from {lineitem} where l_linenumber=1", {"lineitem": "l_partkey"}, "concat('App.Services.P', cast(p as string))", "concat('App.Models.S', cast(s as string))", "relation-to-model"),
+    ("select distinct s_suppkey as s, s_nationkey as n from {supplier}", {}, "concat('App.Models.S', cast(s as string))", "concat('App.Models.N', cast(n as string))", "model-relationship"),
+    ("select distinct n_nationkey as n, n_regionkey as r from {nation}", {}, "concat('App.Models.N', cast(n as string))", "concat('App.Contracts.R', cast(r as string))", "implements"),
+    ("select distinct r_regionkey as r from {region}", {}, "concat('App.Contracts.R', cast(r as string))", "concat('App.Contracts.R', cast(r as string),'::m')", "declares"),
+    ("select distinct n_nationkey as n, n_regionkey as r from {nation}", {}, "concat('App.Contracts.R', cast(r as string),'::m')", "concat('App.Models.N', cast(n as string),'::m')", "override"),
+    ("select distinct c_custkey as c, c_nationkey as n from {customer}", {"customer": "c_custkey"}, "concat('App.Http.C', cast(c as string))", "concat('App.Models.N', cast(n as string))", "uses-trait"),
+)
+
 #: node, file, line, uri, exposure, public_write, gates (comma-joined) of classes and routes.
 META = """
 select concat('App.Http.C', cast(c_custkey as string)) as node, concat('app/Http/C', cast(c_custkey as string), '.php') as file,
@@ -127,11 +145,25 @@ def relation(spark: SparkSession, sf_dir: str, text: str, side: int = 0) -> Data
     return spark.sql(text.replace("{side}", str(side)), **{n: table(spark, sf_dir, n) for n in names})
 
 
+def edge_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``EDGES``.  Keys are made distinct, not their text, and a task's share of orders and lines stays the same as they grow."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    if not orders.where("o_custkey is null").isEmpty():
+        return relation(spark, sf_dir, EDGES)  # several of its keys give one edge
+    n = parts(orders, lines, mb=PART_MB)
+    found = []
+    for keys, deal, source, target, kind in EDGE_KEYS:
+        rows = {name: table(spark, sf_dir, name) for name in _TABLES.findall(keys)}
+        rows |= {name: rows[name].repartition(n, key) for name, key in deal.items()}
+        found.append(spark.sql(keys, **rows).selectExpr(f"{source} as source", f"{target} as target", f"'{kind}' as type"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edge relation, built once a session and written to the shared folder: a graph is asked often."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
-        _kept[key] = write_table(relation(spark, sf_dir, EDGES), "edges")
+        _kept[key] = write_table(edge_relation(spark, sf_dir), "edges")
     return _kept[key]
 
 

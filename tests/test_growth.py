@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ripplemark.operators import resolve
+from ripplemark.sources import adapters
 
 
 def rows_of(spark, df, kind):
@@ -31,3 +32,22 @@ def test_equal_reads_and_entries_do_not_multiply(spark):
     df = resolve.config_registry_edges(reads, entries)
     assert {(r.source, r.target, r.type) for r in df.collect()} == {(f"C{c}", f"App.K{k}", t) for c in (0, 1) for k in (0, 1, 2) for t in ("config-registry", "config-registry-fanout")}
     assert sorted(rows_of(spark, df, "Join")) == [6, 6]
+
+
+def test_edges_made_by_keys_are_those_of_the_sql(spark, tmp_path):
+    """Also where rows repeat, priorities differ only in their case, and keys are null."""
+    source = "/root/testdata/sf0.001"
+    names = ("customer", "supplier", "nation", "region", "orders", "lineitem")
+    for null in ("o_custkey", "o_orderkey", "o_orderpriority"):
+        for name in names:
+            rows = spark.read.parquet(f"{source}/{name}.parquet")
+            if name == "orders":
+                odd = rows.limit(50)
+                rows = rows.unionByName(odd).unionByName(odd.withColumn("o_orderpriority", F.upper("o_orderpriority"))).unionByName(odd.withColumn(null, F.lit(None).cast(rows.schema[null].dataType)))
+            if name == "lineitem":
+                odd = rows.limit(50)
+                rows = rows.unionByName(odd).unionByName(odd.withColumn("l_partkey", F.lit(None).cast("bigint"))).unionByName(odd.withColumn("l_suppkey", F.lit(None).cast("bigint")))
+            rows.write.parquet(f"{tmp_path}/{null}/{name}.parquet")
+        made, asked = adapters.edge_relation(spark, f"{tmp_path}/{null}"), adapters.relation(spark, f"{tmp_path}/{null}", adapters.EDGES)
+        assert made.schema.names == asked.schema.names
+        assert made.exceptAll(asked).isEmpty() and asked.exceptAll(made).isEmpty()
