@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplemark.functions.nodes import contains_identifier, is_entry_point, tokens
+from ripplemark.plans.shared import parts
+
+#: MB of an edge relation's files for which a task sorts or tells apart what it is dealt.
+PART_MB = 4
 
 
 def nodes(edges: DataFrame) -> DataFrame:
-    """node: every end of an edge, once."""
-    return edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    """node: every end of an edge, once.
+
+    Ends are dealt out before they are made distinct, in parts that hold the same number of edges at any size.
+    """
+    return edges.select(F.explode(F.array("source", "target")).alias("node")).repartition(parts(edges, mb=PART_MB), "node").distinct()
 
 
 def dedupe(edges: DataFrame, ordinal: str | None = None) -> DataFrame:

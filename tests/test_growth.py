@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ripplemark.operators import resolve
+from ripplemark.operators import graph, resolve
+from ripplemark.plans import shared
 from ripplemark.sources import adapters
 
 
@@ -51,3 +52,13 @@ def test_edges_made_by_keys_are_those_of_the_sql(spark, tmp_path):
         made, asked = adapters.edge_relation(spark, f"{tmp_path}/{null}"), adapters.relation(spark, f"{tmp_path}/{null}", adapters.EDGES)
         assert made.schema.names == asked.schema.names
         assert made.exceptAll(asked).isEmpty() and asked.exceptAll(made).isEmpty()
+
+
+def test_parts_grow_with_the_files(spark, tmp_path):
+    """Edges and nodes are told apart in parts of the same size, not in as many as there are cores."""
+    spark.range(300000).selectExpr("concat('C', id) source", "concat('D', id % 7) target", "'x' type").write.parquet(f"{tmp_path}/e")
+    e = spark.read.parquet(f"{tmp_path}/e")
+    assert shared.parts(e, mb=0.25) > shared.parts(e, mb=1) >= 1
+    assert shared.parts(e, e, mb=0.25) >= 2 * shared.parts(e, mb=0.25) - 1
+    assert graph.nodes(e).count() == 300007
+    assert "REPARTITION_BY_NUM" in graph.nodes(e)._jdf.queryExecution().executedPlan().toString()
