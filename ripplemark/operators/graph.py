@@ -43,10 +43,11 @@ def member_seeds(edges: DataFrame, cls: str, method: str) -> DataFrame:
 def nearest_nodes(edges: DataFrame, needle: str, limit: int = 5) -> DataFrame:
     """The nodes that share most tokens with ``needle``; then by the least edit distance of its last token, then by id."""
     own = tokens(F.lit(needle))
-    shared = F.size(F.array_intersect(tokens(F.col("node")), own))
-    distance = F.array_min(F.transform(tokens(F.col("node")), lambda t: F.levenshtein(t, F.element_at(own, -1))))
-    found = nodes(edges).select("node", shared.alias("shared"), distance.alias("distance")).where("shared > 0")
-    return found.orderBy(F.desc("shared"), "distance", "node").limit(limit)
+    shared = F.size(F.array_intersect("tokens", own))
+    distance = F.array_min(F.transform("tokens", lambda t: F.levenshtein(t, F.element_at(own, -1))))
+    found = nodes(edges).select("node", tokens(F.col("node")).alias("tokens")).select("node", shared.alias("shared"), distance.alias("distance"))
+    # Those that share nothing come last and are left out only then: a filter before would look at each end of each edge.
+    return found.orderBy(F.desc("shared"), "distance", "node").limit(limit).where("shared > 0")
 
 
 def nodes_defined_in(edges: DataFrame, meta: DataFrame, file: str) -> DataFrame:
