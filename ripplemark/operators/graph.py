@@ -29,7 +29,8 @@ def dedupe(edges: DataFrame, ordinal: str | None = None) -> DataFrame:
 
 def canonical_order(edges: DataFrame) -> DataFrame:
     """Each edge's position among those of its source, by (target, type)."""
-    return edges.select("source", "target", "type", F.row_number().over(Window.partitionBy("source").orderBy("target", "type")).alias("position"))
+    dealt = edges.repartition(parts(edges, mb=PART_MB), "source")
+    return dealt.select("source", "target", "type", F.row_number().over(Window.partitionBy("source").orderBy("target", "type")).alias("position"))
 
 
 def nodes_containing(edges: DataFrame, needle: str) -> DataFrame:

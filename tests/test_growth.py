@@ -62,3 +62,4 @@ def test_parts_grow_with_the_files(spark, tmp_path):
     assert shared.parts(e, e, mb=0.25) >= 2 * shared.parts(e, mb=0.25) - 1
     assert graph.nodes(e).count() == 300007
     assert "REPARTITION_BY_NUM" in graph.nodes(e)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in graph.canonical_order(e)._jdf.queryExecution().executedPlan().toString()
