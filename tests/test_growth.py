@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ripplemark.operators import graph, resolve
+from ripplemark.operators import graph, hazards, resolve
 from ripplemark.plans import shared
 from ripplemark.sources import adapters
 
@@ -63,3 +63,15 @@ def test_parts_grow_with_the_files(spark, tmp_path):
     assert graph.nodes(e).count() == 300007
     assert "REPARTITION_BY_NUM" in graph.nodes(e)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in graph.canonical_order(e)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_consumers_are_not_joined_file_by_file(spark):
+    """Ten members of ten routes whose twenty files all read the key: the joins give routes and members, not each member's files."""
+    removed = spark.range(10).select(F.concat(F.lit("R"), "id").alias("member"), F.lit("k").alias("key")).unionByName(spark.createDataFrame([("R1", "absent"), ("R99", "k")], "member string, key string"))
+    reach = spark.range(100).select(F.concat(F.lit("R"), F.col("id") % 10).alias("member"), F.concat(F.lit("r"), F.floor(F.col("id") / 10)).alias("route")).unionByName(spark.createDataFrame([("R3", None)], "member string, route string"))
+    consumers = spark.range(200).select(F.concat(F.lit("r"), F.col("id") % 10).alias("route"), F.concat(F.lit("f"), F.col("id") % 20).alias("file"), F.array(F.lit("k"), F.lit("other")).alias("keys"))
+    consumers = consumers.unionByName(spark.createDataFrame([(None, "f0", ["k"]), ("r1", None, ["k"]), ("r2", "f5", ["k", None])], "route string, file string, keys array<string>"))
+    df = hazards.consumer_parity(removed, reach, consumers)
+    text = "k is read by " + ",".join(sorted(f"f{i}" for i in range(20)))
+    assert sorted((r.member, r.evidence, *r.tokens) for r in df.collect()) == [(f"R{i}", text, "k") for i in range(10)]
+    assert max(rows_of(spark, df, "Join")) <= 210
