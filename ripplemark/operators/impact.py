@@ -11,7 +11,7 @@ from ripplemark.operators import walk
 
 def _up(edges: DataFrame, seeds: DataFrame, max_depth: int, every_edge: bool = False) -> dict[str, walk.Walk]:
     """The three upward walks, as one: all types, calls alone, and no registry."""
-    return walk.walks(edges, {"all": (seeds, ()), "call": (seeds, ASSOCIATION), "registry": (seeds, REGISTRY)}, walk.UP, max_depth=max_depth, every_edge=every_edge)
+    return walk.walks(edges, {"all": (seeds, ()), "call": (seeds, ASSOCIATION), "registry": (seeds, REGISTRY)}, walk.UP, max_depth=max_depth, every_edge=every_edge, ranked=False)
 
 
 def _sets(up: dict[str, walk.Walk]) -> DataFrame:
@@ -45,7 +45,7 @@ def reach_reasons(types: DataFrame, shown: tuple[str, ...]) -> DataFrame:
 def impact_summary(edges: DataFrame, seeds: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row: callers, dependencies, entry points by how they were reached, and reach counts."""
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    up, down = _up(edges, seeds, max_depth, every_edge=True), walk.walk(edges, seeds, walk.DOWN, max_depth=max_depth, every_edge=True)
+    up, down = _up(edges, seeds, max_depth, every_edge=True), walk.walk(edges, seeds, walk.DOWN, max_depth=max_depth, every_edge=True, ranked=False)
     how = lambda k: F.sum((F.col("how") == k).cast("long"))
     sets = _sets(up).agg(*[F.coalesce(how(k), F.lit(0)).alias(n) for k, n in (("call", "entry_points"), ("association", "association_only"), ("registry", "registry_only"))])
     types = walk.types_of(up["all"], down, seeds, seeds)

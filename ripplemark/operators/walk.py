@@ -49,7 +49,7 @@ class Walk:
 
 
 def walk(
-    edges: DataFrame, seeds: DataFrame, direction: str = UP, *, max_depth: int = MAX_DEPTH, exclude: tuple[str, ...] = (), every_edge: bool = False, barred: Column | None = None, gated: bool = True
+    edges: DataFrame, seeds: DataFrame, direction: str = UP, *, max_depth: int = MAX_DEPTH, exclude: tuple[str, ...] = (), every_edge: bool = False, barred: Column | None = None, gated: bool = True, ranked: bool = True
 ) -> Walk:
     """Walks ``edges`` (source, target, type) from ``seeds`` (origin, node; an optional ``ordinal`` orders them).
 
@@ -57,12 +57,13 @@ def walk(
     that only such paths reached is entered once more when another kind of path comes.
     Only with ``every_edge`` the result has ``met``, at the cost of a written table a level.
     ``barred`` is a condition on ``origin`` and ``via`` that no edge may meet.  Without ``gated``
-    hierarchy edges are taken like any other.
+    hierarchy edges are taken like any other.  Without ``ranked`` only nodes, types and depths are
+    asked for: ``rank`` and ``parent`` are empty, and ``via`` of ``hops`` is any of a node's depth.
     """
     here, there = ("target", "source") if direction == UP else ("source", "target")
     hop = edges.where(~F.col("type").isin(*exclude)) if exclude else edges
     hop = hop.select(F.col(here).alias("from"), F.col(there).alias("to"), F.col("type").alias("via"))
-    start = F.lpad(F.col("ordinal").cast("string"), 12, "0") if "ordinal" in seeds.columns else F.col("node")
+    start = F.lit("") if not ranked else F.lpad(F.col("ordinal").cast("string"), 12, "0") if "ordinal" in seeds.columns else F.col("node")
     seeds = write_table(seeds.select("origin", "node", start.alias("rank")).groupBy("origin", "node").agg(F.min("rank").alias("rank")), "walk-seeds")
     frontier = seeds.withColumn("flag", F.lit(False))
     # First visits with their flag, and nodes entered once more: unique each, so only joined.
@@ -74,8 +75,8 @@ def walk(
         candidates = frontier.join(hop, F.col("node") == F.col("from")).where(~(F.col("flag") & hierarchy))
         if barred is not None:
             candidates = candidates.where(~barred)
-        rank = F.concat("rank", F.lit(_STEP), "to", F.lit(_VIA), "via")
-        candidates = candidates.select("origin", F.col("to").alias("node"), "via", F.col("from").alias("parent"), rank.alias("rank"), flag.alias("flag"))
+        rank = F.concat("rank", F.lit(_STEP), "to", F.lit(_VIA), "via") if ranked else F.lit("")
+        candidates = candidates.select("origin", F.col("to").alias("node"), "via", (F.col("from") if ranked else F.lit("")).alias("parent"), rank.alias("rank"), flag.alias("flag"))
         if every_edge:
             candidates = write_table(candidates, "walk-met")
         met.append(candidates.select("origin", "node", "via", F.lit(depth + 1).alias("depth"), "parent"))
@@ -102,12 +103,12 @@ def walk(
     )
 
 
-def walks(edges: DataFrame, asked: dict[str, tuple[DataFrame, tuple[str, ...]]], direction: str = UP, *, max_depth: int = MAX_DEPTH, every_edge: bool = False) -> dict[str, Walk]:
+def walks(edges: DataFrame, asked: dict[str, tuple[DataFrame, tuple[str, ...]]], direction: str = UP, *, max_depth: int = MAX_DEPTH, every_edge: bool = False, ranked: bool = True) -> dict[str, Walk]:
     """Several walks as one: name -> (seeds, types left out); origins are compared as strings."""
     tag = lambda name, seeds: seeds.select(F.struct(F.lit(name).alias("walk"), F.col("origin").cast("string").alias("own")).alias("origin"), "node")
     seeds = reduce(DataFrame.unionByName, [tag(name, df) for name, (df, _) in asked.items()])
     left_out = [(F.col("origin.walk") == name) & F.col("via").isin(*types) for name, (_, types) in asked.items() if types]
-    found = walk(edges, seeds, direction, max_depth=max_depth, every_edge=every_edge, barred=reduce(Column.__or__, left_out) if left_out else None)
+    found = walk(edges, seeds, direction, max_depth=max_depth, every_edge=every_edge, ranked=ranked, barred=reduce(Column.__or__, left_out) if left_out else None)
     own = lambda df, name: df.where(F.col("origin.walk") == name).withColumn("origin", F.col("origin.own"))
     return {name: Walk(own(found.hops, name), own(found.met, name), own(found.seeds, name), direction) for name in asked}
 
@@ -126,7 +127,7 @@ def tree_edges(found: Walk) -> DataFrame:
 def reached_via_types(edges: DataFrame, seeds: DataFrame, dependency_seeds: DataFrame | None = None, *, max_depth: int = MAX_DEPTH) -> DataFrame:
     """origin, node, types (ascending): every type by which a node was met, up or down, seeds aside."""
     down = dependency_seeds if dependency_seeds is not None else seeds
-    return types_of(walk(edges, seeds, UP, max_depth=max_depth, every_edge=True), walk(edges, down, DOWN, max_depth=max_depth, every_edge=True), seeds, down)
+    return types_of(walk(edges, seeds, UP, max_depth=max_depth, every_edge=True, ranked=False), walk(edges, down, DOWN, max_depth=max_depth, every_edge=True, ranked=False), seeds, down)
 
 
 def types_of(up: Walk, below: Walk, seeds: DataFrame, down: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from ripplemark.operators import graph, hazards, resolve
+from ripplemark.operators import graph, hazards, resolve, walk
 from ripplemark.plans import shared
 from ripplemark.sources import adapters
 
@@ -75,3 +77,24 @@ def test_consumers_are_not_joined_file_by_file(spark):
     text = "k is read by " + ",".join(sorted(f"f{i}" for i in range(20)))
     assert sorted((r.member, r.evidence, *r.tokens) for r in df.collect()) == [(f"R{i}", text, "k") for i in range(10)]
     assert max(rows_of(spark, df, "Join")) <= 210
+
+
+def test_walks_for_types_alone_write_no_ranks(spark, monkeypatch):
+    """Types, nodes and depths are those of a ranked walk, and nothing that is written grows with the depth."""
+    rng = random.Random(3)
+    kinds = ["implements", "declares", "override", "inherits", "static-call"]
+    e = spark.createDataFrame([(f"n{rng.randint(0, 40)}", f"n{rng.randint(0, 40)}", rng.choice(kinds)) for _ in range(120)], "source string, target string, type string").distinct()
+    seeds = spark.createDataFrame([("a", "n1"), ("a", "n2"), ("b", "n3")], "origin string, node string")
+    up, down = (walk.walk(e, seeds, d, every_edge=True) for d in (walk.UP, walk.DOWN))
+    written, write = [], walk.write_table
+
+    def kept(df, name):
+        written.append(write(df, name))
+        return written[-1]
+
+    monkeypatch.setattr(walk, "write_table", kept)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(walk.reached_via_types(e, seeds)) == rows(walk.types_of(up, down, seeds, seeds))
+    assert written and all(t.where("rank <> ''").isEmpty() for t in written if "rank" in t.columns)
+    bare = walk.walk(e, seeds, walk.UP, ranked=False)
+    assert rows(bare.hops.select("origin", "node", "depth")) == rows(up.hops.select("origin", "node", "depth"))
